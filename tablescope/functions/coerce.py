@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,16 +13,22 @@ _INTEGER = r"^\s*[+-]?\d+\s*$"
 _BOOLEAN = r"(?i)^\s*(true|false)\s*$"
 _DATE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 
-# The date layouts understood by default, ISO date-times first.
+# The date layouts understood by default, earlier ones preferred. One-letter day
+# and month read one or two digits.
 DATETIME_FORMATS = (
     "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd",
-    "dd-MM-yyyy",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-M-d",
+    "d-M-yyyy",
+    "M/d/yyyy",
+    "yyyy/M/d",
     "MMM d yyyy",
     "d MMM yyyy",
+    "d/M/yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "yyyy/M/d H:mm[:ss]",
+    "d-M-yyyy H:mm[:ss]",
 )
 
 
@@ -29,7 +37,36 @@ def text_to_number(text: Column) -> Column:
 
 
 def text_to_timestamp(text: Column, layout: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(layout)).cast("timestamp_ntz")
+    """The parser raises and catches an exception on text it cannot read, so text of another
+    shape is kept away from it."""
+    parsed = F.try_to_timestamp(F.trim(text), F.lit(layout)).cast("timestamp_ntz")
+    shape = layout_shape(layout)
+    return parsed if shape is None else F.when(text.rlike(shape), parsed)
+
+
+# What a run of one pattern letter can look like; anything longer or other is not guarded.
+_RUNS = {
+    "y": r"[+]?\d{4,}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}",
+    "s": r"\d{1,2}", "S": r"\d{1,9}", "X": r"(Z|[+-]\d{2}(:?\d{2}){0,2})",
+}
+
+
+def layout_shape(layout: str) -> str | None:
+    """A regular expression matching at least every text the layout can read."""
+    out = ""
+    for token in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", layout):
+        run, letter = token.group(0), token.group(1)
+        if run == "MMM":
+            out += r"[A-Za-z.]{3,5}"
+        elif letter:
+            if letter not in _RUNS or (letter == "M" and len(run) > 2):
+                return None
+            out += _RUNS[letter]
+        elif run in "[]":
+            out += "(" if run == "[" else ")?"
+        else:
+            out += re.escape(run.strip("'"))
+    return r"^\s*" + out + r"\s*$"
 
 
 def value_kind(text: Column) -> Column:

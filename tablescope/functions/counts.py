@@ -4,30 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import as_double, col, union_all
 
 
-def _counted(df: DataFrame, column: str) -> DataFrame:
-    floating = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+_LONG_TEXT = 64
+
+
+def _short(value: Column) -> Column:
+    """Long text stands in the shuffle as its SHA-256, which tells texts apart just as well."""
+    return F.when(F.length(value) > _LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+
+
+def _counted(df: DataFrame, column: str, *, short: bool = False) -> DataFrame:
+    kind = df.schema[column].dataType
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
     value = as_double(column) if floating else col(column)
+    if short and isinstance(kind, T.StringType):
+        value = _short(value)
     return (
         df.select(value.alias("value")).where(F.col("value").isNotNull())
         .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value as text, n) for every distinct non-null value.
+def value_counts(df: DataFrame, columns: Sequence[str], *, short: bool = False) -> DataFrame:
+    """(column, value as text, n) for every distinct non-null value. With ``short`` long texts
+    are represented by their digest, for uses that need the counts only.
 
     Each column is its own narrow scan and its own typed aggregate: on a columnar table the
     scans together read every byte once, and no row is widened or copied per column."""
     return union_all([
-        _counted(df, c).select(F.lit(c).alias("column"),
-                               F.col("value").cast("string").alias("value"), "n")
+        _counted(df, c, short=short).select(
+            F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n")
         for c in columns
     ])
 
@@ -40,6 +52,7 @@ def distinct_counts(
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in columns])
         return row.unpivot([], [col(c) for c in columns], "column", "unique")
     return union_all([
-        _counted(df, c).agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("unique"))
+        _counted(df, c, short=True).agg(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("unique"))
         for c in columns
     ])

@@ -111,18 +111,29 @@ def _split(df, bound, order, rows, rows_per_range) -> Ranged:
     if not chosen:
         return single
     bounds = F.from_json(F.lit("[" + ",".join(chosen) + "]"), T.ArrayType(keys.schema), _JSON)
-    number = _bounds_not_above(bounds, len(chosen), F.struct(*fields))
-    return Ranged(df.withColumn(RANGE, number), order, len(chosen) + 1)
+    key = F.struct(*fields)
+    if len(fields) == 1:  # a bare value compares faster than a struct
+        bounds, key = bounds["k0"], bound[0]
+    return Ranged(
+        df.withColumn(RANGE, _bounds_not_above(bounds, len(chosen), key)), order, len(chosen) + 1)
 
 
 def _bounds_not_above(bounds: Column, count: int, key: Column) -> Column:
-    """How many of the sorted boundaries are <= key, found by halving."""
-    jumps = [1 << i for i in reversed(range(count.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(j) for j in jumps]),
-        F.lit(0),
-        lambda at, jump: F.when(F.get(bounds, at + jump - 1) <= key, at + jump).otherwise(at),
-    )
+    """How many of the sorted boundaries are <= key, found by halving.
+
+    The key enters through ``transform``, so that it is an argument of the expression and not a
+    column captured inside a lambda: the optimizer loses track of captured columns when it copies
+    the expression into filters on the other side of a join. The result is never NULL, which
+    spares such filters altogether."""
+    jumps = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))])
+
+    def search(k: Column) -> Column:
+        return F.aggregate(
+            jumps, F.lit(0),
+            lambda at, jump: F.when(F.get(bounds, at + jump - 1) <= k, at + jump).otherwise(at),
+        )
+
+    return F.coalesce(F.get(F.transform(F.array(key), search), 0), F.lit(0))
 
 
 def running_counts(

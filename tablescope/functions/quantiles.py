@@ -43,6 +43,25 @@ class _Target:
         return self.low < self.high and self.inside > limit
 
 
+@dataclass(frozen=True)
+class Centre:
+    """What the first pass tells about a column; later passes work on deviations from ``mean``."""
+
+    rows: int
+    count: int
+    mean: float | None
+    low: float | None
+    high: float | None
+
+    @property
+    def constant(self) -> bool:
+        return self.low == self.high
+
+    @property
+    def complete(self) -> bool:
+        return self.count == self.rows
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -52,21 +71,37 @@ def exact_quantiles(
     sketch_accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles of numeric columns, missing values ignored."""
-    result: dict[str, dict[float, float | None]] = {}
+    return quantiles_and_centres(
+        df, columns, probs, max_in_bracket=max_in_bracket, sketch_accuracy=sketch_accuracy)[0]
+
+
+def quantiles_and_centres(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    *,
+    max_in_bracket: int = MAX_IN_BRACKET,
+    sketch_accuracy: int = SKETCH_ACCURACY,
+) -> tuple[dict[str, dict[float, float | None]], dict[str, Centre]]:
+    """The quantiles, and the counts, means and ranges the first pass saw on the way."""
+    quantiles: dict[str, dict[float, float | None]] = {}
+    centres: dict[str, Centre] = {}
     for part in chunks(list(columns), _COLUMNS_PER_PASS):
-        result.update(_exact_quantiles(df, part, probs, max_in_bracket, sketch_accuracy))
-    return result
+        q, c = _exact_quantiles(df, part, probs, max_in_bracket, sketch_accuracy)
+        quantiles.update(q)
+        centres.update(c)
+    return quantiles, centres
 
 
 def _exact_quantiles(df, columns, probs, limit, accuracy):
     values = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    counts, targets = _bracket(values, list(names), probs, accuracy)
+    centres, targets = _bracket(values, list(names), probs, accuracy)
     _count_brackets(values, targets)
     for t in targets:
         if not t.holds():  # the sketch missed: start over from the whole range
-            whole = counts[t.column]
-            t.low, t.high, t.below, t.inside = whole["min"], whole["max"], 0, whole["n"]
+            whole = centres[t.column]
+            t.low, t.high, t.below, t.inside = whole.low, whole.high, 0, whole.count
     while any(t.open(limit) for t in targets):
         _narrow(values, [t for t in targets if t.open(limit)])
     found = _rank_exactly(values, targets)
@@ -74,7 +109,7 @@ def _exact_quantiles(df, columns, probs, limit, accuracy):
     out: dict[str, dict[float, float | None]] = {}
     for c, name in names.items():
         out[name] = {}
-        n = counts[c]["n"]
+        n = centres[c].count
         for p in probs:
             if n == 0:
                 out[name][p] = None
@@ -82,24 +117,24 @@ def _exact_quantiles(df, columns, probs, limit, accuracy):
             at = (n - 1) * p
             lo, hi = found[(c, floor(at))], found[(c, ceil(at))]
             out[name][p] = lo if lo == hi else lo + (hi - lo) * (at - floor(at))
-    return out
+    return out, {name: centres[c] for c, name in names.items()}
 
 
 def _bracket(values, cols, probs, accuracy):
     margin = 2.0 / accuracy
     asked = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     sketch = F.array(*[F.lit(a) for a in asked])
-    row = values.agg(*[
-        F.struct(
-            F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
-            F.percentile_approx(c, sketch, accuracy).alias("q"),
-        ).alias(c)
-        for c in cols
-    ]).first()
-    counts, targets = {}, []
+    row = values.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.struct(
+            F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("min"),
+            F.max(c).alias("max"), F.percentile_approx(c, sketch, accuracy).alias("q"),
+        ).alias(c) for c in cols],
+    ).first()
+    centres, targets = {}, []
     for c in cols:
         s = row[c]
-        counts[c] = {"n": s["n"], "min": s["min"], "max": s["max"]}
+        centres[c] = Centre(row["rows"], s["n"], s["mean"], s["min"], s["max"])
         if not s["n"]:
             continue
         q = dict(zip(asked, s["q"]))
@@ -109,7 +144,7 @@ def _bracket(values, cols, probs, accuracy):
             at = (s["n"] - 1) * p
             for rank in sorted({floor(at), ceil(at)}):
                 targets.append(_Target(c, p, rank, low, high))
-    return counts, targets
+    return centres, targets
 
 
 def _count_brackets(values, targets):

@@ -91,7 +91,7 @@ def skew_join(
         if hot is None:
             continue
         few = hot_part(other, hot, keys, keep=True)
-        if few.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        if few.count() > BROADCAST_ROWS:
             continue
         hot_big = hot_part(big, hot, keys, keep=True)
         # Every hot key exists on the big side, so the other side's rows are never unmatched.

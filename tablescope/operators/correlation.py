@@ -12,8 +12,9 @@ from ..functions import columns as C
 from ..functions.columns import as_double
 from ..functions.counts import distinct_counts
 from ..functions.ordered import running_counts
+from ..functions.quantiles import Centre
 from ..functions.skew import attach
-from .stats import Centre, centres
+from .stats import centres
 
 CORRELATION = "col_a string, col_b string, corr double"
 RANK_BLOCK = 1_000_000

@@ -97,7 +97,7 @@ def categorical_importance(
         return df.sparkSession.createDataFrame([], SCORES)
     rows = df.count()
     p = F.col("n") / F.lit(float(rows or 1))
-    per_column = value_counts(df, chosen).groupBy("column").agg(
+    per_column = value_counts(df, chosen, short=True).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique"), F.sum("n").alias("filled"),
         F.sum(-p * F.ln(p)).alias("entropy"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_skewness
 from ..functions.columns import as_double, col
-from ..functions.counts import value_counts
+from ..functions.counts import distinct_counts, value_counts
 from ..functions.ordered import RANGE, split_by_order
 from ..functions.quantiles import exact_quantiles
 from ..storage import materialize
@@ -115,16 +115,20 @@ def _typical_numbers(df, columns, strategy) -> dict[str, tuple[float, str]]:
     return out
 
 
-def _typical_categories(df, columns) -> dict[str, tuple[str, int]]:
-    """column -> (most frequent value as text, number of distinct values); ties go to the
-    smallest value."""
+def _typical_categories(df, columns, rows) -> dict[str, str | None]:
+    """column -> most frequent value as text, ties to the smallest; None when more than half of
+    the rows differ. Such columns are told by their distinct counts first, so that their values
+    (often long text) are never shuffled."""
     if not columns:
         return {}
-    top = value_counts(df, columns).groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"),
-        F.count(F.lit(1)).alias("unique"),
-    )
-    return {r["column"]: (r["top"]["value"], r["unique"]) for r in top.collect()}
+    distinct = {r["column"]: r["unique"] for r in distinct_counts(df, columns).collect()}
+    few = [c for c in columns if distinct[c] <= rows * 0.5]
+    out: dict[str, str | None] = dict.fromkeys(columns)
+    if few:
+        top = value_counts(df, few).groupBy("column").agg(
+            F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"))
+        out.update({r["column"]: r["top"]["value"] for r in top.collect()})
+    return out
 
 
 def impute_missing_values(
@@ -171,16 +175,17 @@ def impute_missing_values(
 
     text = set(C.columns_of_class(df, C.STRING, C.BOOLEAN))
     groups = [c for c in schema.categorical + schema.boolean if c in text]
-    modes = _typical_categories(df, [c for c in groups if filled[c]])
+    wanted = [c for c in groups if filled[c] and categorical_strategy != "unknown"]
+    modes = _typical_categories(df, wanted, rows)
     for c in groups:
         if not filled[c]:
             value, why = UNKNOWN, "no value to learn from"
         elif categorical_strategy == "unknown":
             value, why = UNKNOWN, "as requested"
-        elif modes[c][1] > rows * 0.5:
+        elif modes[c] is None:
             value, why = UNKNOWN, "too many distinct values for a mode"
         else:
-            value, why = modes[c][0], "most frequent value"
+            value, why = modes[c], "most frequent value"
         if filled[c] < rows:
             is_flag = c in C.columns_of_class(df, C.BOOLEAN)
             if is_flag and value != UNKNOWN:

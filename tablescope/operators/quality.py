@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.columns import col
@@ -55,6 +56,9 @@ def detect_missing_values(df: DataFrame) -> DataFrame:
     )
 
 
+MAX_REPEATED_HASHES = 500_000
+
+
 def detect_duplicates(
     df: DataFrame, subset: Sequence[str] | None = None, *, large_bytes: int | None = None
 ) -> DataFrame:
@@ -62,12 +66,18 @@ def detect_duplicates(
     count as equal.
 
     Keys are counted with a map-side aggregate and the repeated ones looked up again; no window,
-    which would gather all copies of a key in one task. On large tables, rows of hot keys (found
-    at least twice in a sample, so surely repeated) are passed on without any shuffle."""
+    which would gather all copies of a key in one task. On large tables only rows whose key hash
+    repeats are looked at, or, where those are many, rows of hot keys (found at least twice in a
+    sample, so surely repeated) are passed on without any shuffle."""
     keys = list(subset) if subset else list(df.columns)
     limit = LARGE_TABLE_BYTES if large_bytes is None else large_bytes
-    hot = hot_keys(df, keys) if estimated_bytes(df) >= limit else None
-    rest = df if hot is None else hot_part(df, hot, keys, keep=False)
+    hot = None
+    rest = df
+    if estimated_bytes(df) >= limit:
+        rest = _suspects(df, keys)
+        if rest is None:
+            hot = hot_keys(df, keys)
+            rest = df if hot is None else hot_part(df, hot, keys, keep=False)
     repeated = (
         rest.groupBy(*[col(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("_copies"))
@@ -82,9 +92,31 @@ def detect_duplicates(
     return out if hot is None else out.unionByName(hot_part(df, hot, keys, keep=True))
 
 
-def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Rows whose 64-bit key hash occurs more than once, or None when such hashes are too many
+    to broadcast. Every repeated key is among them, and the shuffle carried hashes, not rows."""
+    if any(isinstance(df.schema[k].dataType, T.MapType) for k in keys):
+        return None
+    hashed = F.xxhash64(*[col(k) for k in keys])
+    found = (
+        df.select(hashed.alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("_hash").limit(MAX_REPEATED_HASHES + 1).toPandas()
+    )
+    if len(found) > MAX_REPEATED_HASHES:
+        return None
+    hashes = df.sparkSession.createDataFrame(found, "_hash bigint")
+    return df.join(F.broadcast(hashes), hashed == hashes["_hash"], "left_semi")
+
+
+def duplicate_count(
+    df: DataFrame, subset: Sequence[str] | None = None, *, large_bytes: int | None = None
+) -> DataFrame:
     """One row: how many rows ``detect_duplicates`` would return."""
     keys = list(subset) if subset else list(df.columns)
+    limit = LARGE_TABLE_BYTES if large_bytes is None else large_bytes
+    if estimated_bytes(df) >= limit:
+        suspects = _suspects(df, keys)
+        df = df if suspects is None else suspects
     return (
         df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_kurtosis, adjusted_skewness
 from ..functions.columns import as_double
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import Centre, quantiles_and_centres
 
 # Aggregates with more than about 90 buffers leave whole-stage code generation.
 _COLUMNS_PER_PASS = 14
@@ -22,25 +21,6 @@ DESCRIBE_COLUMNS = (
 )
 
 
-@dataclass(frozen=True)
-class Centre:
-    """What one pass tells about a column; later passes work on deviations from ``mean``."""
-
-    rows: int
-    count: int
-    mean: float | None
-    low: float | None
-    high: float | None
-
-    @property
-    def constant(self) -> bool:
-        return self.low == self.high
-
-    @property
-    def complete(self) -> bool:
-        return self.count == self.rows
-
-
 def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, Centre]:
     """Row count, non-null count, mean and range of each column, collected."""
     out: dict[str, Centre] = {}
@@ -67,8 +47,7 @@ def describe_numerical(
     chosen = C.pick_numeric(df, numeric_cols)
     if not chosen:
         return df.sparkSession.createDataFrame([], DESCRIBE_COLUMNS)
-    centre = centres(df, chosen)
-    quartiles = exact_quantiles(df, chosen, (0.25, 0.5, 0.75))
+    quartiles, centre = quantiles_and_centres(df, chosen, (0.25, 0.5, 0.75))
     parts = [
         _describe(df, part, centre, quartiles) for part in C.chunks(chosen, _COLUMNS_PER_PASS)
     ]

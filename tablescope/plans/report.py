@@ -119,7 +119,7 @@ def run_pipeline(
 
     metric = next(iter([*roles.metrics, *numbers]), None)
     _add_temporal(sections, warnings, clean, date_col, metric)
-    _add_olap(sections, warnings, clean, schema)
+    _add_olap(sections, warnings, clean, schema, roles)
 
     found = generate_insights(
         rows=clean.count(), duplicates=duplicates,
@@ -152,9 +152,10 @@ def _add_temporal(sections, warnings, clean, date_col, metric) -> None:
     sections["trend"] = _settled(detect_trend(clean, date_col, metric))
 
 
-def _add_olap(sections, warnings, clean, schema) -> None:
+def _add_olap(sections, warnings, clean, schema, roles) -> None:
     flat = [f.name for f in clean.schema.fields if C.type_class(f.dataType) != C.OTHER]
     dims = [c for c in schema.categorical if c in flat]
+    dims = [c for c in dims if c not in roles.identifiers] or dims  # groups of one tell nothing
     numbers = C.pick_numeric(clean, schema.numeric)
     if not dims or not numbers:
         warnings.append("No category and number to group: no OLAP views.")

@@ -119,3 +119,61 @@ def test_hot_keys_and_attach(frame):
     got = attach(df, table, "k", rows=df.count(), large_rows=10)
     assert got.count() == df.count()
     assert got.where("z != 2 * k").isEmpty()
+
+
+READABLE = {
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": "2024-02-13 04:05:06.123456",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]": "2024-02-13T04:05:06+00:00",
+    "yyyy-MM-dd HH:mm": "2024-02-13 04:05",
+    "yyyy-M-d": "2024-02-13", "d-M-yyyy": "13-2-2024", "M/d/yyyy": "2/13/2024",
+    "yyyy/M/d": "2024/02/13", "MMM d yyyy": "Feb 13 2024", "d MMM yyyy": "13 feb 2024",
+    "d/M/yyyy": "13/02/2024", "M/d/yyyy H:mm[:ss]": "02/13/2024 4:05",
+    "yyyy/M/d H:mm[:ss]": "2024/2/13 04:05:06", "d-M-yyyy H:mm[:ss]": "13-02-2024 04:05",
+}
+
+
+def test_every_layout_reads_its_text_and_only_text_of_its_shape(frame):
+    import re
+
+    from tablescope.functions.coerce import DATETIME_FORMATS, layout_shape, text_to_timestamp
+    from tablescope.operators.inference import text_shares
+
+    assert list(READABLE) == list(DATETIME_FORMATS)
+    for layout, text in READABLE.items():
+        assert re.match(layout_shape(layout), f" {text} "), layout
+        assert not re.match(layout_shape(layout), "soon")
+        df = frame([(f" {text} ",), ("2024-99-99",), ("10:30",), (None,)], "t string")
+        got = [r[0] for r in df.select(text_to_timestamp(F.col("t"), layout)).collect()]
+        assert str(got[0])[:10] == "2024-02-13" and got[1:] == [None, None, None], layout
+        share = text_shares(df.limit(1), ["t"])["t"]
+        assert (share.layout, share.datetime, share.numeric) == (layout, 1.0, 0.0)
+    assert layout_shape("EEEE d MMMM yyyy") is None
+
+
+@pytest.mark.parametrize("subset", [None, ["a", "b"], ["b"]])
+def test_duplicates_agree_on_every_path(frame, subset, monkeypatch):
+    from tablescope.operators import quality
+
+    rows = [("x", 1, None)] * 200 + [(None, 2, 1.0)] * 2 + [("y", i, float(i)) for i in range(300)]
+    df = frame(rows, "a string, b int, c double").repartition(6)
+    as_list = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    plain = as_list(quality.detect_duplicates(df, subset))
+    assert as_list(quality.detect_duplicates(df, subset, large_bytes=1)) == plain
+    assert quality.duplicate_count(df, subset, large_bytes=1).first()[0] == len(plain)
+    monkeypatch.setattr(quality, "MAX_REPEATED_HASHES", 0)
+    assert as_list(quality.detect_duplicates(df, subset, large_bytes=1)) == plain
+    assert quality.duplicate_count(df, subset).first()[0] == len(plain)
+
+
+def test_distinct_counts_of_long_text(frame):
+    from tablescope.functions.counts import distinct_counts, value_counts
+
+    long = "z" * 500
+    df = frame([(long + str(i % 7), float(i % 3)) for i in range(50)]
+               + [(None, float("nan")), ("z", -0.0)], "t string, v double")
+    got = {r["column"]: r["unique"] for r in distinct_counts(df, ["t", "v"]).collect()}
+    assert got == {"t": 8, "v": 3}
+    kept = value_counts(df, ["t"]).where("length(value) > 64").count()
+    assert kept == 7
+    approx = {r["column"]: r["unique"] for r in distinct_counts(df, ["t"], approx=True).collect()}
+    assert approx == {"t": 8}
