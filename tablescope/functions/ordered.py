@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from .columns import OTHER, STRING, col, type_class
 
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 8192
-SAMPLES_PER_RANGE = 16
+ROWS_PER_RANGE = 500_000        # whole rows, of any width
+VALUES_PER_RANGE = 2_000_000    # a value and a count each
+MAX_RANGES = 65_536
+SAMPLES_PER_RANGE = 10
 RANGE = "_range"
 _BOUND_TEXT = 32
 _JSON = {
@@ -79,19 +80,18 @@ def split_by_order(
         bound.append(col(name))
     else:
         bound += [order[-1], F.spark_partition_id()]
-    return _split(df, bound, order, rows, rows_per_range)
+    return _split(df, bound, order, rows, rows_per_range or ROWS_PER_RANGE)
 
 
 def split_by_value(
     df: DataFrame, value: str, *, rows: int, rows_per_range: int | None = None
 ) -> Ranged:
     """Ranges of values: all copies of one value share a range."""
-    return _split(df, [col(value)], (col(value),), rows, rows_per_range)
+    return _split(df, [col(value)], (col(value),), rows, rows_per_range or VALUES_PER_RANGE)
 
 
 def _split(df, bound, order, rows, rows_per_range) -> Ranged:
-    target = max(1, rows_per_range or ROWS_PER_RANGE)
-    wanted = min(MAX_RANGES, ceil(rows / target)) if rows else 1
+    wanted = min(MAX_RANGES, ceil(rows / rows_per_range)) if rows else 1
     single = Ranged(df.withColumn(RANGE, F.lit(0)), order, 1)
     if wanted <= 1:
         return single

@@ -138,12 +138,18 @@ def _plain_join(
 
 
 def attach(
-    df: DataFrame, table: DataFrame, key: str, *, rows: int, large_rows: int | None = None
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    *,
+    rows: int,
+    like: DataFrame | None = None,
+    large_rows: int = 50 * SAMPLE_ROWS,
 ) -> DataFrame:
-    """Inner lookup of a table that is unique on ``key`` (same column name, no NULL key)."""
-    if rows <= (SAMPLE_ROWS * 50 if large_rows is None else large_rows):
-        return df.join(table, key)
-    hot = hot_keys(df, [key], rows)
+    """Inner lookup of a table that is unique on ``key`` (same column name, no NULL key). Rows of
+    hot keys meet their few table rows by broadcast. ``like`` is a cheaper frame with the same
+    keys, to look for hot ones in."""
+    hot = hot_keys(df if like is None else like, [key], rows) if rows > large_rows else None
     if hot is None:
         return df.join(table, key)
     cold = hot_part(df, hot, [key], keep=False).join(table, key)

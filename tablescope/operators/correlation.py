@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +27,12 @@ def compute_correlation(
     numeric_cols: Sequence[str] | None = None,
     method: str = "pearson",
     *,
+    known: Mapping[str, Centre] | None = None,
     rows_per_range: int | None = None,
     rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """Full symmetric matrix over rows where both columns have a value. A column without spread
-    has no correlation, not even with itself."""
+    has no correlation, not even with itself. ``known`` may pass centres of columns of ``df``."""
     if method not in ("pearson", "spearman", "kendall"):
         raise ValueError(f"Unknown correlation method '{method}'.")
     chosen = C.pick_numeric(df, numeric_cols)
@@ -39,7 +40,8 @@ def compute_correlation(
         return df.sparkSession.createDataFrame([], CORRELATION)
     names = {f"c{i}": c for i, c in enumerate(chosen)}
     values = df.select(*[as_double(c).alias(k) for k, c in names.items()])
-    centre = centres(values, list(names))
+    centre = {k: known[c] for k, c in names.items() if known and c in known}
+    centre.update(centres(values, [k for k in names if k not in centre]))
     live = [k for k in names if not centre[k].constant]
     pairs = list(combinations(live, 2))
 
@@ -121,12 +123,17 @@ def _from_sums(s: Column) -> Column:
     return F.when(s["va"] & s["vb"], _cosine(cov, va, vb))
 
 
-def _ranked(values: DataFrame, c: str, rows: int, rows_per_range) -> DataFrame:
-    """Replace column ``c`` (no missing values) by its average rank."""
-    table = running_counts(values, c, rows=rows, rows_per_range=rows_per_range).select(
-        c, (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
-    others = [k for k in values.columns if k != c]
-    return attach(values, table, c, rows=rows).select(*others, F.col("_rank").alias(c))
+def _ranked(values: DataFrame, columns, rows: int, rows_per_range) -> DataFrame:
+    """Replace each column (none has missing values) by its average rank. Every rank table comes
+    from the values themselves; only the lookups are chained."""
+    out = values.select(*columns)
+    for c in columns:
+        table = running_counts(values, c, rows=rows, rows_per_range=rows_per_range).select(
+            c, (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
+        others = [k for k in columns if k != c]
+        out = attach(out, table, c, rows=rows, like=values).select(
+            *others, F.col("_rank").alias(c))
+    return out
 
 
 def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
@@ -136,9 +143,7 @@ def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
     parts = []
     if len(whole) > 1:
         rows = centre[whole[0]].rows
-        ranks = values.select(*whole)
-        for c in whole:
-            ranks = _ranked(ranks, c, rows, rows_per_range)
+        ranks = _ranked(values, whole, rows, rows_per_range)
         middle = Centre(rows, rows, (rows + 1) / 2, 1.0, float(rows))
         parts += _pearson(ranks, list(combinations(whole, 2)), {c: middle for c in whole})
     for a, b in pairs:
@@ -150,10 +155,9 @@ def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
         if found[a].constant or found[b].constant:
             parts.append(_no_value(values, a, b))
             continue
-        for c in (a, b):
-            shared = _ranked(shared, c, rows, rows_per_range)
         middle = Centre(rows, rows, (rows + 1) / 2, 1.0, float(rows))
-        parts += _pearson(shared, [(a, b)], {a: middle, b: middle})
+        ranks = _ranked(shared, [a, b], rows, rows_per_range)
+        parts += _pearson(ranks, [(a, b)], {a: middle, b: middle})
     return parts
 
 
@@ -197,7 +201,8 @@ def _tau_b(shared, rows, distinct_x, distinct_y, rows_per_range, block) -> DataF
     ys = running_counts(shared, "y", rows=rows, rows_per_range=rows_per_range)
     grid = shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
     placed = attach(grid, xs.select("x", F.col("position").alias("px")), "x", rows=rows)
-    placed = attach(placed, ys.select("y", F.col("position").alias("py")), "y", rows=rows)
+    placed = attach(
+        placed, ys.select("y", F.col("position").alias("py")), "y", rows=rows, like=grid)
 
     levels = max(1, (distinct_y - 1).bit_length())
     leveled = placed.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ def _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range):
     ])
 
 
-def _typical_numbers(df, columns, strategy) -> dict[str, tuple[float, str]]:
+def _typical_numbers(df, columns, strategy, medians) -> dict[str, tuple[float, str]]:
     """column -> (fill value, why) for numeric columns that have a value."""
     if not columns:
         return {}
@@ -105,9 +105,12 @@ def _typical_numbers(df, columns, strategy) -> dict[str, tuple[float, str]]:
     by_mean = [c for c in columns if c not in by_median]
     out: dict[str, tuple[float, str]] = {}
     if by_median:
-        middle = exact_quantiles(df, by_median, (0.5,))
+        middle = {c: medians[c] for c in by_median if c in medians}
+        todo = [c for c in by_median if c not in middle]
+        if todo:
+            middle.update({c: q[0.5] for c, q in exact_quantiles(df, todo, (0.5,)).items()})
         why = "median: values are skewed" if strategy == "auto" else "median: as requested"
-        out.update({c: (middle[c][0.5], why) for c in by_median})
+        out.update({c: (middle[c], why) for c in by_median})
     if by_mean:
         row = df.agg(*[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(by_mean)]).first()
         why = "mean: values are roughly symmetric" if strategy == "auto" else "mean: as requested"
@@ -139,16 +142,22 @@ def impute_missing_values(
     *,
     tie_breaks: Sequence[str] = (),
     rows_per_range: int | None = None,
+    medians: Mapping[str, float | None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(frame without gaps, notes (column, fill_value, rationale)).
 
     With a time column all columns are first filled along time. Then numbers get the median or
     mean (``auto``: the median when skewed), categories and flags the most frequent value, or
     "Unknown" when more than half of the rows differ. A flag column that must hold "Unknown"
-    becomes text, and an integer column that had gaps becomes double."""
+    becomes text, and an integer column that had gaps becomes double. ``medians`` may pass what is
+    already known; a time fill makes those of the columns it touched obsolete."""
     df = C.nan_to_null(df)
-    schema = detect_column_types(df)
     rows, filled = _filled_counts(df)
+    if not rows:
+        return df, df.sparkSession.createDataFrame(
+            [("warning", None, "empty table: nothing to fill")], NOTES)
+    schema = detect_column_types(df)
+    known = dict(medians or {})
     notes: list[tuple[str, str | None, str]] = []
 
     if time_column and time_column in df.columns:
@@ -160,6 +169,7 @@ def impute_missing_values(
             notes.append(("time_series", None, "last known value in time order, first one ahead"))
         else:
             notes.append(("time_series", None, "no gaps to fill along time"))
+        known = {c: m for c, m in known.items() if filled.get(c) == rows}
         filled = {c: rows if n else 0 for c, n in filled.items()}
 
     fills: dict[str, Column] = {}
@@ -167,7 +177,8 @@ def impute_missing_values(
     for c in numbers:
         if not filled[c]:
             notes.append((c, None, "left empty: no value to learn from"))
-    typical = _typical_numbers(df, [c for c in numbers if filled[c]], numeric_strategy)
+    typical = _typical_numbers(
+        df, [c for c in numbers if filled[c]], numeric_strategy, known)
     for c, (value, why) in typical.items():
         if filled[c] < rows:
             fills[c] = F.coalesce(as_double(c), F.lit(value))
@@ -205,9 +216,6 @@ def handle_missing_values(
     categorical_strategy: str = "mode",
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """``impute_missing_values`` with the median by default; an empty frame passes through."""
-    if df.isEmpty():
-        note = [("warning", None, "empty table: nothing to fill")]
-        return df, df.sparkSession.createDataFrame(note, NOTES)
+    """``impute_missing_values`` with the median by default."""
     return impute_missing_values(
         df, time_column, numeric_strategy, categorical_strategy, **options)

@@ -64,42 +64,37 @@ def text_shares(
     if not columns:
         return {}
     layouts = list(formats or DATETIME_FORMATS)
-    frame = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    if sample is not None:
-        frame = _first_values(frame, sample)
-    row = frame.agg(*[
-        F.struct(
-            F.count(c).alias("n"),
-            F.count(F.lit(1)).alias("rows"),
-            F.count(text_to_number(F.col(c))).alias("numeric"),
-            F.array(*[F.count(text_to_timestamp(F.col(c), f)) for f in layouts]).alias("dates"),
-        ).alias(c)
-        for c in frame.columns
-    ]).first()
-    out = {}
-    for i, name in enumerate(columns):
-        r = row[f"c{i}"]
+    if sample is None:
+        cells = df.unpivot([], [col(c) for c in columns], "c", "v")
+    else:
+        cells = _first_values(df, columns, sample)
+    counted = cells.groupBy("c").agg(
+        F.count("v").alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count(text_to_number(F.col("v"))).alias("numeric"),
+        F.array(*[F.count(text_to_timestamp(F.col("v"), f)) for f in layouts]).alias("dates"),
+    ).collect()  # one row per column
+    out = {c: TextShares(0, 0.0, 0.0, layouts[0]) for c in columns}
+    for r in counted:
         base = (r["rows"] if of_all_rows else r["n"]) or 1
         best = max(range(len(layouts)), key=lambda k: (r["dates"][k], -k))
-        out[name] = TextShares(
-            r["n"], r["numeric"] / base, r["dates"][best] / base, layouts[best]
-        )
+        out[r["c"]] = TextShares(
+            r["n"], r["numeric"] / base, r["dates"][best] / base, layouts[best])
     return out
 
 
-def _first_values(frame: DataFrame, n: int) -> DataFrame:
-    """First non-null values of each column as a small frame. ``limit(n).collect()`` reads
-    partitions one after another until it has enough, so this does not scan the table."""
-    names = frame.columns
-    head = frame.limit(n).collect()
-    found: dict[str, list] = {c: [r[c] for r in head if r[c] is not None] for c in names}
-    for c in names:
-        if len(found[c]) < n and len(head) == n:
-            more = frame.select(c).where(F.col(c).isNotNull()).limit(n).collect()
-            found[c] = [r[0] for r in more]
-    depth = max((len(v) for v in found.values()), default=0)
-    rows = [tuple(v[i] if i < len(v) else None for v in found.values()) for i in range(depth)]
-    return frame.sparkSession.createDataFrame(rows, frame.schema)
+def _first_values(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """(c, v): the first non-null values of each column. ``limit(n).collect()`` reads partitions
+    one after another until it has enough, so this does not scan the table."""
+    head = df.select(*[col(c) for c in columns]).limit(n).collect()
+    cells: list[tuple[str, str]] = []
+    for i, c in enumerate(columns):
+        found = [r[i] for r in head if r[i] is not None]
+        if len(found) < n and len(head) == n:
+            rest = df.select(col(c)).where(col(c).isNotNull()).limit(n).collect()
+            found = [r[0] for r in rest]
+        cells += [(c, v) for v in found]
+    return df.sparkSession.createDataFrame(cells, "c string, v string").coalesce(1)
 
 
 def detect_column_types(

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions.aggregates import AggFunc, aggregate
 from ..functions.columns import col
-from ..functions.ordered import ROWS_PER_RANGE
+from ..functions.ordered import VALUES_PER_RANGE
 from ..functions.quantiles import grouped_median
 from ..functions.skew import same_key
 
@@ -44,7 +44,7 @@ def group_aggregate(
     aggfunc: AggSpec,
     *,
     order_by: Sequence[str] | None = None,
-    median_limit: int = ROWS_PER_RANGE,
+    median_limit: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """keys + one aggregate per metric, missing keys kept as a group.
 

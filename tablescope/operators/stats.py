@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.quantiles import Centre, quantiles_and_centres
 
 # Aggregates with more than about 90 buffers leave whole-stage code generation.
 _COLUMNS_PER_PASS = 14
+QUARTILES = (0.25, 0.5, 0.75)
 DESCRIBE_COLUMNS = (
     "column string, count bigint, mean double, median double, std double, variance double, "
     "skewness double, kurtosis double, q1 double, q3 double, iqr double, "
@@ -37,17 +39,45 @@ def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, Centre]:
     return out
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Quartiles and centres of columns, collected once and reused."""
+
+    quartiles: dict[str, dict[float, float | None]] = field(default_factory=dict)
+    centres: dict[str, Centre] = field(default_factory=dict)
+
+    def only(self, columns: Iterable[str]) -> Profile:
+        kept = [c for c in columns if c in self.centres]
+        return Profile({c: self.quartiles[c] for c in kept}, {c: self.centres[c] for c in kept})
+
+
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str], known: Profile | None = None
+) -> Profile:
+    """Quartiles and centres of the columns; those already ``known`` are not computed again."""
+    known = (known or Profile()).only(columns)
+    todo = [c for c in columns if c not in known.centres]
+    if not todo:
+        return known
+    quartiles, centre = quantiles_and_centres(df, todo, QUARTILES)
+    return Profile({**known.quartiles, **quartiles}, {**known.centres, **centre})
+
+
 def describe_numerical(
-    df: DataFrame, numeric_cols: Sequence[str] | None = None
+    df: DataFrame,
+    numeric_cols: Sequence[str] | None = None,
+    *,
+    known: Profile | None = None,
 ) -> DataFrame:
     """One row per numeric column: moments, quartiles and IQR outliers, most outliers first.
 
     Spread is over n; skewness and kurtosis are bias-adjusted; outliers lie strictly outside
-    1.5 interquartile ranges from the quartiles."""
+    1.5 interquartile ranges from the quartiles. ``known`` may pass a profile of ``df``."""
     chosen = C.pick_numeric(df, numeric_cols)
     if not chosen:
         return df.sparkSession.createDataFrame([], DESCRIBE_COLUMNS)
-    quartiles, centre = quantiles_and_centres(df, chosen, (0.25, 0.5, 0.75))
+    profile = numeric_profile(df, chosen, known)
+    quartiles, centre = profile.quartiles, profile.centres
     parts = [
         _describe(df, part, centre, quartiles) for part in C.chunks(chosen, _COLUMNS_PER_PASS)
     ]

@@ -20,7 +20,7 @@ from ..operators.olap import dice, pivot_analysis, rollup, slice_olap
 from ..operators.quality import detect_missing_values, duplicate_count, summarize_schema
 from ..operators.roles import ColumnRoles, classify_dataset, infer_column_semantics
 from ..operators.schema import detect_schema
-from ..operators.stats import describe_numerical
+from ..operators.stats import describe_numerical, numeric_profile
 from ..operators.temporal import (
     aggregate_time,
     detect_temporal_anomalies,
@@ -28,7 +28,7 @@ from ..operators.temporal import (
     rolling_average,
 )
 from ..sources.names import normalize_columns
-from ..storage import materialize
+from ..storage import materialize, together
 from .insights import INSIGHTS, generate_insights, insight_rows
 
 
@@ -79,56 +79,80 @@ def run_pipeline(
     if _is_derived(source, typed):
         typed = materialize(typed, "typed")
     schema = detect_schema(typed, verify=True)
+    numbers = C.numeric_columns(typed)
+    first = together({
+        "summary": lambda: _settled(summarize_schema(typed, approx=approx_distinct)),
+        "missing": lambda: _settled(detect_missing_values(typed)),
+        "duplicates": lambda: _settled(duplicate_count(typed)),
+        "profile": lambda: numeric_profile(typed, numbers),
+    })
+    profile = first.pop("profile")
     sections["schema"] = schema.to_frame(typed)
-    sections["summary"] = _settled(summarize_schema(typed, approx=approx_distinct))
-    sections["missing"] = _settled(detect_missing_values(typed))
-    duplicates = duplicate_count(typed).first()["duplicates"]
-    sections["duplicates"] = spark.createDataFrame([(duplicates,)], "duplicates bigint")
+    sections.update(first)
+    duplicates = sections["duplicates"].first()["duplicates"]
 
-    gaps = {r["column"] for r in sections["missing"].collect() if r["missing_count"] > 0}
+    missing = {r["column"]: r["missing_count"] for r in sections["missing"].collect()}
+    whole = [c for c, n in missing.items() if not n]
     unique = {
         r["column"]: r["unique"]
         for r in sections["summary"].collect()
-        if r["column"] not in gaps and r["unique"] is not None and not approx_distinct
+        if r["column"] in whole and r["unique"] is not None and not approx_distinct
     }
     date_col = schema.datetime[0] if schema.datetime else None
-    clean, notes = handle_missing_values(typed, date_col, "median", "mode")
+    clean, notes = handle_missing_values(
+        typed, date_col, "median", "mode",
+        medians={c: q[0.5] for c, q in profile.quartiles.items()})
     sections["cleaning"] = notes
-    if gaps:
+    if len(whole) < len(missing):
         clean = materialize(clean, "clean")
 
+    # columns without gaps are the same in the clean table, so what is known of them holds
     numbers = C.numeric_columns(clean)
-    stats = _settled(describe_numerical(clean))
-    sections["stats"] = stats
+    profile = numeric_profile(clean, numbers, profile.only(whole))
+    second = together({
+        "stats": lambda: _settled(describe_numerical(clean, known=profile)),
+        "correlation": lambda: _correlation(clean, numbers, profile),
+        "dominant_categories": lambda: _settled(dominant_categories(clean, schema.categorical)),
+        "roles": lambda: infer_column_semantics(clean, schema, unique=unique),
+        "rows": clean.count,
+    })
+    roles, rows = second.pop("roles"), second.pop("rows")
+    sections.update(second)
+    stats, corr = sections["stats"], sections["correlation"]
     sections["outliers"] = stats.select("column", "outlier_count", "outlier_ratio")
-    corr = _settled(compute_correlation(clean, numbers)) if numbers else (
-        spark.createDataFrame([], CORRELATION))
-    sections["correlation"] = corr
-    pairs = _settled(signed_pairs(corr))
-    sections["correlation_pairs"] = pairs
-
-    roles = infer_column_semantics(clean, schema, unique=unique)
     sections["roles"] = roles.to_frame(clean)
-    scores = calculate_advanced_feature_importance(
-        clean, schema.numeric, schema.categorical, roles.identifiers, corr=corr)
-    sections["importance_numeric"] = scores["numeric"]
-    sections["importance_categorical"] = _settled(scores["categorical"])
-    dominant = _settled(dominant_categories(clean, schema.categorical))
-    sections["dominant_categories"] = dominant
-    kind = classify_dataset(clean, schema, roles, unique=unique)
-
     metric = next(iter([*roles.metrics, *numbers]), None)
-    _add_temporal(sections, warnings, clean, date_col, metric)
-    _add_olap(sections, warnings, clean, schema, roles)
-
-    found = generate_insights(
-        rows=clean.count(), duplicates=duplicates,
+    third = together({
+        "pairs": lambda: _settled(signed_pairs(corr)),
+        "scores": lambda: calculate_advanced_feature_importance(
+            clean, schema.numeric, schema.categorical, roles.identifiers, corr=corr),
+        "kind": lambda: classify_dataset(clean, schema, roles, unique=unique),
+        "temporal": lambda: _temporal(clean, date_col, metric),
+        "olap": lambda: _olap(clean, schema, roles),
+    })
+    sections["correlation_pairs"] = pairs = third["pairs"]
+    sections["importance_numeric"] = third["scores"]["numeric"]
+    sections["importance_categorical"] = third["scores"]["categorical"]
+    for part in ("temporal", "olap"):
+        found, said = third[part]
+        sections.update(found)
+        warnings += said
+
+    insights = generate_insights(
+        rows=rows, duplicates=duplicates,
         missing=sections["missing"].collect(), stats=stats.collect(), pairs=pairs.collect(),
         identifiers=roles.identifiers, identifier_reasons=roles.identifier_reasons,
-        dominant=dominant.collect(), dataset_type=kind,
+        dominant=sections["dominant_categories"].collect(), dataset_type=third["kind"],
     )
-    sections["insights"] = spark.createDataFrame(insight_rows(found), INSIGHTS)
-    return clean, Report(sections, warnings, schema, roles, kind, date_col, duplicates)
+    sections["insights"] = spark.createDataFrame(insight_rows(insights), INSIGHTS)
+    return clean, Report(
+        sections, warnings, schema, roles, third["kind"], date_col, duplicates)
+
+
+def _correlation(clean, numbers, profile) -> DataFrame:
+    if not numbers:
+        return clean.sparkSession.createDataFrame([], CORRELATION)
+    return _settled(compute_correlation(clean, numbers, known=profile.centres))
 
 
 def _is_derived(source: DataFrame, typed: DataFrame) -> bool:
@@ -136,40 +160,39 @@ def _is_derived(source: DataFrame, typed: DataFrame) -> bool:
     return [f.dataType for f in source.schema] != [f.dataType for f in typed.schema]
 
 
-def _add_temporal(sections, warnings, clean, date_col, metric) -> None:
+def _temporal(clean, date_col, metric) -> tuple[dict[str, DataFrame], list[str]]:
     if date_col is None:
-        warnings.append("No date column: no time series.")
-        return
-    values = C.numeric_columns(clean)
-    sections["time_series"] = aggregate_time(clean, date_col)
-    sections["time_rolling"] = rolling_average(clean, date_col)
-    if not values:
-        warnings.append("No numeric column: no trend.")
-        return
+        return {}, ["No date column: no time series."]
+    out = {
+        "time_series": aggregate_time(clean, date_col),
+        "time_rolling": rolling_average(clean, date_col),
+    }
+    if metric is None:
+        return out, ["No numeric column: no trend."]
     found = detect_temporal_anomalies(clean, date_col, metric)
-    sections["anomaly_count"] = _settled(found["count"])
-    sections["anomalies"] = found["anomalies"]
-    sections["trend"] = _settled(detect_trend(clean, date_col, metric))
+    out["anomaly_count"] = _settled(found["count"])
+    out["anomalies"] = found["anomalies"]
+    out["trend"] = _settled(detect_trend(clean, date_col, metric))
+    return out, []
 
 
-def _add_olap(sections, warnings, clean, schema, roles) -> None:
+def _olap(clean, schema, roles) -> tuple[dict[str, DataFrame], list[str]]:
     flat = [f.name for f in clean.schema.fields if C.type_class(f.dataType) != C.OTHER]
     dims = [c for c in schema.categorical if c in flat]
     dims = [c for c in dims if c not in roles.identifiers] or dims  # groups of one tell nothing
     numbers = C.pick_numeric(clean, schema.numeric)
     if not dims or not numbers:
-        warnings.append("No category and number to group: no OLAP views.")
-        return
+        return {}, ["No category and number to group: no OLAP views."]
     first, metric = dims[0], numbers[0]
     second = dims[1] if len(dims) > 1 else None
-    sections["olap_rollup"] = rollup(clean, [first], [metric])
+    out, warnings = {"olap_rollup": rollup(clean, [first], [metric])}, []
     try:
-        sections["olap_pivot"] = pivot_analysis(
-            clean, [first], [second] if second else None, metric)
+        out["olap_pivot"] = pivot_analysis(clean, [first], [second] if second else None, metric)
     except ValueError as error:
         warnings.append(f"No pivot: {error}")
     low = clean.agg(*[F.min(col(c)).alias(f"v{i}") for i, c in enumerate(dims[:2])]).first()
     if low["v0"] is not None:
-        sections["olap_slice"] = slice_olap(clean, {first: low["v0"]}, [metric])
+        out["olap_slice"] = slice_olap(clean, {first: low["v0"]}, [metric])
         if second and low["v1"] is not None:
-            sections["olap_dice"] = dice(clean, {first: low["v0"], second: low["v1"]}, [metric])
+            out["olap_dice"] = dice(clean, {first: low["v0"], second: low["v1"]}, [metric])
+    return out, warnings

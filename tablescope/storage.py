@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -53,6 +56,14 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(steps: Mapping[str, Callable[[], Any]], at_once: int = 6) -> dict[str, Any]:
+    """Run independent Spark actions from several driver threads, so that the short jobs of a
+    report overlap instead of queueing; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        running = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def local_session(cores: int | str = 8, app: str = "tablescope") -> SparkSession:
     """Session used by the tests and the benchmark."""
     spark = (
