@@ -15,8 +15,10 @@ _LONG_TEXT = 64
 
 
 def _short(value: Column) -> Column:
-    """Long text stands in the shuffle as its SHA-256, which tells texts apart just as well."""
-    return F.when(F.length(value) > _LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+    """Long text stands in the shuffle as its start and its SHA-256, which tell texts apart just
+    as well. The result is longer than any text that stands for itself, so the two never meet."""
+    digest = F.concat(F.substring(value, 1, _LONG_TEXT), F.sha2(value, 256))
+    return F.when(F.length(value) > _LONG_TEXT, digest).otherwise(value)
 
 
 def _counted(df: DataFrame, column: str, *, short: bool = False) -> DataFrame:
@@ -33,7 +35,7 @@ def _counted(df: DataFrame, column: str, *, short: bool = False) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: Sequence[str], *, short: bool = False) -> DataFrame:
     """(column, value as text, n) for every distinct non-null value. With ``short`` long texts
-    are represented by their digest, for uses that need the counts only.
+    are represented by start and digest, for uses that need the counts only.
 
     Each column is its own narrow scan and its own typed aggregate: on a columnar table the
     scans together read every byte once, and no row is widened or copied per column."""
@@ -56,3 +58,19 @@ def distinct_counts(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("unique"))
         for c in columns
     ])
+
+
+def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """column -> (most frequent value as text, its count), collected; columns without a value are
+    left out. Equally frequent values go by text order, long texts by their first characters."""
+    if not columns:
+        return {}
+    best = value_counts(df, columns, short=True).groupBy("column").agg(
+        F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top")
+    ).collect()  # one row per column
+    found = {r["column"]: (r["top"]["value"], -r["top"]["less"]) for r in best}
+    for c, (key, n) in found.items():
+        if isinstance(df.schema[c].dataType, T.StringType) and len(key) > _LONG_TEXT:
+            text = df.select(col(c)).where(_short(col(c)) == key).limit(1).collect()[0][0]
+            found[c] = (text, n)
+    return found

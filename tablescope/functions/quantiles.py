@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from .columns import as_double, chunks, col
 from .ordered import RANGE, split_by_value
 
 SKETCH_ACCURACY = 2_000
+SKETCH_ROWS = 1_000_000
 MAX_IN_BRACKET = 500_000
 BINS = 1024
 _COLUMNS_PER_PASS = 40
@@ -120,30 +121,52 @@ def _exact_quantiles(df, columns, probs, limit, accuracy):
     return out, {name: centres[c] for c, name in names.items()}
 
 
-def _bracket(values, cols, probs, accuracy):
-    margin = 2.0 / accuracy
-    asked = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    sketch = F.array(*[F.lit(a) for a in asked])
+def centres_of(values: DataFrame, cols: Sequence[str]) -> dict[str, Centre]:
+    """Row count, non-null count, mean and range of double columns: plain sums in one pass."""
     row = values.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.struct(
-            F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("min"),
-            F.max(c).alias("max"), F.percentile_approx(c, sketch, accuracy).alias("q"),
-        ).alias(c) for c in cols],
+        *[e for c in cols for e in (
+            F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
+            F.min(c).alias(f"l_{c}"), F.max(c).alias(f"h_{c}"),
+        )],
     ).first()
-    centres, targets = {}, []
+    return {
+        c: Centre(row["rows"], *[row[f"{k}_{c}"] for k in "nmlh"]) for c in cols
+    }
+
+
+def _bracket(values, cols, probs, accuracy):
+    """A sketch of a bounded sample brackets each rank. How good it is decides only how many
+    values the later passes look at: every bracket is counted, and replaced if it missed."""
+    centres = {c: m for part in chunks(cols, 20) for c, m in centres_of(values, part).items()}
+    rows = max((m.rows for m in centres.values()), default=0)
+    fraction = min(1.0, SKETCH_ROWS / max(rows, 1))
+    sample = values.where(F.rand(seed=7) < fraction) if fraction < 1.0 else values
+    live = [c for c in cols if centres[c].count and not centres[c].constant]
+    margin = {}
+    for c in live:
+        drawn = max(1.0, fraction * centres[c].count)
+        margin[c] = 2.0 / accuracy + (2.5 / sqrt(drawn) if fraction < 1.0 else 0.0)
+    sketches = sample.agg(*[
+        F.percentile_approx(c, F.array(*[
+            F.lit(min(1.0, max(0.0, p + s * margin[c]))) for p in probs for s in (-1, 1)
+        ]), accuracy).alias(c)
+        for c in live
+    ]).first() if live else None
+    targets = []
     for c in cols:
-        s = row[c]
-        centres[c] = Centre(row["rows"], s["n"], s["mean"], s["min"], s["max"])
-        if not s["n"]:
+        m = centres[c]
+        if not m.count:
             continue
-        q = dict(zip(asked, s["q"]))
-        for p in probs:
-            low = q[min(1.0, max(0.0, p - margin))]
-            high = q[min(1.0, max(0.0, p + margin))]
-            at = (s["n"] - 1) * p
-            for rank in sorted({floor(at), ceil(at)}):
-                targets.append(_Target(c, p, rank, low, high))
+        for k, p in enumerate(probs):
+            low, high = m.low, m.high
+            if c in margin and sketches[c] is not None:
+                if p - margin[c] > 0:
+                    low = sketches[c][2 * k]
+                if p + margin[c] < 1:
+                    high = sketches[c][2 * k + 1]
+            at = (m.count - 1) * p
+            targets += [_Target(c, p, r, low, high) for r in sorted({floor(at), ceil(at)})]
     return centres, targets
 
 
@@ -170,6 +193,9 @@ def _numbered(targets) -> dict[tuple[str, float, float], int]:
 
 def _inside(values, brackets: dict[tuple[str, float, float], int], mark) -> DataFrame:
     """Rows (t, v, x) for each value that falls into bracket t; most rows yield nothing."""
+    any_bracket = F.lit(False)  # spares most rows the array below
+    for c, low, high in brackets:
+        any_bracket = any_bracket | F.col(c).between(low, high)
     entries = [
         F.when(
             F.col(c).between(low, high),
@@ -179,8 +205,8 @@ def _inside(values, brackets: dict[tuple[str, float, float], int], mark) -> Data
         for (c, low, high), i in brackets.items()
     ]
     return (
-        values.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-        .select("e.*")
+        values.where(any_bracket).select(F.explode(F.array(*entries)).alias("e"))
+        .where(F.col("e").isNotNull()).select("e.*")
     )
 
 

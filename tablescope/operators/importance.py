@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import as_double
-from ..functions.counts import value_counts
+from ..functions.counts import top_values, value_counts
 from .correlation import compute_correlation
 
 SCORES = "column string, score double"
@@ -132,15 +132,19 @@ def calculate_advanced_feature_importance(
     }
 
 
-def dominant_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def dominant_categories(
+    df: DataFrame,
+    columns: Sequence[str],
+    *,
+    known: Mapping[str, tuple[str, int]] | None = None,
+) -> DataFrame:
     """(column, value, ratio): the most frequent value and its share of all rows; among equally
-    frequent values the smallest text."""
+    frequent values the smallest text. ``known`` may pass top values of columns of ``df``."""
     flat = [f.name for f in df.schema.fields if C.type_class(f.dataType) != C.OTHER]
     chosen = [c for c in columns if c in flat]
-    if not chosen:
-        return df.sparkSession.createDataFrame([], "column string, value string, ratio double")
-    total = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return value_counts(df, chosen).groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top")
-    ).select("column", F.col("top.value").alias("value"),
-             (-F.col("top.less") / total).alias("ratio"))
+    found = {c: known[c] for c in chosen if known and c in known}
+    found.update(top_values(df, [c for c in chosen if c not in found]))
+    rows = df.count() if found else 0
+    return df.sparkSession.createDataFrame(
+        [(c, value, n / rows) for c, (value, n) in found.items()],
+        "column string, value string, ratio double")

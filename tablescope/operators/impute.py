@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,17 +11,32 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_skewness
 from ..functions.columns import as_double, col
-from ..functions.counts import distinct_counts, value_counts
+from ..functions.counts import distinct_counts, top_values
 from ..functions.ordered import RANGE, split_by_order
 from ..functions.quantiles import exact_quantiles
 from ..storage import materialize
-from .inference import detect_column_types
+from .inference import TableSchema, detect_column_types
 
 NOTES = "column string, fill_value string, rationale string"
 UNKNOWN = "Unknown"
 SKEWED = 0.5
 
 
+@dataclass(frozen=True)
+class Known:
+    """What earlier passes already tell about a frame; everything is optional."""
+
+    schema: TableSchema | None = None
+    medians: Mapping[str, float | None] = field(default_factory=dict)
+    unique: Mapping[str, int] = field(default_factory=dict)
+    top: Mapping[str, tuple[str, int]] = field(default_factory=dict)
+
+    def only(self, columns: set[str]) -> Known:
+        def kept(found: Mapping) -> dict:
+            return {c: v for c, v in found.items() if c in columns}
+        return Known(self.schema, kept(self.medians), kept(self.unique), kept(self.top))
+
+
 def _flat(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if C.type_class(f.dataType) != C.OTHER]
 
@@ -118,19 +134,21 @@ def _typical_numbers(df, columns, strategy, medians) -> dict[str, tuple[float, s
     return out
 
 
-def _typical_categories(df, columns, rows) -> dict[str, str | None]:
+def _typical_categories(df, columns, rows, known) -> dict[str, str | None]:
     """column -> most frequent value as text, ties to the smallest; None when more than half of
     the rows differ. Such columns are told by their distinct counts first, so that their values
     (often long text) are never shuffled."""
     if not columns:
         return {}
-    distinct = {r["column"]: r["unique"] for r in distinct_counts(df, columns).collect()}
+    distinct = dict(known.unique)
+    todo = [c for c in columns if c not in distinct]
+    if todo:
+        distinct.update({r["column"]: r["unique"] for r in distinct_counts(df, todo).collect()})
     few = [c for c in columns if distinct[c] <= rows * 0.5]
     out: dict[str, str | None] = dict.fromkeys(columns)
-    if few:
-        top = value_counts(df, few).groupBy("column").agg(
-            F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"))
-        out.update({r["column"]: r["top"]["value"] for r in top.collect()})
+    top = {c: known.top[c] for c in few if c in known.top}
+    top.update(top_values(df, [c for c in few if c not in top]))
+    out.update({c: value for c, (value, _) in top.items()})
     return out
 
 
@@ -142,22 +160,22 @@ def impute_missing_values(
     *,
     tie_breaks: Sequence[str] = (),
     rows_per_range: int | None = None,
-    medians: Mapping[str, float | None] | None = None,
+    known: Known | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(frame without gaps, notes (column, fill_value, rationale)).
 
     With a time column all columns are first filled along time. Then numbers get the median or
     mean (``auto``: the median when skewed), categories and flags the most frequent value, or
     "Unknown" when more than half of the rows differ. A flag column that must hold "Unknown"
-    becomes text, and an integer column that had gaps becomes double. ``medians`` may pass what is
-    already known; a time fill makes those of the columns it touched obsolete."""
+    becomes text, and an integer column that had gaps becomes double. What is ``known`` of ``df`` is
+    not computed again; a time fill makes that of the columns it touched obsolete."""
     df = C.nan_to_null(df)
     rows, filled = _filled_counts(df)
     if not rows:
         return df, df.sparkSession.createDataFrame(
             [("warning", None, "empty table: nothing to fill")], NOTES)
-    schema = detect_column_types(df)
-    known = dict(medians or {})
+    known = known or Known()
+    schema = known.schema or detect_column_types(df)
     notes: list[tuple[str, str | None, str]] = []
 
     if time_column and time_column in df.columns:
@@ -169,7 +187,7 @@ def impute_missing_values(
             notes.append(("time_series", None, "last known value in time order, first one ahead"))
         else:
             notes.append(("time_series", None, "no gaps to fill along time"))
-        known = {c: m for c, m in known.items() if filled.get(c) == rows}
+        known = known.only({c for c, n in filled.items() if n == rows})
         filled = {c: rows if n else 0 for c, n in filled.items()}
 
     fills: dict[str, Column] = {}
@@ -178,7 +196,7 @@ def impute_missing_values(
         if not filled[c]:
             notes.append((c, None, "left empty: no value to learn from"))
     typical = _typical_numbers(
-        df, [c for c in numbers if filled[c]], numeric_strategy, known)
+        df, [c for c in numbers if filled[c]], numeric_strategy, known.medians)
     for c, (value, why) in typical.items():
         if filled[c] < rows:
             fills[c] = F.coalesce(as_double(c), F.lit(value))
@@ -187,7 +205,7 @@ def impute_missing_values(
     text = set(C.columns_of_class(df, C.STRING, C.BOOLEAN))
     groups = [c for c in schema.categorical + schema.boolean if c in text]
     wanted = [c for c in groups if filled[c] and categorical_strategy != "unknown"]
-    modes = _typical_categories(df, wanted, rows)
+    modes = _typical_categories(df, wanted, rows, known)
     for c in groups:
         if not filled[c]:
             value, why = UNKNOWN, "no value to learn from"

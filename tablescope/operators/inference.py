@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -108,15 +108,22 @@ def detect_column_types(
         return TableSchema()
     text = C.columns_of_class(df, C.STRING)
     shares = text_shares(df, text, sample=sample, formats=datetime_formats)
-    buckets: dict[str, list[str]] = {
+    return _by_kind(df, {c: text_kind(shares[c]) for c in text})
+
+
+def declared_types(df: DataFrame) -> TableSchema:
+    """Kinds by type alone, text as categorical: what ``detect_column_types`` finds once
+    ``validate_and_convert_types`` has been applied, without looking at values again."""
+    return _by_kind(df, dict.fromkeys(C.columns_of_class(df, C.STRING), "categorical"))
+
+
+def _by_kind(df: DataFrame, text_kinds: Mapping[str, str]) -> TableSchema:
+    names: dict[str, list[str]] = {
         k: [] for k in ("numeric", "categorical", "datetime", "boolean", "other")
     }
     for f in df.schema.fields:
-        kind = C.type_class(f.dataType)
-        if kind == C.STRING:
-            kind = text_kind(shares[f.name])
-        buckets[kind].append(f.name)
-    return TableSchema(**buckets)
+        names[text_kinds.get(f.name) or C.type_class(f.dataType)].append(f.name)
+    return TableSchema(**names)
 
 
 def text_kind(share: TextShares, numeric_share: float = NUMERIC_SHARE) -> str:

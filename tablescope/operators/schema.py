@@ -51,16 +51,19 @@ def detect_schema(
     words: Mapping[str, Sequence[str]] | None = None,
     *,
     verify: bool = False,
+    by_value: TableSchema | None = None,
 ) -> TableSchema:
     """Kind of every column: by name words, then by an id-like name, then by type and values.
 
     Name words match anywhere in a name ("order" makes o_orderkey a date). With ``verify`` a
     name may call a column a date only if it is one or mostly parses as one, and an amount only
-    if it is numeric; otherwise the next rule decides."""
-    if df.isEmpty():
-        return TableSchema()
+    if it is numeric; otherwise the next rule decides. ``by_value`` may pass the kinds by value
+    if they are known."""
+    if by_value is None:
+        if df.isEmpty():
+            return TableSchema()
+        by_value = detect_column_types(df)
     words = NAME_WORDS if words is None else words
-    by_value = detect_column_types(df)
     kinds: dict[str, str] = {}
     rules: dict[str, str] = {}
     for c in df.columns:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_kurtosis, adjusted_skewness
 from ..functions.columns import as_double
-from ..functions.quantiles import Centre, quantiles_and_centres
+from ..functions.quantiles import Centre, centres_of, quantiles_and_centres
 
 # Aggregates with more than about 90 buffers leave whole-stage code generation.
 _COLUMNS_PER_PASS = 14
@@ -27,15 +27,10 @@ def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, Centre]:
     """Row count, non-null count, mean and range of each column, collected."""
     out: dict[str, Centre] = {}
     for part in C.chunks(list(columns), 20):
-        row = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(part)]).agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[e for i in range(len(part)) for e in (
-                F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"m{i}"),
-                F.min(f"c{i}").alias(f"l{i}"), F.max(f"c{i}").alias(f"h{i}"),
-            )],
-        ).first()
-        for i, c in enumerate(part):
-            out[c] = Centre(row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"l{i}"], row[f"h{i}"])
+        keys = [f"c{i}" for i in range(len(part))]
+        values = df.select(*[as_double(c).alias(k) for c, k in zip(part, keys)])
+        found = centres_of(values, keys)
+        out.update({c: found[k] for c, k in zip(part, keys)})
     return out
 
 

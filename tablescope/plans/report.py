@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import col
+from ..functions.counts import top_values
 from ..operators.correlation import CORRELATION, compute_correlation, signed_pairs
 from ..operators.importance import (
     calculate_advanced_feature_importance,
     dominant_categories,
 )
-from ..operators.impute import handle_missing_values
-from ..operators.inference import TableSchema, validate_and_convert_types
+from ..operators.impute import Known, handle_missing_values
+from ..operators.inference import TableSchema, declared_types, validate_and_convert_types
 from ..operators.olap import dice, pivot_analysis, rollup, slice_olap
 from ..operators.quality import detect_missing_values, duplicate_count, summarize_schema
 from ..operators.roles import ColumnRoles, classify_dataset, infer_column_semantics
@@ -78,15 +79,19 @@ def run_pipeline(
     typed = validate_and_convert_types(source)
     if _is_derived(source, typed):
         typed = materialize(typed, "typed")
-    schema = detect_schema(typed, verify=True)
+    by_value = declared_types(typed)
+    schema = detect_schema(typed, verify=True, by_value=by_value)
     numbers = C.numeric_columns(typed)
+    flat = {f.name for f in typed.schema.fields if C.type_class(f.dataType) != C.OTHER}
+    grouping = [c for c in schema.categorical if c in flat]
     first = together({
         "summary": lambda: _settled(summarize_schema(typed, approx=approx_distinct)),
         "missing": lambda: _settled(detect_missing_values(typed)),
         "duplicates": lambda: _settled(duplicate_count(typed)),
         "profile": lambda: numeric_profile(typed, numbers),
+        "top": lambda: top_values(typed, grouping),
     })
-    profile = first.pop("profile")
+    profile, top = first.pop("profile"), first.pop("top")
     sections["schema"] = schema.to_frame(typed)
     sections.update(first)
     duplicates = sections["duplicates"].first()["duplicates"]
@@ -101,7 +106,7 @@ def run_pipeline(
     date_col = schema.datetime[0] if schema.datetime else None
     clean, notes = handle_missing_values(
         typed, date_col, "median", "mode",
-        medians={c: q[0.5] for c, q in profile.quartiles.items()})
+        known=Known(by_value, {c: q[0.5] for c, q in profile.quartiles.items()}, unique, top))
     sections["cleaning"] = notes
     if len(whole) < len(missing):
         clean = materialize(clean, "clean")
@@ -112,7 +117,8 @@ def run_pipeline(
     second = together({
         "stats": lambda: _settled(describe_numerical(clean, known=profile)),
         "correlation": lambda: _correlation(clean, numbers, profile),
-        "dominant_categories": lambda: _settled(dominant_categories(clean, schema.categorical)),
+        "dominant_categories": lambda: dominant_categories(
+            clean, schema.categorical, known={c: v for c, v in top.items() if c in whole}),
         "roles": lambda: infer_column_semantics(clean, schema, unique=unique),
         "rows": clean.count,
     })
@@ -170,9 +176,11 @@ def _temporal(clean, date_col, metric) -> tuple[dict[str, DataFrame], list[str]]
     if metric is None:
         return out, ["No numeric column: no trend."]
     found = detect_temporal_anomalies(clean, date_col, metric)
-    out["anomaly_count"] = _settled(found["count"])
     out["anomalies"] = found["anomalies"]
-    out["trend"] = _settled(detect_trend(clean, date_col, metric))
+    out.update(together({
+        "anomaly_count": lambda: _settled(found["count"]),
+        "trend": lambda: _settled(detect_trend(clean, date_col, metric)),
+    }))
     return out, []
 
 

@@ -52,6 +52,18 @@ def test_exact_quantiles_equal_numpy(frame, skewed, limit, accuracy):
         assert got["e"][p] is None
 
 
+def test_exact_quantiles_survive_a_poor_sample(frame, skewed, monkeypatch):
+    from tablescope.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 12)
+    df = frame([(v,) for v in skewed], "v double").repartition(4)
+    probs = (0.05, 0.25, 0.5, 0.75)
+    for margin in (2000, 3):
+        got = exact_quantiles(df, ["v"], probs, max_in_bracket=10, sketch_accuracy=margin)
+        for p in probs:
+            assert got["v"][p] == pytest.approx(np.quantile(skewed, p), rel=1e-12)
+
+
 def test_exact_quantiles_of_extreme_values(frame):
     values = [-1.7e308, -1e300, -5.0, 0.0, 5e-324, 1e-300, 3.0, 1e300, 1.7e308]
     df = frame([(v,) for v in values], "v double")
@@ -166,14 +178,16 @@ def test_duplicates_agree_on_every_path(frame, subset, monkeypatch):
 
 
 def test_distinct_counts_of_long_text(frame):
-    from tablescope.functions.counts import distinct_counts, value_counts
+    from tablescope.functions.counts import distinct_counts, top_values, value_counts
 
     long = "z" * 500
     df = frame([(long + str(i % 7), float(i % 3)) for i in range(50)]
                + [(None, float("nan")), ("z", -0.0)], "t string, v double")
     got = {r["column"]: r["unique"] for r in distinct_counts(df, ["t", "v"]).collect()}
     assert got == {"t": 8, "v": 3}
-    kept = value_counts(df, ["t"]).where("length(value) > 64").count()
+    kept = value_counts(df, ["t"]).where("length(value) > 128").count()
     assert kept == 7
+    more = df.unionByName(df.where(F.col("t").endswith("z3")))
+    assert top_values(more, ["t", "v"]) == {"t": (long + "3", 14), "v": ("0.0", 21)}
     approx = {r["column"]: r["unique"] for r in distinct_counts(df, ["t"], approx=True).collect()}
     assert approx == {"t": 8}
