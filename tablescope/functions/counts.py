@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +61,26 @@ def distinct_counts(
     ])
 
 
-def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, int]]:
-    """column -> (most frequent value as text, its count), collected; columns without a value are
-    left out. Equally frequent values go by text order, long texts by their first characters."""
+class Top(NamedTuple):
+    """The most frequent value of a column as text, its count, and the number of values."""
+
+    value: str
+    n: int
+    unique: int
+
+
+def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, Top]:
+    """Collected per column; columns without a value are left out. Equally frequent values go by
+    text order, long texts by their first characters."""
     if not columns:
         return {}
     best = value_counts(df, columns, short=True).groupBy("column").agg(
-        F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top")
+        F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"),
+        F.count(F.lit(1)).alias("unique"),
     ).collect()  # one row per column
-    found = {r["column"]: (r["top"]["value"], -r["top"]["less"]) for r in best}
-    for c, (key, n) in found.items():
-        if isinstance(df.schema[c].dataType, T.StringType) and len(key) > _LONG_TEXT:
-            text = df.select(col(c)).where(_short(col(c)) == key).limit(1).collect()[0][0]
-            found[c] = (text, n)
+    found = {r["column"]: Top(r["top"]["value"], -r["top"]["less"], r["unique"]) for r in best}
+    for c, top in found.items():
+        if isinstance(df.schema[c].dataType, T.StringType) and len(top.value) > _LONG_TEXT:
+            text = df.select(col(c)).where(_short(col(c)) == top.value).limit(1).collect()[0][0]
+            found[c] = top._replace(value=text)
     return found

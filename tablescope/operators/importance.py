@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import as_double
-from ..functions.counts import top_values, value_counts
+from ..functions.counts import Top, top_values, value_counts
 from .correlation import compute_correlation
 
 SCORES = "column string, score double"
@@ -136,7 +136,7 @@ def dominant_categories(
     df: DataFrame,
     columns: Sequence[str],
     *,
-    known: Mapping[str, tuple[str, int]] | None = None,
+    known: Mapping[str, Top] | None = None,
 ) -> DataFrame:
     """(column, value, ratio): the most frequent value and its share of all rows; among equally
     frequent values the smallest text. ``known`` may pass top values of columns of ``df``."""
@@ -146,5 +146,5 @@ def dominant_categories(
     found.update(top_values(df, [c for c in chosen if c not in found]))
     rows = df.count() if found else 0
     return df.sparkSession.createDataFrame(
-        [(c, value, n / rows) for c, (value, n) in found.items()],
+        [(c, t.value, t.n / rows) for c, t in found.items()],
         "column string, value string, ratio double")

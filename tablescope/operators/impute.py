@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_skewness
 from ..functions.columns import as_double, col
-from ..functions.counts import distinct_counts, top_values
+from ..functions.counts import Top, distinct_counts, top_values
 from ..functions.ordered import RANGE, split_by_order
 from ..functions.quantiles import exact_quantiles
 from ..storage import materialize
@@ -29,7 +29,7 @@ class Known:
     schema: TableSchema | None = None
     medians: Mapping[str, float | None] = field(default_factory=dict)
     unique: Mapping[str, int] = field(default_factory=dict)
-    top: Mapping[str, tuple[str, int]] = field(default_factory=dict)
+    top: Mapping[str, Top] = field(default_factory=dict)
 
     def only(self, columns: set[str]) -> Known:
         def kept(found: Mapping) -> dict:
@@ -148,7 +148,7 @@ def _typical_categories(df, columns, rows, known) -> dict[str, str | None]:
     out: dict[str, str | None] = dict.fromkeys(columns)
     top = {c: known.top[c] for c in few if c in known.top}
     top.update(top_values(df, [c for c in few if c not in top]))
-    out.update({c: value for c, (value, _) in top.items()})
+    out.update({c: t.value for c, t in top.items()})
     return out
 
 

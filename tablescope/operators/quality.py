@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +30,20 @@ def _null_counts(df: DataFrame) -> DataFrame:
     ]).where("rows > 0")
 
 
-def summarize_schema(df: DataFrame, *, approx: bool = False) -> DataFrame:
+def summarize_schema(
+    df: DataFrame, *, approx: bool = False, known: Mapping[str, int] | None = None
+) -> DataFrame:
     """(column, dtype, non_null, null_ratio, unique), most missing first. Nested and binary
-    columns have no distinct count. ``approx`` replaces exact distinct counts by a sketch."""
+    columns have no distinct count. ``approx`` replaces exact distinct counts by a sketch;
+    ``known`` may pass distinct counts of columns of ``df``."""
     flat = [f.name for f in df.schema.fields if C.type_class(f.dataType) != C.OTHER]
-    nulls = _null_counts(df)
-    if flat:
-        nulls = nulls.join(distinct_counts(df, flat, approx=approx), "column", "left")
-    else:
-        nulls = nulls.withColumn("unique", F.lit(None).cast("long"))
-    return nulls.select(
+    counts = [
+        df.sparkSession.createDataFrame(list((known or {}).items()), "column string, unique bigint")
+    ]
+    todo = [c for c in flat if c not in (known or {})]
+    if todo:
+        counts.append(distinct_counts(df, todo, approx=approx))
+    return _null_counts(df).join(C.union_all(counts), "column", "left").select(
         "column", "dtype", "non_null",
         (1 - F.col("non_null") / F.col("rows")).alias("null_ratio"), "unique", "position",
     ).orderBy(F.desc("null_ratio"), "unique", "position").drop("position")

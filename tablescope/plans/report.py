@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import col
-from ..functions.counts import top_values
+from ..functions.counts import distinct_counts, top_values
 from ..operators.correlation import CORRELATION, compute_correlation, signed_pairs
 from ..operators.importance import (
     calculate_advanced_feature_importance,
@@ -84,14 +84,17 @@ def run_pipeline(
     numbers = C.numeric_columns(typed)
     flat = {f.name for f in typed.schema.fields if C.type_class(f.dataType) != C.OTHER}
     grouping = [c for c in schema.categorical if c in flat]
+    others = [c for c in typed.columns if c in flat and c not in grouping]
     first = together({
-        "summary": lambda: _settled(summarize_schema(typed, approx=approx_distinct)),
+        "top": lambda: top_values(typed, grouping),
+        "distinct": lambda: _distinct(typed, others, approx_distinct),
         "missing": lambda: _settled(detect_missing_values(typed)),
         "duplicates": lambda: _settled(duplicate_count(typed)),
         "profile": lambda: numeric_profile(typed, numbers),
-        "top": lambda: top_values(typed, grouping),
     })
-    profile, top = first.pop("profile"), first.pop("top")
+    profile, top, distinct = (first.pop(k) for k in ("profile", "top", "distinct"))
+    sections["summary"] = _settled(summarize_schema(
+        typed, known={**dict.fromkeys(flat, 0), **distinct, **{c: t.unique for c, t in top.items()}}))
     sections["schema"] = schema.to_frame(typed)
     sections.update(first)
     duplicates = sections["duplicates"].first()["duplicates"]
@@ -101,7 +104,8 @@ def run_pipeline(
     unique = {
         r["column"]: r["unique"]
         for r in sections["summary"].collect()
-        if r["column"] in whole and r["unique"] is not None and not approx_distinct
+        if r["column"] in whole and r["unique"] is not None
+        and (r["column"] in top or not approx_distinct)
     }
     date_col = schema.datetime[0] if schema.datetime else None
     clean, notes = handle_missing_values(
@@ -155,6 +159,13 @@ def run_pipeline(
         sections, warnings, schema, roles, third["kind"], date_col, duplicates)
 
 
+def _distinct(typed, columns, approx) -> dict[str, int]:
+    if not columns:
+        return {}
+    found = distinct_counts(typed, columns, approx=approx).collect()
+    return {r["column"]: r["unique"] for r in found}
+
+
 def _correlation(clean, numbers, profile) -> DataFrame:
     if not numbers:
         return clean.sparkSession.createDataFrame([], CORRELATION)
