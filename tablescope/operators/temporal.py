@@ -112,12 +112,14 @@ def detect_trend(
     df: DataFrame,
     date_col: str | None = None,
     value_col: str | None = None,
+    window: int = SMOOTHING,
     *,
     tie_breaks: Sequence[str] = (),
     rows_per_range: int | None = None,
 ) -> DataFrame:
     """One row: slope of the least-squares line over the row number in time order, its direction,
-    and from 12 points on a seasonality index.
+    and from 12 points on a seasonality index. ``window`` is accepted and has no effect: the index
+    always smooths over seven rows.
 
     Rows are never numbered globally. Each range of the time order reports its row count and
     sums over its local row number; shifting those by the rows before the range gives the exact

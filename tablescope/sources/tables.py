@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..functions.skew import estimated_bytes
 
 # Cell texts that mean "missing" in a CSV file.
 MISSING_TOKENS = (
@@ -19,6 +20,9 @@ MISSING_TOKENS = (
 )
 
 
+LARGE_CSV_BYTES = 256 << 20
+
+
 def load_dataframe(
     spark: SparkSession, source: str | PurePath | DataFrame, **options
 ) -> DataFrame:
@@ -43,14 +47,29 @@ def load_dataframe(
         raise
 
 
-def _read_csv(spark: SparkSession, path: str, options: Mapping) -> DataFrame:
-    settings = {"header": True, "quote": '"', "escape": '"', "multiLine": True, **options}
+def _read_csv(
+    spark: SparkSession, path: str, options: Mapping, large_bytes: int = LARGE_CSV_BYTES
+) -> DataFrame:
+    settings = {"header": True, "quote": '"', "escape": '"', **options}
+    if "multiLine" not in settings:
+        settings["multiLine"] = _may_break_lines(spark, path, large_bytes)
     raw = spark.read.options(**settings).csv(path)
     return raw.select(*[
         F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in raw.columns
     ])
 
 
+def _may_break_lines(spark: SparkSession, path: str, large_bytes: int) -> bool:
+    """Whether a quoted cell may hold a line break. A file read for such cells is one task, so
+    large input is checked first: a cell is open at the end of a line only after an odd number of
+    quotes, hence if every line has an even number, none breaks and the file can be split."""
+    lines = spark.read.text(path)
+    if estimated_bytes(lines) < large_bytes:
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
 safe_load_dataframe = load_dataframe
 
 

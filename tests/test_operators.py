@@ -10,6 +10,7 @@ from tablescope.operators import facets
 from tablescope.operators.importance import numeric_importance
 from tablescope.operators.olap import group_aggregate
 from tablescope.plans.insights import generate_insights
+from tablescope.sources import tables
 from tablescope.storage import materialize, new_folder
 
 
@@ -24,6 +25,18 @@ def test_csv_cells_are_text_and_missing_tokens_are_null(spark, tmp_path):
         ("1", None, 'a, "b"\nc'), ("2", " NA", None), ("003", "1.50", None)]
 
 
+@pytest.mark.parametrize("text,breaks", [
+    ('a,b\n1,"x, ""y"""\n2,z\n', False), ('a,b\n1,"x\ny"\n2,z\n', True)])
+def test_large_csv_is_split_only_without_broken_lines(spark, tmp_path, text, breaks):
+    path = tmp_path / "t.csv"
+    path.write_text(text)
+    assert tables._may_break_lines(spark, str(path), 1) is breaks
+    assert tables._may_break_lines(spark, str(path), 1 << 20) is True
+    checked = tables._read_csv(spark, str(path), {}, 1)
+    whole = tables._read_csv(spark, str(path), {"multiLine": True})
+    assert checked.collect() == whole.collect() and whole.count() == 2
+
+
 def test_load_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ts.load_dataframe(spark, str(tmp_path / "absent.csv"))
