@@ -156,10 +156,38 @@ def j9_rollup(spark, folder):
     return report["olap_rollup"].withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("j9_report_insights_events")
+@query("j9_report_insights", f"""WITH n AS (
+        SELECT least(1.0, count(*) / 1000.0) AS size, count(*)::DOUBLE AS rows FROM events),
+    v AS (UNPIVOT (SELECT event_id::DOUBLE AS event_id, user_id::DOUBLE AS user_id, value
+        FROM events) ON event_id, user_id, value INTO NAME c VALUE x),
+    q AS (SELECT c, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b, skewness(x) AS k
+        FROM v GROUP BY c),
+    o AS (SELECT max(r) AS r FROM (SELECT count(*) FILTER (
+        x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) / count(*) AS r
+        FROM v JOIN q USING (c) GROUP BY c)),
+    p AS (SELECT unnest([corr(event_id, user_id), corr(event_id, value), corr(user_id, value)])
+        AS r FROM events),
+    g AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM events GROUP BY event_type
+        UNION ALL SELECT count(*) FROM events GROUP BY user_id
+        UNION ALL SELECT count(*) FROM events GROUP BY props)),
+    f AS (SELECT 'outliers' AS kind, 0.8 * least(1, 0.8 * size * r) AS score FROM n, o
+            WHERE r > 0.05
+        UNION ALL SELECT 'skewness', 0.8 * least(1, 0.9 * size
+            * least(1, (SELECT max(abs(k)) FROM q) / 5)) FROM n
+            WHERE (SELECT max(abs(k)) FROM q) > 1
+        UNION ALL SELECT 'correlation', 0.8 * least(1, 0.85 * size * coalesce(
+            (SELECT abs(min(r)) FROM p WHERE r <= -0.6), (SELECT max(r) FROM p WHERE r >= 0.6)))
+            FROM n WHERE EXISTS (SELECT 1 FROM p WHERE abs(r) >= 0.6)),
+    i AS (SELECT * FROM f UNION ALL SELECT 'identifiers', 0.4 * least(1, 0.95 * size) FROM n
+        WHERE (SELECT count(*) FROM f) < 3),
+    t AS (SELECT * FROM i UNION ALL SELECT 'concentration', 0.5 * least(1, 0.8 * size
+        * top / rows) FROM n, g WHERE (SELECT count(*) FROM i) < 3 AND top / rows > 0.5)
+    SELECT CAST(row_number() OVER (ORDER BY score DESC) AS INTEGER) AS rank, kind,
+        {sig_sql('score')} AS score FROM t ORDER BY score DESC LIMIT 3""")
 def j9_insights(spark, folder):
+    """On events nothing repeats and nothing is missing, so no quality finding."""
     _, report = ts.run_pipeline(read(spark, folder, "events"))
-    return report["insights"]
+    return report["insights"].select("rank", "kind", sig("score").alias("score"))
 
 
 # -- K ---------------------------------------------------------------------------------------

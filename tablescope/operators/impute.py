@@ -80,6 +80,10 @@ def _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range):
             F.min_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"_first{i}"),
         )
     ])
+    # Every range gets a row: copies split by source partition may fall into other ranges here
+    # than below, which is harmless as long as no range is missing.
+    every = df.sparkSession.range(ranged.ranges).select(F.col("id").cast("int").alias(RANGE))
+    ends = every.join(ends, RANGE, "left")
     by_range = Window.orderBy(RANGE)  # over one row per range
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
