@@ -22,6 +22,7 @@ SKETCH_ACCURACY = 2_000
 SKETCH_ROWS = 1_000_000
 MAX_IN_BRACKET = 500_000
 BINS = 1024
+CENTRES_PER_PASS = 16  # five buffers each; code generation ends at a hundred
 _COLUMNS_PER_PASS = 40
 
 
@@ -138,7 +139,7 @@ def centres_of(values: DataFrame, cols: Sequence[str]) -> dict[str, Centre]:
 def _bracket(values, cols, probs, accuracy):
     """A sketch of a bounded sample brackets each rank. How good it is decides only how many
     values the later passes look at: every bracket is counted, and replaced if it missed."""
-    centres = {c: m for part in chunks(cols, 20) for c, m in centres_of(values, part).items()}
+    centres = {c: m for part in chunks(cols, CENTRES_PER_PASS) for c, m in centres_of(values, part).items()}
     rows = max((m.rows for m in centres.values()), default=0)
     fraction = min(1.0, SKETCH_ROWS / max(rows, 1))
     sample = values.where(F.rand(seed=7) < fraction) if fraction < 1.0 else values

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import sqrt
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,9 @@ from .stats import centres
 
 CORRELATION = "col_a string, col_b string, corr double"
 RANK_BLOCK = 1_000_000
-_COMPLETE_PAIRS_PER_PASS = 60
+_COMPLETE_PAIRS_PER_PASS = 45
 _GAPPY_PAIRS_PER_PASS = 10
+_FEW_PASSES = 2
 
 
 def compute_correlation(
@@ -87,6 +92,9 @@ def _pearson(values: DataFrame, pairs, centre: dict[str, Centre]) -> list[DataFr
 
     complete = [p for p in pairs if centre[p[0]].complete and centre[p[1]].complete]
     gappy = [p for p in pairs if p not in set(complete)]
+    passes = len(complete) / _COMPLETE_PAIRS_PER_PASS + len(gappy) / _GAPPY_PAIRS_PER_PASS
+    if passes > _FEW_PASSES:
+        return [_pearson_of_many(values, pairs, centre)]
     parts = []
     for part in C.chunks(complete, _COMPLETE_PAIRS_PER_PASS):
         used = sorted({c for p in part for c in p})
@@ -115,6 +123,46 @@ def _pearson(values: DataFrame, pairs, centre: dict[str, Centre]) -> list[DataFr
     return parts
 
 
+def _pearson_of_many(values: DataFrame, pairs, centre: dict[str, Centre]) -> DataFrame:
+    """The same sums for many columns in a single pass: all are inner products of the deviations
+    (0 where missing), their squares, and flags for present values, that is, cells of one Gram
+    matrix, whose size depends on the number of columns only."""
+    live = sorted({c for p in pairs for c in p})
+    gaps = [c for c in live if not centre[c].complete]
+    cells: dict[tuple[str, str], Column] = {("flag", ""): F.lit(1.0)}
+    for c in live:
+        d = F.coalesce(F.col(c) - F.lit(centre[c].mean), F.lit(0.0))
+        cells[("dev", c)] = d
+        if gaps:
+            cells[("square", c)] = d * d
+    for c in gaps:
+        cells[("flag", c)] = F.col(c).isNotNull().cast("double")
+    at = {name: i for i, name in enumerate(cells)}
+    vectors = values.select(array_to_vector(F.array(*cells.values())).alias("v"))
+    gram = RowMatrix(
+        MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+
+    def dot(a: tuple[str, str], b: tuple[str, str]) -> float:
+        return float(gram[at[a], at[b]])
+
+    found = []
+    for a, b in pairs:
+        here = {c: ("flag", c if c in gaps else "") for c in (a, b)}
+        n = dot(here[a], here[b])
+        sa, sb = dot(("dev", a), here[b]), dot(("dev", b), here[a])
+        if gaps:
+            saa, sbb = dot(("square", a), here[b]), dot(("square", b), here[a])
+        else:
+            saa, sbb = dot(("dev", a), ("dev", a)), dot(("dev", b), ("dev", b))
+        va, vb = (saa - sa * sa / n, sbb - sb * sb / n) if n else (0.0, 0.0)
+        r = None
+        if va > 1e-13 * saa and vb > 1e-13 * sbb:  # else no spread beyond rounding
+            cov = dot(("dev", a), ("dev", b)) - sa * sb / n
+            r = max(-1.0, min(1.0, cov / sqrt(va) / sqrt(vb)))
+        found.append((a, b, r))
+    return values.sparkSession.createDataFrame(found, "a string, b string, corr double")
+
+
 def _from_sums(s: Column) -> Column:
     n = s["n"].cast("double")
     cov = s["sab"] - s["sa"] * s["sb"] / n

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.aggregates import adjusted_kurtosis, adjusted_skewness
 from ..functions.columns import as_double
-from ..functions.quantiles import Centre, centres_of, quantiles_and_centres
+from ..functions.quantiles import (
+    CENTRES_PER_PASS,
+    Centre,
+    centres_of,
+    quantiles_and_centres,
+)
 
 # Aggregates with more than about 90 buffers leave whole-stage code generation.
 _COLUMNS_PER_PASS = 14
@@ -26,7 +31,7 @@ DESCRIBE_COLUMNS = (
 def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, Centre]:
     """Row count, non-null count, mean and range of each column, collected."""
     out: dict[str, Centre] = {}
-    for part in C.chunks(list(columns), 20):
+    for part in C.chunks(list(columns), CENTRES_PER_PASS):
         keys = [f"c{i}" for i in range(len(part))]
         values = df.select(*[as_double(c).alias(k) for c, k in zip(part, keys)])
         found = centres_of(values, keys)

@@ -65,9 +65,9 @@ def run_pipeline(
 ) -> tuple[DataFrame, Report]:
     """(clean table, report). Whatever the table cannot support is a warning, not an error.
 
-    The typed table and, if anything was filled, the clean table are written once to the shared
-    folder, so that the many column-wise passes read only their own columns and never repeat
-    parsing. Sections with a row per column are settled; sections with a row per group or period
+    The typed table (if text was parsed) and the table filled along time (if it had gaps) are written
+    once to the shared folder, so that the many column-wise passes read only their own columns and
+    never repeat that work; other fills are constants in a projection. Sections with a row per column are settled; sections with a row per group or period
     stay lazy on the clean table."""
     spark = df.sparkSession
     if df.isEmpty():
@@ -112,8 +112,6 @@ def run_pipeline(
         typed, date_col, "median", "mode",
         known=Known(by_value, {c: q[0.5] for c, q in profile.quartiles.items()}, unique, top))
     sections["cleaning"] = notes
-    if len(whole) < len(missing):
-        clean = materialize(clean, "clean")
 
     # columns without gaps are the same in the clean table, so what is known of them holds
     numbers = C.numeric_columns(clean)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tablescope as ts
-from tablescope.operators import facets
+from tablescope.operators import correlation, facets
 from tablescope.operators.importance import numeric_importance
 from tablescope.operators.olap import group_aggregate
 from tablescope.plans.insights import generate_insights
@@ -227,6 +227,33 @@ def test_correlation_is_symmetric(table, method):
     assert corr[("p_size", "p_size")] == 1.0
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_correlation_of_many_columns_agrees_with_few(table, gaps, monkeypatch):
+    df = table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_tax", F.expr(
+        "CASE WHEN l_linenumber > 2 THEN l_discount END AS l_discount" if gaps else "l_discount"),
+        F.expr("CASE WHEN l_linenumber <= 2 THEN 5.0 WHEN l_linenumber > 4 THEN l_quantity END"
+               " AS l_part" if gaps else "l_suppkey AS l_part"))
+
+    def matrix():
+        return {(r["col_a"], r["col_b"]): r["corr"] for r in ts.compute_correlation(df).collect()}
+
+    few = matrix()
+    monkeypatch.setattr(correlation, "_FEW_PASSES", 0)
+    many = matrix()
+    assert few.keys() == many.keys()
+    for pair, r in few.items():
+        assert many[pair] == (r if r is None else pytest.approx(r, abs=1e-12)), pair
+
+
+def test_pair_without_spread_on_shared_rows(frame, monkeypatch):
+    df = frame([(1.0, 0.3), (2.0, 0.3), (4.0, 0.3), (None, 9.1), (None, 7.7)], "a double, b double")
+    for limit in (2, 0):
+        monkeypatch.setattr(correlation, "_FEW_PASSES", limit)
+        for method in ("pearson", "spearman", "kendall"):
+            got = ts.compute_correlation(df, method=method).where("col_a < col_b").first()
+            assert got["corr"] is None
+
+
 def test_correlation_of_no_numbers_and_unknown_method(frame):
     assert ts.compute_correlation(frame([("a",)], "c string")).isEmpty()
     with pytest.raises(ValueError):
