@@ -21,6 +21,7 @@ from .ordered import RANGE, split_by_value
 SKETCH_ACCURACY = 2_000
 SKETCH_ROWS = 1_000_000
 MAX_IN_BRACKET = 500_000
+SMALL_ROWS = 50_000  # up to here the whole column is the bracket
 BINS = 1024
 CENTRES_PER_PASS = 16  # five buffers each; code generation ends at a hundred
 _COLUMNS_PER_PASS = 40
@@ -98,8 +99,15 @@ def quantiles_and_centres(
 def _exact_quantiles(df, columns, probs, limit, accuracy):
     values = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    centres, targets = _bracket(values, list(names), probs, accuracy)
-    _count_brackets(values, targets)
+    centres = {
+        c: m for part in chunks(list(names), CENTRES_PER_PASS)
+        for c, m in centres_of(values, part).items()
+    }
+    if max((m.rows for m in centres.values()), default=0) <= min(SMALL_ROWS, limit):
+        targets = _targets(centres, probs, {})
+    else:
+        targets = _targets(centres, probs, _brackets(values, centres, probs, accuracy))
+        _count_brackets(values, targets)
     for t in targets:
         if not t.holds():  # the sketch missed: start over from the whole range
             whole = centres[t.column]
@@ -136,39 +144,49 @@ def centres_of(values: DataFrame, cols: Sequence[str]) -> dict[str, Centre]:
     }
 
 
-def _bracket(values, cols, probs, accuracy):
+def _brackets(values, centres, probs, accuracy) -> dict[tuple[str, float], tuple[float, float]]:
     """A sketch of a bounded sample brackets each rank. How good it is decides only how many
     values the later passes look at: every bracket is counted, and replaced if it missed."""
-    centres = {c: m for part in chunks(cols, CENTRES_PER_PASS) for c, m in centres_of(values, part).items()}
-    rows = max((m.rows for m in centres.values()), default=0)
-    fraction = min(1.0, SKETCH_ROWS / max(rows, 1))
+    live = [c for c, m in centres.items() if m.count and not m.constant]
+    if not live:
+        return {}
+    fraction = min(1.0, SKETCH_ROWS / centres[live[0]].rows)
     sample = values.where(F.rand(seed=7) < fraction) if fraction < 1.0 else values
-    live = [c for c in cols if centres[c].count and not centres[c].constant]
-    margin = {}
-    for c in live:
-        drawn = max(1.0, fraction * centres[c].count)
-        margin[c] = 2.0 / accuracy + (2.5 / sqrt(drawn) if fraction < 1.0 else 0.0)
+    margin = {
+        c: 2.0 / accuracy + (
+            2.5 / sqrt(max(1.0, fraction * centres[c].count)) if fraction < 1.0 else 0.0)
+        for c in live
+    }
     sketches = sample.agg(*[
         F.percentile_approx(c, F.array(*[
             F.lit(min(1.0, max(0.0, p + s * margin[c]))) for p in probs for s in (-1, 1)
         ]), accuracy).alias(c)
         for c in live
-    ]).first() if live else None
+    ]).first()
+    out = {}
+    for c in live:
+        if sketches[c] is None:
+            continue
+        for k, p in enumerate(probs):
+            low = sketches[c][2 * k] if p - margin[c] > 0 else centres[c].low
+            high = sketches[c][2 * k + 1] if p + margin[c] < 1 else centres[c].high
+            out[(c, p)] = (low, high)
+    return out
+
+
+def _targets(centres, probs, brackets) -> list[_Target]:
+    """The ranks each quantile lies between; without a bracket, anywhere in the column."""
     targets = []
-    for c in cols:
-        m = centres[c]
+    for c, m in centres.items():
         if not m.count:
             continue
-        for k, p in enumerate(probs):
-            low, high = m.low, m.high
-            if c in margin and sketches[c] is not None:
-                if p - margin[c] > 0:
-                    low = sketches[c][2 * k]
-                if p + margin[c] < 1:
-                    high = sketches[c][2 * k + 1]
+        for p in probs:
+            low, high = brackets.get((c, p), (m.low, m.high))
             at = (m.count - 1) * p
-            targets += [_Target(c, p, r, low, high) for r in sorted({floor(at), ceil(at)})]
-    return centres, targets
+            targets += [
+                _Target(c, p, r, low, high, 0, m.count) for r in sorted({floor(at), ceil(at)})
+            ]
+    return targets
 
 
 def _count_brackets(values, targets):

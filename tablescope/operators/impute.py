@@ -14,7 +14,7 @@ from ..functions.columns import as_double, col
 from ..functions.counts import Top, distinct_counts, top_values
 from ..functions.ordered import RANGE, split_by_order
 from ..functions.quantiles import exact_quantiles
-from ..storage import materialize
+from ..storage import materialize, together
 from .inference import TableSchema, detect_column_types
 
 NOTES = "column string, fill_value string, rationale string"
@@ -174,12 +174,15 @@ def impute_missing_values(
     becomes text, and an integer column that had gaps becomes double. What is ``known`` of ``df`` is
     not computed again; a time fill makes that of the columns it touched obsolete."""
     df = C.nan_to_null(df)
-    rows, filled = _filled_counts(df)
+    known = known or Known()
+    looks = together({
+        "counts": lambda: _filled_counts(df),
+        "schema": lambda: known.schema or detect_column_types(df),
+    })
+    (rows, filled), schema = looks["counts"], looks["schema"]
     if not rows:
         return df, df.sparkSession.createDataFrame(
             [("warning", None, "empty table: nothing to fill")], NOTES)
-    known = known or Known()
-    schema = known.schema or detect_column_types(df)
     notes: list[tuple[str, str | None, str]] = []
 
     if time_column and time_column in df.columns:
@@ -199,17 +202,20 @@ def impute_missing_values(
     for c in numbers:
         if not filled[c]:
             notes.append((c, None, "left empty: no value to learn from"))
-    typical = _typical_numbers(
-        df, [c for c in numbers if filled[c]], numeric_strategy, known.medians)
+    text = set(C.columns_of_class(df, C.STRING, C.BOOLEAN))
+    groups = [c for c in schema.categorical + schema.boolean if c in text]
+    wanted = [c for c in groups if filled[c] and categorical_strategy != "unknown"]
+    looks = together({
+        "numbers": lambda: _typical_numbers(
+            df, [c for c in numbers if filled[c]], numeric_strategy, known.medians),
+        "groups": lambda: _typical_categories(df, wanted, rows, known),
+    })
+    typical, modes = looks["numbers"], looks["groups"]
     for c, (value, why) in typical.items():
         if filled[c] < rows:
             fills[c] = F.coalesce(as_double(c), F.lit(value))
         notes.append((c, f"{value:.4g}", why))
 
-    text = set(C.columns_of_class(df, C.STRING, C.BOOLEAN))
-    groups = [c for c in schema.categorical + schema.boolean if c in text]
-    wanted = [c for c in groups if filled[c] and categorical_strategy != "unknown"]
-    modes = _typical_categories(df, wanted, rows, known)
     for c in groups:
         if not filled[c]:
             value, why = UNKNOWN, "no value to learn from"
