@@ -42,16 +42,17 @@ def a2(spark, folder):
     return ts.load_dataframe(spark, f"{folder}/supplier.parquet")
 
 
-@query("a4_load_frame", "SELECT * FROM region")
+@query("a4_load_frame", "SELECT * FROM orders")
 def a4(spark, folder):
-    return ts.safe_load_dataframe(spark, read(spark, folder, "region"))
+    return ts.safe_load_dataframe(spark, read(spark, folder, "orders"))
 
 
 @query("a7_normalize_columns",
-       "SELECT n_nationkey AS nation_key, n_name AS nation_name, n_regionkey AS nation_key_2 "
-       "FROM nation")
+       "SELECT s_suppkey AS supp_key, s_name AS supp_name, s_nationkey AS supp_key_2, "
+       "s_acctbal AS acct_bal FROM supplier")
 def a7(spark, folder):
-    odd = read(spark, folder, "nation").toDF(" Nation--Key ", "NATION__name!", "nation.key")
+    odd = read(spark, folder, "supplier").toDF(
+        " Supp--Key ", "SUPP__name!", "supp.key", "(Acct Bal)")
     return ts.normalize_columns(odd)
 
 
@@ -135,42 +136,65 @@ _AMOUNT = "sales|price|amount|total|cost|profit|revenue|income|quantity|qty|valu
 _CATEGORY = "category|segment|department|class|sub_category|subcategory|product|item|brand|type|group"
 _REGION = "region|state|country|city|area|zone|territory|location"
 _CUSTOMER = "customer|client|account|user|buyer"
-_SCHEMA_SQL = f"""SELECT column_name AS "column",
-    CASE WHEN regexp_matches(column_name, '{_DATE}') THEN 'datetime'
-         WHEN regexp_matches(column_name, '{_AMOUNT}') THEN 'numeric'
-         WHEN regexp_matches(column_name, '{_CATEGORY}|{_REGION}|{_CUSTOMER}')
-              OR column_name LIKE '%\\_id' ESCAPE '\\' THEN 'categorical'
-         WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime'
-         WHEN data_type = 'VARCHAR' THEN 'categorical'
-         WHEN data_type LIKE '%[]' THEN 'other' ELSE 'numeric' END AS kind
-    FROM information_schema.columns WHERE table_name = '%s'"""
+_TABLE_COLUMNS = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
+                "l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "embeddings": "vec_id embedding label",
+}
+
+
+def _filled_sql(table, columns):
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count FROM {table}"
+        for c in columns)
+
+
+def _schema_sql(table):
+    return f"""WITH k AS (SELECT column_name AS "column",
+        CASE WHEN regexp_matches(column_name, '{_DATE}') THEN 'datetime'
+             WHEN regexp_matches(column_name, '{_AMOUNT}') THEN 'numeric'
+             WHEN regexp_matches(column_name, '{_CATEGORY}|{_REGION}|{_CUSTOMER}')
+                  OR column_name LIKE '%\\_id' ESCAPE '\\' THEN 'categorical'
+             WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime'
+             WHEN data_type = 'VARCHAR' THEN 'categorical'
+             WHEN data_type LIKE '%[]' THEN 'other' ELSE 'numeric' END AS kind
+        FROM information_schema.columns WHERE table_name = '{table}'),
+        m AS ({_filled_sql(table, _TABLE_COLUMNS[table].split())})
+        SELECT * FROM k JOIN m USING ("column")"""
 
 
 def _register_schema(table):
-    @query(f"b6_schema_{table}", _SCHEMA_SQL.replace("'%s'", f"'{table}'"))
+    @query(f"b6_schema_{table}", _schema_sql(table))
     def b6(spark, folder):
         df = read(spark, folder, table)
-        return ts.detect_schema(df).to_frame(df).select("column", "kind")
+        kinds = ts.detect_schema(df).to_frame(df).select("column", "kind")
+        return kinds.join(ts.detect_missing_values(df).drop("missing_ratio"), "column")
 
 
-for _table in ("orders", "lineitem", "events", "part", "customer", "embeddings"):
+for _table in _TABLE_COLUMNS:
     _register_schema(_table)
 
 
-@query("b6_schema_verified", """SELECT * FROM (VALUES ('event_id', 'categorical'),
+@query("b6_schema_verified", f"""SELECT * FROM (VALUES ('event_id', 'categorical'),
     ('ts', 'datetime'), ('user_id', 'categorical'), ('event_type', 'categorical'),
-    ('value', 'numeric'), ('props', 'categorical')) AS t("column", kind)""")
+    ('value', 'numeric'), ('props', 'categorical')) AS t("column", kind)
+    JOIN ({_filled_sql('events', _TABLE_COLUMNS['events'].split())}) AS m USING ("column")""")
 def b6_verified(spark, folder):
     df = read(spark, folder, "events")
-    return ts.detect_schema(df, verify=True).to_frame(df).select("column", "kind")
+    kinds = ts.detect_schema(df, verify=True).to_frame(df).select("column", "kind")
+    return kinds.join(ts.detect_missing_values(df).drop("missing_ratio"), "column")
 
 
-@query("b7_find_by_keywords", """SELECT column_name AS "column" FROM information_schema.columns
-    WHERE table_name = 'lineitem' AND regexp_matches(column_name, 'key|date')""")
+@query("b7_find_by_keywords", _filled_sql(
+    "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]))
 def b7(spark, folder):
     df = read(spark, folder, "lineitem")
     found = ts.find_columns_by_keywords(df, ["key", "date"])
-    return spark.createDataFrame([(c,) for c in found], "column string")
+    return ts.detect_missing_values(df.select(*found)).drop("missing_ratio")
 
 
 @query("b8_find_datetime", """SELECT 'o_orderkey' AS by_name, 'o_orderdate' AS verified,

@@ -99,15 +99,15 @@ def j6(spark, folder):
 
 
 @query("j7_feature_table_and_clean_table", """SELECT 'clean' AS kind, count(*) AS row_count
-    FROM nation UNION ALL SELECT 'features', count(*) FROM nation""")
+    FROM customer UNION ALL SELECT 'features', count(*) FROM customer""")
 def j7(spark, folder):
-    nation = read(spark, folder, "nation")
-    missing = ts.detect_missing_values(nation).collect()
+    customer = read(spark, folder, "customer")
+    missing = ts.detect_missing_values(customer).collect()
     out = None
     for dataset_type in ("unknown", "feature_dataset"):
         found = ts.generate_insights(
-            rows=nation.count(), missing=missing, dataset_type=dataset_type)
-        row = nation.agg(F.lit(found[0].kind).alias("kind"),
+            rows=customer.count(), missing=missing, dataset_type=dataset_type)
+        row = customer.agg(F.lit(found[0].kind).alias("kind"),
                          F.count(F.lit(1)).alias("row_count"))
         out = row if out is None else out.unionByName(row)
     return out

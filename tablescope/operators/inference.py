@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.coerce import DATETIME_FORMATS, text_to_number, text_to_timestamp, value_kind
@@ -156,31 +157,26 @@ def validate_and_convert_types(
 
 
 def detect_mixed_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, kind, n, share) for text columns whose values are of more than one kind."""
-    text = C.columns_of_class(df, C.STRING)
-    chosen = text if columns is None else [c for c in columns if c in text]
-    kinds = ("int", "float", "date", "bool", "text")
+    """(column, kind, n, share) for columns whose values are of more than one kind: text columns
+    by what their values look like, variant columns by the type each value has."""
+    chosen = [
+        f.name for f in df.schema.fields
+        if (columns is None or f.name in columns)
+        and isinstance(f.dataType, (T.StringType, T.VariantType))
+    ]
     if not chosen:
         return df.sparkSession.createDataFrame(
             [], "column string, kind string, n bigint, share double")
-    agg = df.select(*[value_kind(col(c)).alias(f"k{i}") for i, c in enumerate(chosen)]).agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.count(f"k{i}").alias("values"),
-            F.filter(
-                F.array(*[
-                    F.struct(F.lit(k).alias("kind"),
-                             F.count(F.when(F.col(f"k{i}") == k, 1)).alias("n"))
-                    for k in kinds
-                ]),
-                lambda e: e["n"] > 0,
-            ).alias("kinds"),
-        ).alias(f"k{i}")
-        for i, c in enumerate(chosen)
+    kinds = df.select(*[
+        (F.schema_of_variant(col(c)) if isinstance(df.schema[c].dataType, T.VariantType)
+         else value_kind(col(c))).alias(c)
+        for c in chosen
     ])
-    rows = C.one_row_to_rows(agg, [F.col(f"k{i}") for i in range(len(chosen))])
-    return (
-        rows.where(F.size("kinds") > 1)
-        .select("column", "values", F.explode("kinds").alias("k"))
-        .select("column", F.col("k.kind").alias("kind"), F.col("k.n").alias("n"),
-                (F.col("k.n") / F.col("values")).alias("share"))
-    )
+    counted = kinds.unpivot([], [col(c) for c in chosen], "column", "kind").where(
+        F.col("kind").isNotNull() & (F.col("kind") != "VOID")
+    ).groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("column")  # as many rows as there are kinds
+    return counted.select(
+        "column", "kind", "n", (F.col("n") / F.sum("n").over(whole)).alias("share"),
+        F.count(F.lit(1)).over(whole).alias("_kinds"),
+    ).where("_kinds > 1").drop("_kinds")

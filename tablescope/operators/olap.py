@@ -15,7 +15,6 @@ from ..functions.aggregates import AggFunc, aggregate
 from ..functions.columns import col
 from ..functions.ordered import VALUES_PER_RANGE
 from ..functions.quantiles import grouped_median
-from ..functions.skew import same_key
 
 AggSpec = AggFunc | Mapping[str, AggFunc]
 
@@ -63,12 +62,24 @@ def group_aggregate(
         *([_expression(df, m, funcs[m], order_by) for m in direct] or [F.count(F.lit(1))])
     ).select(*[col(k) for k in keys], *[col(m) for m in direct])
     for m in medians:
-        extra = grouped_median(df, keys, m, rows=rows, rows_per_range=median_limit)
-        joined = out.join(extra, same_key(out, extra, keys), "left")
-        out = joined.select(*[out[f"`{c}`"] for c in out.columns], extra[f"`{m}`"])
+        out = _join_on_keys(
+            out, grouped_median(df, keys, m, rows=rows, rows_per_range=median_limit), keys)
     return out.select(*[col(k) for k in keys], *[col(m) for m in funcs])
 
 
+def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys, missing equal to missing. The right keys get names of their own, as both
+    sides may come from the same table."""
+    other = right.select(
+        *[col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        *[col(c) for c in right.columns if c not in keys])
+    condition = None
+    for i, k in enumerate(keys):
+        part = col(k).eqNullSafe(F.col(f"_key{i}"))
+        condition = part if condition is None else condition & part
+    return left.join(other, condition, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def rollup(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -225,6 +236,4 @@ def _every_combination(df: DataFrame, keys: Sequence[str], wide: DataFrame) -> D
         kind = df.schema[k].dataType
         grid = grid.withColumn(
             k, F.explode(F.array(*[F.lit(v).cast(kind) for v in _levels(df, k)])))
-    joined = grid.join(wide, same_key(grid, wide, keys), "left")
-    rest = [c for c in wide.columns if c not in keys]
-    return joined.select(*[grid[f"`{k}`"] for k in keys], *[wide[f"`{c}`"] for c in rest])
+    return _join_on_keys(grid, wide, keys)

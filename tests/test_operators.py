@@ -163,6 +163,13 @@ def test_mixed_kinds(frame):
     assert got == {k: (1, 0.25) for k in ("int", "float", "bool", "text")}
 
 
+def test_mixed_kinds_of_variants(frame):
+    df = frame([("1",), ("2",), ('"x"',), ("null",), (None,)], "j string").select(
+        F.parse_json("j").alias("v"), F.parse_json(F.lit("1")).alias("one"))
+    got = {(r["column"], r["kind"]): r["n"] for r in ts.detect_mixed_types(df).collect()}
+    assert got == {("v", "BIGINT"): 2, ("v", "STRING"): 1}
+
+
 def test_fill_leaves_only_columns_without_any_value_empty(frame):
     df = frame([(None, None, None, None), (1, None, "a", True), (3, None, "a", None),
                 (None, None, "b", True)], "n int, e double, c string, b boolean")
@@ -312,6 +319,14 @@ def test_median_paths_agree(table):
         assert a["l_tax"] == pytest.approx(b["l_tax"])
 
 
+def test_dense_pivot_without_columns(frame):
+    df = frame([("x", "p", 1), ("y", "q", 2), (None, "p", 4)], "a string, b string, v int")
+    rows = {(r["a"], r["b"]): r["v"] for r in ts.pivot_analysis(
+        df, ["a", "b"], values="v").collect()}
+    assert rows == {("x", "p"): 1, ("x", "q"): 0, ("y", "p"): 0, ("y", "q"): 2,
+                    (None, "p"): 4, (None, "q"): 0}
+
+
 def test_pivot_limit_names_the_setting(spark, frame):
     df = frame([(i, i, 1) for i in range(5)], "a int, b int, v int")
     old = spark.conf.get("spark.sql.pivotMaxValues")
