@@ -6,9 +6,9 @@ a range needs from the ranges before it (a count, a sum, a last value) is a one-
 table joined back by range number.
 
 Boundaries hold the order column *and* its tie-breaks, so a single timestamp (or NULL) that
-fills a third of the table is still cut into many ranges, and so are copies of one row. They are collected once and put into
-the plan as a constant: every branch of a query, and every retry of a lost task, sees the same
-ranges. Boundaries influence balance only, never results.
+fills a third of the table is still cut into many ranges, and so are copies of one row. They are
+collected once and put into the plan as a constant: every branch of a query, and every retry of a
+lost task, sees the same boundaries. They influence balance only, never results.
 """
 
 from __future__ import annotations

@@ -272,7 +272,8 @@ def _rank_exactly(values, targets):
     ])
     upto = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        _inside(values, index, lambda *_: F.lit(0)).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+        _inside(values, index, lambda *_: F.lit(0))
+        .groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
         .withColumn("ranks", F.filter(wanted, lambda w: (w["t"] == F.col("t"))
                                       & (w["r"] < F.col("upto"))

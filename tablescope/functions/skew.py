@@ -12,7 +12,7 @@ from .columns import col
 SAMPLE_ROWS = 100_000
 HOT_SHARE = 0.01            # a key is hot from 1 % of the rows on, so at most 100 keys are hot
 LARGE_TABLE_BYTES = 1 << 30
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -90,7 +90,8 @@ def _correlation(rows, pairs) -> list[Insight]:
     return [Insight(
         "correlation", _score(0.8, 0.85, rows, abs(top["corr"])),
         f"Correlation: {top['col_a']} and {top['col_b']} move in {way} "
-        f"(r={top['corr']:.2f}).", f"'{top['col_a']}' and '{top['col_b']}' carry similar information",
+        f"(r={top['corr']:.2f}).",
+        f"'{top['col_a']}' and '{top['col_b']}' carry similar information",
         "Related inputs make the effect of each hard to tell apart.",
         "Keep one of them, or combine them.",
     )]

@@ -65,10 +65,11 @@ def run_pipeline(
 ) -> tuple[DataFrame, Report]:
     """(clean table, report). Whatever the table cannot support is a warning, not an error.
 
-    The typed table (if text was parsed) and the table filled along time (if it had gaps) are written
-    once to the shared folder, so that the many column-wise passes read only their own columns and
-    never repeat that work; other fills are constants in a projection. Sections with a row per column are settled; sections with a row per group or period
-    stay lazy on the clean table."""
+    The typed table (if text was parsed) and the table filled along time (if it had gaps) are
+    written once to the shared folder, so that the many column-wise passes read only their own
+    columns and never repeat that work; other fills are constants in a projection. Sections with
+    a row per column are settled; sections with a row per group or period stay lazy on the clean
+    table."""
     spark = df.sparkSession
     if df.isEmpty():
         return df, Report(warnings=["The table is empty."])
@@ -93,8 +94,8 @@ def run_pipeline(
         "profile": lambda: numeric_profile(typed, numbers),
     })
     profile, top, distinct = (first.pop(k) for k in ("profile", "top", "distinct"))
-    sections["summary"] = _settled(summarize_schema(
-        typed, known={**dict.fromkeys(flat, 0), **distinct, **{c: t.unique for c, t in top.items()}}))
+    counted = {**dict.fromkeys(flat, 0), **distinct, **{c: t.unique for c, t in top.items()}}
+    sections["summary"] = _settled(summarize_schema(typed, known=counted))
     sections["schema"] = schema.to_frame(typed)
     sections.update(first)
     duplicates = sections["duplicates"].first()["duplicates"]
