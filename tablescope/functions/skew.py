@@ -146,12 +146,21 @@ def attach(
     like: DataFrame | None = None,
     large_rows: int = 50 * SAMPLE_ROWS,
 ) -> DataFrame:
-    """Inner lookup of a table that is unique on ``key`` (same column name, no NULL key). Rows of
-    hot keys meet their few table rows by broadcast. ``like`` is a cheaper frame with the same
-    keys, to look for hot ones in."""
+    """Add the columns of a table that is unique on ``key`` and holds every key of ``df``.
+
+    Rows of hot keys get theirs from a broadcast of the hot keys' table rows. They still pass the
+    main join, as its other rows do, but under a key of their own per source partition, which
+    spreads them and matches nothing; so the input is read once, however many lookups are
+    chained. ``like`` is a cheaper frame with the same keys, to look for hot ones in."""
     hot = hot_keys(df if like is None else like, [key], rows) if rows > large_rows else None
     if hot is None:
         return df.join(table, key)
-    cold = hot_part(df, hot, [key], keep=False).join(table, key)
-    few = hot_part(table, hot, [key], keep=True)
-    return cold.unionByName(hot_part(df, hot, [key], keep=True).join(F.broadcast(few), key))
+    added = [c for c in table.columns if c != key]
+    few = hot_part(table, hot, [key], keep=True).select(
+        col(key).alias("_hot"), *[col(c).alias(f"_hot_{c}") for c in added])
+    marked = df.join(F.broadcast(few), col(key) == F.col("_hot"), "left").withColumn(
+        "_spread", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.spark_partition_id()))
+    looked_up = marked.join(table.withColumn("_spread", F.lit(0)), [key, "_spread"], "left")
+    return looked_up.select(
+        *[col(c) for c in df.columns],
+        *[F.coalesce(F.col(f"_hot_{c}"), col(c)).alias(c) for c in added])
