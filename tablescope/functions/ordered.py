@@ -137,12 +137,19 @@ def _bounds_not_above(bounds: Column, count: int, key: Column) -> Column:
 
 
 def running_counts(
-    df: DataFrame, value: str, *, rows: int, rows_per_range: int | None = None
+    df: DataFrame,
+    value: str,
+    *,
+    rows: int,
+    positions: bool = True,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Per distinct non-null value: ``n`` rows, rows ``before`` it, and its ``position`` 0..m-1.
+    """Per distinct non-null value: ``n`` rows, rows ``before`` it, and (unless switched off) its
+    ``position`` 0..m-1.
 
     Copies are folded map-side before the shuffle, so a value that fills a third of the table is
-    one row; ranges therefore hold distinct values only."""
+    one row; ranges therefore hold distinct values only. The rows of a range are counted without
+    any such shuffle; only positions need the distinct values of a range counted as well."""
     ranged = split_by_value(
         df.where(col(value).isNotNull()).select(col(value)),
         value, rows=rows, rows_per_range=rows_per_range,
@@ -150,22 +157,19 @@ def running_counts(
     counts = ranged.df.groupBy(RANGE, col(value)).agg(F.count(F.lit(1)).alias("n"))
     within = Window.partitionBy(RANGE).orderBy(col(value))
     upto = within.rowsBetween(Window.unboundedPreceding, -1)
-    out = counts.withColumns({
-        "before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
-        "position": (F.row_number().over(within) - 1).cast("long"),
-    })
+    found = {"before": F.coalesce(F.sum("n").over(upto), F.lit(0))}
+    if positions:
+        found["position"] = (F.row_number().over(within) - 1).cast("long")
+    out = counts.withColumns(found)
     if ranged.ranges > 1:
-        totals = counts.groupBy(RANGE).agg(
-            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")
-        )
-        out = out.join(
-            carried_sums(totals, {"rows": "rows_before", "values": "values_before"}), RANGE
-        ).select(
-            col(value), "n",
-            (F.col("before") + F.col("rows_before")).alias("before"),
-            (F.col("position") + F.col("values_before")).alias("position"),
+        totals = ranged.df.groupBy(RANGE).agg(
+            F.count(F.lit(1)).alias("c_before"),
+            *([F.count_distinct(col(value)).alias("c_position")] if positions else []),
         )
-    return out.select(col(value), "n", "before", "position")
+        carried = carried_sums(totals, {f"c_{k}": f"in_{k}" for k in found})
+        out = out.join(carried, RANGE).withColumns(
+            {k: F.col(k) + F.col(f"in_{k}") for k in found})
+    return out.select(col(value), "n", *found)
 
 
 def carried_sums(per_range: DataFrame, sums: dict[str, str]) -> DataFrame:

@@ -176,8 +176,9 @@ def _ranked(values: DataFrame, columns, rows: int, rows_per_range) -> DataFrame:
     from the values themselves; only the lookups are chained."""
     out = values.select(*columns)
     for c in columns:
-        table = running_counts(values, c, rows=rows, rows_per_range=rows_per_range).select(
-            c, (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
+        table = running_counts(
+            values, c, rows=rows, positions=False, rows_per_range=rows_per_range
+        ).select(c, (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
         others = [k for k in columns if k != c]
         out = attach(out, table, c, rows=rows, like=values).select(
             *others, F.col("_rank").alias(c))
