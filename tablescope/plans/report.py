@@ -63,7 +63,8 @@ def _settled(df: DataFrame) -> DataFrame:
 def run_pipeline(
     df: DataFrame, *, approx_distinct: bool = False
 ) -> tuple[DataFrame, Report]:
-    """(clean table, report). Whatever the table cannot support is a warning, not an error.
+    """(clean table, report). Whatever the table cannot support is a warning, not an error. The
+    table is read many times: write the result of an expensive query before passing it.
 
     The typed table (if text was parsed) and the table filled along time (if it had gaps) are
     written once to the shared folder, so that the many column-wise passes read only their own
