@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import cube, decontaminate, jump, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,51 @@ def op1(spark, folder):
     return quality.quality_report(read(spark, folder, "documents"))
 
 
+@query("op5_balanced_mix")
+def op5(spark, folder):
+    return cube.mix_report(read(spark, folder, "documents"))
+
+
+_PLAIN_WORDS = r"""regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op6_benchmark_decontamination", rf"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN_WORDS} AS ws FROM benchmark),
+wanted AS (
+    SELECT DISTINCT item, m, array_to_string(ws[i:i + m - 1], ' ') AS s
+    FROM (SELECT item, ws, least(13, len(ws)) AS m,
+                 unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
+          FROM items WHERE len(ws) > 0)),
+texts AS (
+    SELECT row_number() OVER () AS rn, doc_id, coalesce({_PLAIN_WORDS}, []) AS ws FROM documents),
+widths AS (SELECT DISTINCT m FROM wanted),
+places AS (
+    SELECT rn, m, i, array_to_string(ws[i:i + m - 1], ' ') AS s
+    FROM (SELECT rn, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+          FROM texts, widths WHERE len(ws) >= m)),
+hits AS (SELECT rn, places.m, i, item FROM places JOIN wanted USING (m, s)),
+covered AS (
+    SELECT rn, count(DISTINCT w) AS n_hit
+    FROM (SELECT rn, unnest(range(i, i + m)) AS w FROM hits) GROUP BY rn),
+named AS (
+    SELECT rn, count(DISTINCT item) AS n_items,
+        string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rn)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM texts LEFT JOIN covered USING (rn) LEFT JOIN named USING (rn)""")
+def op6(spark, folder):
+    return decontaminate.contamination_report(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op9_jump_sharding")
+def op9(spark, folder):
+    return jump.shard_report(read(spark, folder, "documents"))
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, folder):
     return simhash.simhash_report(read(spark, folder, "documents"))
