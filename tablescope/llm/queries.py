@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cube, decontaminate, jump, quality, simhash, suffixes
+from . import (
+    bytenet,
+    chaining,
+    chat,
+    cube,
+    decontaminate,
+    jump,
+    quality,
+    simhash,
+    suffixes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +75,16 @@ def op1(spark, folder):
     return quality.quality_report(read(spark, folder, "documents"))
 
 
+@query("op2_collinear_chaining")
+def op2(spark, folder):
+    return chaining.passages(read(spark, folder, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3(spark, folder):
+    return bytenet.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def _escaped(value: str) -> str:
     out = f"replace({value}, '\\', '\\\\')"
     for control in chat.CONTROL:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
 from .induced import common_prefix, suffix_order
+from .minima import least_places
 
 LENGTH = 400
 PIECE = 16
@@ -64,20 +65,9 @@ def segments(data: bytes, common: np.ndarray, length: int = LENGTH
             found = np.searchsorted(common, h)
             held = common[np.minimum(found, len(common) - 1)] == h
             rank = np.where(held, rank | np.uint64(1 << 39), rank >> np.uint64(1))
-        # The least rank, and the first place among equals, of every run of `width` pieces:
-        # running minima from both ends of blocks of that width.
-        key = rank << np.uint64(24) | np.arange(len(h), dtype=np.uint64)
-        full = -(-len(key) // width) * width
-        blocks = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-        blocks[:len(key)] = key
-        blocks = blocks.reshape(-1, width)
-        head = np.minimum.accumulate(blocks, axis=1).ravel()
-        tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        count = len(part) - length + 1
-        place = np.minimum(tail[:count], head[width - 1:width - 1 + count]) & np.uint64(0xFFFFFF)
-        place = place.astype(np.int64)
+        place = least_places(rank, width)
         first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-        last = np.append(first[1:] - 1, count - 1)
+        last = np.append(first[1:] - 1, len(place) - 1)
         yield h[place[first]].view(np.int64), first + at, last + at
 
 
