@@ -17,6 +17,7 @@ from . import (
     quality,
     simhash,
     suffixes,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,11 @@ def op6(spark, folder):
         read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query("op7_warc_derivatives")
+def op7(spark, folder):
+    return warc.derivative_report(read(spark, folder, "pages"))
+
+
 @query("op8_suffix_array_dedup")
 def op8(spark, folder):
     return suffixes.repeats_report(read(spark, folder, "documents"))
