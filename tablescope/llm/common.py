@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, new_folder
 
-__all__ = ["BLANKS", "free_name", "let", "materialize", "new_folder", "text_bytes", "word_count"]
+__all__ = ["BLANKS", "for_python", "free_name", "let", "materialize", "new_folder", "text_bytes", "word_count"]
 
 #: Space and the control characters 0x09 to 0x0D separate words.
 BLANKS = " \t\n\x0b\f\r"
@@ -46,6 +46,24 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+#: Rows and bytes of texts that Python gets at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """The frame, with Arrow batches bounded as long texts need it.
+
+    Spark's default of 10,000 rows a batch, copied several times between the JVM and Python, can
+    fill an executor. The setting is the session's; one that is lower already stays."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(name, "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name the frame does not use, compared without case."""
     taken = {c.lower() for c in df.columns}

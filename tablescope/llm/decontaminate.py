@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import for_python, text_bytes
 
 WINDOW = 13
 #: Benchmark text in one automaton, and so the bound of what one broadcast holds.
@@ -176,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                 names=["key", *out])
 
     narrow = docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("data"))
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return for_python(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,4 +203,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 clean.append(not Found(found[0].words, _merged(found), set()).contaminated)
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return for_python(docs).mapInArrow(run, docs.schema)
