@@ -58,7 +58,7 @@ def for_python(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
                        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(conf.get(name, "0"))
+        now = str(conf.get(name)).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
     return df
