@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import for_python, text_bytes
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, BYTE_DIMS, FILTERS, HIDDEN = 6, 3, 8, 48, 16
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
         F.broadcast(some), "key").select(
             F.xxhash64("key").alias("mark"), "label", text_bytes(F.col("text")).alias("data"))
-    rows = chosen.mapInArrow(cut, "mark long, label int, chunks binary").orderBy(
+    rows = for_python(chosen).mapInArrow(cut, "mark long, label int, chunks binary").orderBy(
         "mark", "label", "chunks").limit(2 * per_class).collect()
     samples = [np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows]
     values = [r["label"] for r in rows]
@@ -223,7 +223,7 @@ def classify(docs: DataFrame, net: Net, key: str = "doc_id", text: str = "text")
                                              names=["key", "score"])
 
     narrow = docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("data"))
-    return narrow.mapInArrow(run, f"`key` {kind}, score double").withColumnRenamed("key", key)
+    return for_python(narrow).mapInArrow(run, f"`key` {kind}, score double").withColumnRenamed("key", key)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

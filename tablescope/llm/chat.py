@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import for_python
+
 Message = tuple[str, str]
 Template = Callable[[Sequence[Message]], str]
 
@@ -159,7 +161,7 @@ def format_chats(chats: DataFrame, render: Template = markup, conv: str = "conv_
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 names=["conv", "n_turns", "formatted", "rewritten", "turns", "loss"])
 
-    return gathered.mapInArrow(run, f"conv {kind}, {_SCHEMA}").withColumnRenamed("conv", conv)
+    return for_python(gathered).mapInArrow(run, f"conv {kind}, {_SCHEMA}").withColumnRenamed("conv", conv)
 
 
 def chat_report(chats: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import for_python, materialize, text_bytes
 from .components import components
 
 SHINGLE = 3
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"),
                          text_bytes(F.col(text)).alias("data"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return for_python(narrow).mapInArrow(run, "doc_id long, fp long")
 
 
 class Forest:

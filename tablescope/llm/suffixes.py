@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import for_python, materialize, text_bytes
 from .induced import common_prefix, suffix_order
 from .minima import least_places
 
@@ -159,7 +159,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  pa.array([packer.compress(x.as_py()) for x in batch.column(2)], pa.binary())],
                 names=["row", "key", "packed"])
 
-    base = materialize(narrow.mapInArrow(pack, f"row long, `key` {kind}, packed binary"), "texts")
+    base = materialize(for_python(narrow).mapInArrow(pack, f"row long, `key` {kind}, packed binary"), "texts")
     common = spark.sparkContext.broadcast(_common_pieces(spark, base))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import for_python, text_bytes
 
 DATE = "2024-01-01T00:00:00Z"
 _GAP = "\r\n\r\n"
@@ -255,8 +255,8 @@ def derive(records: DataFrame, record: str = "record", key: str | None = None) -
                  *(pa.array([r[n] for r in rows], t) for n, t in _KINDS.items())],
                 names=["key", *_KINDS])
 
-    made = records.select(carried.alias("key"), F.col(record).cast("binary").alias("record")
-                          ).mapInArrow(run, schema)
+    narrow = records.select(carried.alias("key"), F.col(record).cast("binary").alias("record"))
+    made = for_python(narrow).mapInArrow(run, schema)
     return made.withColumnRenamed("key", key) if key else made.drop("key")
 
 
@@ -283,7 +283,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                                              names=["key", "record"])
 
     narrow = pages.select(F.col(key).alias("key"), F.col(url), text_bytes(F.col(html)))
-    return narrow.mapInArrow(run, f"`key` {kind}, record binary").withColumnRenamed("key", key)
+    return for_python(narrow).mapInArrow(run, f"`key` {kind}, record binary").withColumnRenamed("key", key)
 
 
 def write_warc(records: DataFrame, path: str, record: str = "record",
@@ -324,7 +324,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([held[:length()]], pa.binary())],
                                              names=["record"])
 
-    return pieces.select(F.col("value").cast("binary").alias("piece")).mapInArrow(
+    return for_python(pieces.select(F.col("value").cast("binary").alias("piece"))).mapInArrow(
         run, "record binary")
 
 
