@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blanks_removed, free_name, let, materialize, word_count, words_of
+from .common import blanks_removed, free_name, let, materialize, words_of
 
 WINDOW = 5
 SAMPLE_ROWS = 2000
@@ -68,15 +68,15 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         let(F.transform(words, lambda x: F.xxhash64(x)), of_hashes)).cast("long")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """What the rules look at, each as an expression of the text alone. A null text is empty."""
+def features(text: Column, words: Column) -> dict[str, Column]:
+    """What the rules look at, from a text and its words. A null text is empty."""
     return {
-        "n_words": word_count(text),
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(blanks_removed(text)).cast("long"),
         "n_symbols": (F.length(F.coalesce(text, F.lit("")))
                       - _letters_removed(text, "[#*$%&|<>]+")).cast("long"),
         "n_dup_lines": duplicate_lines(text),
-        "n_repeat_words": repeated_words(words_of(text)),
+        "n_repeat_words": repeated_words(words),
         "n_upper": _letters_removed(text, "[^A-Z]+").cast("long"),
         "n_letters": _letters_removed(text, "[^A-Za-z]+").cast("long"),
         "n_marks": _letters_removed(text, "[^!?]+").cast("long"),
@@ -129,8 +129,8 @@ def rule_order(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text
     part = docs.select(F.col(text).alias("text"))
     if rows > sample_rows:
         part = part.sample(fraction=min(1.0, sample_rows / rows), seed=seed)
-    sample = materialize(part, "rules")
-    found = features(F.col("text"))
+    sample = materialize(part.withColumn("words", words_of(F.col("text"))), "rules")
+    found = features(F.col("text"), F.col("words"))
 
     def passes(column: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -151,16 +151,19 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
             known: Mapping[str, Column] | None = None, into: str = "rejected_by") -> DataFrame:
     """Add the name of the first rule that rejects a document, null for a document that is kept.
 
-    `rules` in the order to try them (default: `rule_order` of RULES); `known` names features
-    that the frame already holds. A null text is an empty one, an empty table stays empty,
+    `rules` in the order to try them (default: `rule_order` of RULES). Nearly all of them need
+    the words, which are split once; everything else is computed when a rule is reached. `known`
+    names the features instead, if the frame already holds some. A null text is an empty one, an empty table stays empty,
     repeated rows are judged alike, and all columns are kept (`into` replaces one of its name)."""
     if rules is None:
         rules = [m.rule for m in rule_order(docs, text=text)]
-    found = features(F.col(text)) | dict(known or {})
+    words = free_name(docs, "_words")
+    split = docs if known is not None else docs.withColumn(words, words_of(F.col(text)))
+    found = known if known is not None else features(F.col(text), F.col(words))
     verdict = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
         verdict = F.when(rule.rejects(found), F.lit(rule.name)).otherwise(verdict)
-    return docs.withColumn(into, verdict)
+    return split.withColumn(into, verdict).drop(words)
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None,
@@ -183,10 +186,9 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text",
         order = [m.rule for m in rule_order(docs, text=text)]
     words = docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
                         words_of(F.col(text)).alias("words"))
-    counted = features(F.col("text")) | {
-        "n_words": F.size("words").cast("long"), "n_repeat_words": repeated_words(F.col("words"))}
+    counted = features(F.col("text"), F.col("words"))
     table = words.select("key", "text", *[counted[c].alias(c) for c in COUNTS])
-    own = {c: F.col(c) for c in COUNTS}
+    own = counted | {c: F.col(c) for c in COUNTS}
     failed = F.lit(False)
     for rule in BASE_RULES:
         failed = failed | rule.rejects(own)
