@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tablescope as ts
 from tablescope.functions.coerce import text_to_number
 from tablescope.operators.inference import TableSchema
+from tablescope.operators.schema import NAME_WORDS
 from tablescope.storage import new_folder
 
 from .base import query, read
@@ -78,7 +80,7 @@ def _orders_text(spark, folder):
     ('o_orderdate', 'datetime'), ('o_orderpriority', 'categorical')) AS t("column", kind)""")
 def b1(spark, folder):
     text = _orders_text(spark, folder)
-    return ts.detect_column_types(text, sample=None).to_frame(text).select("column", "kind")
+    return ts.detect_column_types(text).to_frame(text).select("column", "kind")
 
 
 def _mixed_text():
@@ -131,11 +133,8 @@ def b5(spark, folder):
     return ts.detect_mixed_types(df).withColumn("share", F.round("share", 9))
 
 
-_DATE = "date|timestamp|time|created|updated|ordered|order|ship|delivered|transaction|reported|occurred|event"
-_AMOUNT = "sales|price|amount|total|cost|profit|revenue|income|quantity|qty|value|balance"
-_CATEGORY = "category|segment|department|class|sub_category|subcategory|product|item|brand|type|group"
-_REGION = "region|state|country|city|area|zone|territory|location"
-_CUSTOMER = "customer|client|account|user|buyer"
+_DATE, _AMOUNT, _CATEGORY, _REGION, _CUSTOMER = (
+    "|".join(NAME_WORDS[rule]) for rule in ("date", "amount", "category", "region", "customer"))
 _TABLE_COLUMNS = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
@@ -223,6 +222,46 @@ def b9(spark, folder):
     )
 
 
+def _late_text(spark, folder):
+    key = F.col("o_orderkey")
+    rank = F.row_number().over(Window.orderBy("o_orderkey"))  # a few thousand rows, to place text
+    return read(spark, folder, "orders").withColumn("r", rank).select(
+        "o_orderkey", F.when(F.col("r") > 500, F.concat(F.lit("code-"), key)).otherwise(
+            key.cast("string")).alias("label"))
+
+
+_LATE = """(SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) > 500
+    THEN 'code-' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS label FROM orders)"""
+
+
+@query("b4_convert_late_text", f"SELECT * FROM {_LATE} AS t")
+def b4_late(spark, folder):
+    return ts.validate_and_convert_types(_late_text(spark, folder))
+
+
+@query("b4_conversion_losses", f"""SELECT 'label' AS "column", 'categorical' AS kind,
+    count(*) AS "values", 0 AS lost FROM {_LATE} AS t
+    UNION ALL SELECT 'mostly', 'numeric', count(*), count(*) FILTER (l_linenumber = 7)
+    FROM lineitem""")
+def b4_losses(spark, folder):
+    mostly = read(spark, folder, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, "seven").otherwise(
+            F.col("l_linenumber").cast("string")).alias("mostly"))
+    return ts.conversion_losses(_late_text(spark, folder).select("label")).unionByName(
+        ts.conversion_losses(mostly)).withColumn("lost", F.col("lost").cast("int"))
+
+
+@query("b10_mixed_layouts", """SELECT o_orderkey,
+    CASE WHEN o_orderkey % 4 <> 0 THEN date_trunc('day', o_orderdate) END AS o_orderdate
+    FROM orders""")
+def b10_mixed(spark, folder):
+    date, key = F.col("o_orderdate"), F.col("o_orderkey")
+    text = read(spark, folder, "orders").select("o_orderkey", F.when(
+        key % 4 == 0, F.date_format(date, "yyyy.MM.dd")).otherwise(
+            F.date_format(date, "yyyy/M/d")).alias("o_orderdate"))
+    return ts.ensure_datetime(text, "o_orderdate")
+
+
 @query("b10_ensure_datetime", "SELECT event_id, ts FROM events")
 def b10(spark, folder):
     text = read(spark, folder, "events").select("event_id", F.col("ts").cast("string").alias("ts"))

@@ -120,6 +120,30 @@ def g9_gaps(spark, folder):
     return corr.withColumn("corr", rnd("corr"))
 
 
+_SHIFTS = [f"x{i}" for i in range(8)]
+# One value far out, where no other column has one: it must not cost the pairs their digits.
+_MANY = f"""(SELECT CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 1000000000.0
+        ELSE o_totalprice END AS x0,
+    {', '.join(f"""CASE WHEN o_orderkey <> (SELECT min(o_orderkey) FROM orders)
+        AND o_orderkey % {i + 2} <> 0
+        THEN o_custkey + o_totalprice / {1000 * i} END AS x{i}""" for i in range(1, 8))}
+    FROM orders)"""
+
+
+@query("g9_pearson_many_gaps", _both_ways(_pearson_sql(_MANY, _SHIFTS), _SHIFTS))
+def g9_many(spark, folder):
+    """Twenty-eight pairs, each on the rows it shares."""
+    orders = read(spark, folder, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    df = orders.select(
+        F.when(key == first, F.lit(1e9)).otherwise(price).alias("x0"),
+        *[F.when((key != first) & (key % (i + 2) != 0), F.col("o_custkey") + price / (1000 * i))
+          .alias(f"x{i}") for i in range(1, 8)])
+    corr = ts.compute_correlation(df, _SHIFTS)
+    return corr.withColumn("corr", rnd("corr"))
+
+
 def _spearman_sql(source, columns):
     parts = []
     for a, b in combinations(columns, 2):
@@ -300,6 +324,22 @@ def g17(spark, folder):
         lineitem_gaps(spark, folder), ["l_returnflag", "l_linestatus", "l_linenumber"]), "ratio")
 
 
+_LONG_TIES = """(SELECT repeat('x', 64) || CASE WHEN l_linenumber % 2 = 0 THEN 'g' ELSE 'h' END
+    || CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END AS label
+    FROM lineitem WHERE l_linenumber <= 2)"""
+
+
+@query("g17_long_text_ties", f"""SELECT 'label' AS "column", label AS top_value FROM (
+    SELECT label, count(*) AS n FROM {_LONG_TIES} AS s GROUP BY 1) ORDER BY n DESC, label LIMIT 1""")
+def g17_ties(spark, folder):
+    number, key = F.col("l_linenumber"), F.col("l_orderkey")
+    df = read(spark, folder, "lineitem").where("l_linenumber <= 2").select(F.concat(
+        F.lit("x" * 64), F.when(number % 2 == 0, "g").otherwise("h"),
+        F.when(key % 3 == 0, "").otherwise(key.cast("string"))).alias("label"))
+    found = ts.dominant_categories(df, ["label"])
+    return found.select("column", F.col(found.columns[1]).alias("top_value"))
+
+
 @query("g2_g5_constant_column", """SELECT 'fixed' AS "column", count(*) AS "count", 0.1 AS mean,
     0.0 AS std, 0.0 AS variance, 0.0 AS skewness, 0.0 AS kurtosis FROM orders""")
 def constant(spark, folder):

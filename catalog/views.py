@@ -39,6 +39,60 @@ def h1_gaps(spark, folder):
     return ts.rollup(lineitem_gaps(spark, folder), ["l_returnflag"], ["l_quantity"])
 
 
+@query("h1_rollup_nan_key", """SELECT CASE WHEN l_linenumber > 2 THEN l_discount END AS l_discount,
+    sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1""")
+def h1_nan(spark, folder):
+    number = F.col("l_linenumber")
+    df = read(spark, folder, "lineitem").select("l_quantity", F.when(
+        number == 2, F.lit(float("nan"))).when(number > 2, F.col("l_discount")).alias("l_discount"))
+    return ts.rollup(df, ["l_discount"], ["l_quantity"])
+
+
+@query("h2_levels_median", """SELECT l_returnflag, l_linestatus,
+    CAST(2 - grouping(l_returnflag) - grouping(l_linestatus) AS INTEGER) AS level,
+    median(l_extendedprice) AS l_extendedprice, max(l_quantity) AS l_quantity
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def h2_median(spark, folder):
+    """A metric the mapping leaves out is left out of the result."""
+    return ts.drilldown(read(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"],
+                        ["l_extendedprice", "l_quantity", "l_tax"],
+                        {"l_extendedprice": "median", "l_quantity": "max"}, all_levels=True)
+
+
+@query("h5_pivot_median", """SELECT l_returnflag,
+    coalesce(median(l_quantity) FILTER (l_linestatus = 'F'), 0) AS l_quantity_F,
+    coalesce(median(l_quantity) FILTER (l_linestatus = 'O'), 0) AS l_quantity_O
+    FROM lineitem GROUP BY 1""")
+def h5_median(spark, folder):
+    return ts.pivot_analysis(read(spark, folder, "lineitem"), ["l_returnflag"], ["l_linestatus"],
+                             "l_quantity", "median")
+
+
+@query("h5_pivot_nan_label", """SELECT l_linenumber,
+    coalesce(sum(l_tax) FILTER (l_returnflag = 'A'), 0) > 0 AS named_a,
+    count(*) FILTER (l_returnflag = 'N') AS named_nan, count(*) FILTER (l_returnflag = 'R') AS missing
+    FROM lineitem GROUP BY 1""")
+def h5_nan(spark, folder):
+    """The text 'nan' and a missing value are two columns."""
+    flag = F.col("l_returnflag")
+    df = read(spark, folder, "lineitem").select("l_linenumber", F.lit(1).alias("v"), F.when(
+        flag == "N", "nan").when(flag != "R", flag).alias("label"))
+    wide = ts.pivot_analysis(df, ["l_linenumber"], ["label"], "v", "count")
+    return wide.select("l_linenumber", (F.col("v_A") > 0).alias("named_a"),
+                       F.col("v_nan").alias("named_nan"), F.col("v_nan_2").alias("missing"))
+
+
+@query("h6_sum_large_keys", """SELECT l_returnflag,
+    CAST(sum(CAST(l_orderkey AS HUGEINT) + 9000000000000000000) AS VARCHAR) AS total
+    FROM lineitem GROUP BY 1""")
+def h6_large(spark, folder):
+    """Sums far beyond what a long holds."""
+    df = read(spark, folder, "lineitem").select("l_returnflag", (
+        F.col("l_orderkey") + F.lit(9_000_000_000_000_000_000)).alias("total"))
+    return ts.rollup(df, ["l_returnflag"], ["total"]).withColumn(
+        "total", F.col("total").cast("string"))
+
+
 @query("h2_drilldown", """SELECT l_returnflag, l_linestatus, l_linenumber,
     sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL""")
 def h2(spark, folder):
@@ -106,8 +160,9 @@ _SPARSE = f"(SELECT * FROM {LINEITEM_GAPS} AS g WHERE l_linenumber <> 2 OR l_ret
         AND s.l_linenumber = b.l_linenumber GROUP BY ALL""")
 def h5_product(spark, folder):
     df = lineitem_gaps(spark, folder).where("l_linenumber != 2 OR l_returnflag = 'A'")
-    return ts.pivot_analysis(df, ["l_returnflag", "l_linenumber"], ["l_linestatus"],
-                             ["l_quantity", "l_orderkey"])
+    wide = ts.pivot_analysis(df, ["l_returnflag", "l_linenumber"], ["l_linestatus"],
+                             ["l_quantity", "l_orderkey"], dense=True)
+    return wide.withColumns({c: F.col(c).cast("bigint") for c in ("l_orderkey_F", "l_orderkey_O")})
 
 
 @query("h5_pivot_two_columns", """SELECT l_linenumber,
@@ -216,6 +271,21 @@ def i1_hour(spark, folder):
                 "value")
 
 
+@query("i1_aggregate_15min", f"""SELECT time_bucket(INTERVAL 15 MINUTE, ts)::TIMESTAMP AS ts,
+    {sig_sql('sum(value)')} AS value FROM events GROUP BY 1""")
+def i1_quarters_of_an_hour(spark, folder):
+    return sigs(ts.aggregate_time(read(spark, folder, "events"), "ts", "15min", ["value"]), "value")
+
+
+@query("i1_aggregate_anchored", f"""SELECT (date_trunc('week', o_orderdate - INTERVAL 2 DAY)
+    + INTERVAL 2 DAY)::TIMESTAMP AS o_orderdate, {sig_sql('sum(o_totalprice)')} AS o_totalprice
+    FROM orders GROUP BY 1""")
+def i1_anchored(spark, folder):
+    """Weeks that end on a Tuesday."""
+    return sigs(ts.aggregate_time(read(spark, folder, "orders"), "o_orderdate", "W-TUE",
+                                  ["o_totalprice"]), "o_totalprice")
+
+
 @query("i2_rolling_average", f"""SELECT m AS o_orderdate,
     {sig_sql('avg(v) OVER (ORDER BY m ROWS 6 PRECEDING)')} AS o_totalprice
     FROM (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS m, sum(o_totalprice) AS v

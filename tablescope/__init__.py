@@ -15,6 +15,7 @@ from .operators.importance import (
 from .operators.impute import fill_along_time, handle_missing_values, impute_missing_values
 from .operators.inference import (
     TableSchema,
+    conversion_losses,
     detect_column_types,
     detect_mixed_types,
     validate_and_convert_types,

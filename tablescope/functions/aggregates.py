@@ -36,6 +36,13 @@ def _sem(c: str) -> Column:
     return F.stddev_samp(x) / F.sqrt(F.nullif(F.count(x), F.lit(0)).cast("double"))
 
 
+def _sum(c: str, x: Column, is_whole: bool) -> Column:
+    """Whole numbers add up as decimals, which 38 digits keep from overflowing."""
+    zero = F.lit(0)
+    return F.coalesce(F.sum(x.cast("decimal(19,0)")).cast("decimal(38,0)"), zero.cast(
+        "decimal(38,0)")) if is_whole else F.coalesce(F.sum(x), zero)
+
+
 def _not_nan(c: str, is_float: bool) -> Column:
     return F.nanvl(col(c), F.lit(None)) if is_float else col(c)
 
@@ -45,6 +52,7 @@ def aggregate(
     c: str,
     *,
     is_float: bool = False,
+    is_whole: bool = False,
     order_by: Sequence[str] | None = None,
 ) -> Column:
     """Aggregate expression for column ``c``, named ``c``."""
@@ -57,7 +65,7 @@ def aggregate(
         rank = F.when(x.isNotNull(), F.struct(*[col(o) for o in order_by]))
         return (F.min_by if func == "first" else F.max_by)(x, rank).alias(c)
     table: dict[str, Callable[[], Column]] = {
-        "sum": lambda: F.coalesce(F.sum(x), F.lit(0)),
+        "sum": lambda: _sum(c, x, is_whole),
         "mean": lambda: F.avg(x),
         "median": lambda: F.median(as_double(c)),
         "min": lambda: F.min(x),

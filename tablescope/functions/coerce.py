@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _BOOLEAN = r"(?i)^\s*(true|false)\s*$"
+_OFFSET = r"(Z|[+-]\d{2}(:?\d{2}){0,2})$"
 _DATE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 
 # The date layouts understood by default, earlier ones preferred. One-letter day
@@ -36,14 +38,36 @@ def text_to_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
+def from_micros(micros: Column) -> Column:
+    """Microseconds since 1970 as a timestamp without zone, whatever zone the session has."""
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def text_to_timestamp(text: Column, layout: str) -> Column:
-    """The parser raises and catches an exception on text it cannot read, so text of another
+    """Clock time as written, or in UTC where the text names an offset. Text without an offset is
+    read as UTC, so the session's zone plays no part.
+
+    The parser raises and catches an exception on text it cannot read, so text of another
     shape is kept away from it."""
-    parsed = F.try_to_timestamp(F.trim(text), F.lit(layout)).cast("timestamp_ntz")
-    shape = layout_shape(layout)
+    clean = F.trim(text)
+    if "X" in layout:
+        clean = F.when(clean.rlike(_OFFSET), clean).otherwise(F.concat(clean, F.lit("Z")))
+    else:
+        clean, layout = F.concat(clean, F.lit("Z")), layout + "XXX"
+    parsed = from_micros(F.unix_micros(F.try_to_timestamp(clean, F.lit(layout))))
+    shape = layout_shape(layout.removesuffix("XXX"))
     return parsed if shape is None else F.when(text.rlike(shape), parsed)
 
 
+def date_like(text: Column, layouts: Sequence[str]) -> Column:
+    """The text if it has the shape of one of the layouts, so that other text is looked at once
+    and not once per layout."""
+    shapes = [layout_shape(x) for x in layouts]
+    if None in shapes:
+        return text
+    return F.when(text.rlike("|".join(shapes)), text)
+
+
 # What a run of one pattern letter can look like; anything longer or other is not guarded.
 _RUNS = {
     "y": r"[+]?\d{4,}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}",

@@ -71,16 +71,25 @@ class Top(NamedTuple):
 
 def top_values(df: DataFrame, columns: Sequence[str]) -> dict[str, Top]:
     """Collected per column; columns without a value are left out. Equally frequent values go by
-    text order, long texts by their first characters."""
+    text order. The counts decide first, from short forms; where long texts are among the most
+    frequent, the smallest of them is then found from the texts themselves."""
     if not columns:
         return {}
-    best = value_counts(df, columns, short=True).groupBy("column").agg(
+    counts = value_counts(df, columns, short=True)
+    best = counts.groupBy("column").agg(
         F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("top"),
+        F.max(F.struct("n", F.length("value").alias("length"))).alias("most"),
         F.count(F.lit(1)).alias("unique"),
     ).collect()  # one row per column
     found = {r["column"]: Top(r["top"]["value"], -r["top"]["less"], r["unique"]) for r in best}
-    for c, top in found.items():
-        if isinstance(df.schema[c].dataType, T.StringType) and len(top.value) > _LONG_TEXT:
-            text = df.select(col(c)).where(_short(col(c)) == top.value).limit(1).collect()[0][0]
-            found[c] = top._replace(value=text)
+    for r in best:
+        c, top = r["column"], found[r["column"]]
+        if not isinstance(df.schema[c].dataType, T.StringType) or (
+                r["most"]["length"] <= _LONG_TEXT):
+            continue
+        texts = df.select(col(c).alias("text")).where(F.col("text").isNotNull())
+        if top.n > 1:  # else every value is one of the most frequent
+            tied = _counted(df, c, short=True).where(F.col("n") == top.n).select("value")
+            texts = texts.join(tied, _short(F.col("text")) == F.col("value"), "left_semi")
+        found[c] = top._replace(value=texts.agg(F.min("text")).first()[0])
     return found

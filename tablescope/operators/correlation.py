@@ -24,6 +24,7 @@ CORRELATION = "col_a string, col_b string, corr double"
 RANK_BLOCK = 1_000_000
 _COMPLETE_PAIRS_PER_PASS = 45
 _GAPPY_PAIRS_PER_PASS = 10
+_GAPPY_MEANS_PER_PASS = 40
 _FEW_PASSES = 2
 
 
@@ -92,10 +93,10 @@ def _pearson(values: DataFrame, pairs, centre: dict[str, Centre]) -> list[DataFr
 
     complete = [p for p in pairs if centre[p[0]].complete and centre[p[1]].complete]
     gappy = [p for p in pairs if p not in set(complete)]
-    passes = len(complete) / _COMPLETE_PAIRS_PER_PASS + len(gappy) / _GAPPY_PAIRS_PER_PASS
-    if passes > _FEW_PASSES:
-        return [_pearson_of_many(values, pairs, centre)]
     parts = []
+    if len(complete) / _COMPLETE_PAIRS_PER_PASS > _FEW_PASSES:
+        parts.append(_pearson_of_many(values, complete, centre))
+        complete = []
     for part in C.chunks(complete, _COMPLETE_PAIRS_PER_PASS):
         used = sorted({c for p in part for c in p})
         agg = values.agg(
@@ -106,11 +107,21 @@ def _pearson(values: DataFrame, pairs, centre: dict[str, Centre]) -> list[DataFr
             _pair_row(a, b, _cosine(F.col(f"p_{a}_{b}"), F.col(f"v_{a}"), F.col(f"v_{b}")))
             for a, b in part
         ]))
+    # The rows a pair shares may lie far from the columns' means, so each pair has means of its
+    # own, found in a pass before.
+    means = {}
+    for part in C.chunks(gappy, _GAPPY_MEANS_PER_PASS):
+        row = values.agg(*[
+            F.struct(F.avg(F.when(F.col(b).isNotNull(), F.col(a))),
+                     F.avg(F.when(F.col(a).isNotNull(), F.col(b)))).alias(f"{a}_{b}")
+            for a, b in part]).first()
+        means.update({p: tuple(row[f"{p[0]}_{p[1]}"]) for p in part})
     for part in C.chunks(gappy, _GAPPY_PAIRS_PER_PASS):
         sums = []
         for a, b in part:
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            da, db = F.when(both, dev(a)), F.when(both, dev(b))
+            da, db = (F.when(both, F.col(c) - F.lit(m).cast("double"))
+                      for c, m in zip((a, b), means[a, b]))
             sums.append(F.struct(
                 F.count(da).alias("n"), F.sum(da).alias("sa"), F.sum(db).alias("sb"),
                 F.sum(da * da).alias("saa"), F.sum(db * db).alias("sbb"),
@@ -124,41 +135,20 @@ def _pearson(values: DataFrame, pairs, centre: dict[str, Centre]) -> list[DataFr
 
 
 def _pearson_of_many(values: DataFrame, pairs, centre: dict[str, Centre]) -> DataFrame:
-    """The same sums for many columns in a single pass: all are inner products of the deviations
-    (0 where missing), their squares, and flags for present values, that is, cells of one Gram
-    matrix, whose size depends on the number of columns only."""
+    """The same sums for many columns without gaps in a single pass: all are inner products of
+    deviations from the means, cells of one Gram matrix, whose size depends on the number of
+    columns only."""
     live = sorted({c for p in pairs for c in p})
-    gaps = [c for c in live if not centre[c].complete]
-    cells: dict[tuple[str, str], Column] = {("flag", ""): F.lit(1.0)}
-    for c in live:
-        d = F.coalesce(F.col(c) - F.lit(centre[c].mean), F.lit(0.0))
-        cells[("dev", c)] = d
-        if gaps:
-            cells[("square", c)] = d * d
-    for c in gaps:
-        cells[("flag", c)] = F.col(c).isNotNull().cast("double")
-    at = {name: i for i, name in enumerate(cells)}
-    vectors = values.select(array_to_vector(F.array(*cells.values())).alias("v"))
+    at = {c: i for i, c in enumerate(live)}
+    cells = [F.col(c) - F.lit(centre[c].mean) for c in live]
+    vectors = values.select(array_to_vector(F.array(*cells)).alias("v"))
     gram = RowMatrix(
         MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
-
-    def dot(a: tuple[str, str], b: tuple[str, str]) -> float:
-        return float(gram[at[a], at[b]])
-
     found = []
     for a, b in pairs:
-        here = {c: ("flag", c if c in gaps else "") for c in (a, b)}
-        n = dot(here[a], here[b])
-        sa, sb = dot(("dev", a), here[b]), dot(("dev", b), here[a])
-        if gaps:
-            saa, sbb = dot(("square", a), here[b]), dot(("square", b), here[a])
-        else:
-            saa, sbb = dot(("dev", a), ("dev", a)), dot(("dev", b), ("dev", b))
-        va, vb = (saa - sa * sa / n, sbb - sb * sb / n) if n else (0.0, 0.0)
-        r = None
-        if va > 1e-13 * saa and vb > 1e-13 * sbb:  # else no spread beyond rounding
-            cov = dot(("dev", a), ("dev", b)) - sa * sb / n
-            r = max(-1.0, min(1.0, cov / sqrt(va) / sqrt(vb)))
+        i, j = at[a], at[b]
+        length = sqrt(float(gram[i, i])) * sqrt(float(gram[j, j]))
+        r = max(-1.0, min(1.0, float(gram[i, j]) / length)) if length else None
         found.append((a, b, r))
     return values.sparkSession.createDataFrame(found, "a string, b string, corr double")
 

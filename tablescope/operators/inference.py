@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..functions.coerce import DATETIME_FORMATS, text_to_number, text_to_timestamp, value_kind
+from ..functions.coerce import (
+    DATETIME_FORMATS,
+    date_like,
+    text_to_number,
+    text_to_timestamp,
+    value_kind,
+)
 from ..functions.columns import col
 
-SAMPLE_VALUES = 500
+_COLUMNS_PER_PASS = 8
 NUMERIC_SHARE = 0.75
 DATETIME_SHARE = 0.5
 
@@ -49,66 +55,50 @@ class TextShares:
     numeric: float
     datetime: float
     layout: str
+    numbers: int
+    dates: int
 
 
 def text_shares(
     df: DataFrame,
     columns: Sequence[str],
     *,
-    sample: int | None = SAMPLE_VALUES,
     formats: Sequence[str] | None = None,
     of_all_rows: bool = False,
 ) -> dict[str, TextShares]:
-    """Parse shares of text columns over the first ``sample`` non-null values of each, or over
-    the whole column when ``sample`` is None (one aggregate). ``of_all_rows`` counts missing
-    values as not parsing."""
-    if not columns:
-        return {}
+    """Parse shares of text columns over all their values, a few columns per aggregate.
+    ``of_all_rows`` counts missing values as not parsing."""
     layouts = list(formats or DATETIME_FORMATS)
-    if sample is None:
-        cells = df.unpivot([], [col(c) for c in columns], "c", "v")
-    else:
-        cells = _first_values(df, columns, sample)
-    counted = cells.groupBy("c").agg(
-        F.count("v").alias("n"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count(text_to_number(F.col("v"))).alias("numeric"),
-        F.array(*[F.count(text_to_timestamp(F.col("v"), f)) for f in layouts]).alias("dates"),
-    ).collect()  # one row per column
-    out = {c: TextShares(0, 0.0, 0.0, layouts[0]) for c in columns}
-    for r in counted:
-        base = (r["rows"] if of_all_rows else r["n"]) or 1
-        best = max(range(len(layouts)), key=lambda k: (r["dates"][k], -k))
-        out[r["c"]] = TextShares(
-            r["n"], r["numeric"] / base, r["dates"][best] / base, layouts[best])
+    out = {}
+    for part in C.chunks(list(columns), _COLUMNS_PER_PASS):
+        cells = df.select(*[
+            x for i, c in enumerate(part)
+            for x in (col(c).alias(f"v{i}"), date_like(col(c), layouts).alias(f"d{i}"))])
+        row = cells.agg(F.count(F.lit(1)).alias("rows"), *[
+            F.struct(
+                F.count(f"v{i}").alias("n"),
+                F.count(text_to_number(F.col(f"v{i}"))).alias("numeric"),
+                F.array(*[F.count(text_to_timestamp(F.col(f"d{i}"), f)) for f in layouts])
+                .alias("dates"),
+            ).alias(f"c{i}") for i in range(len(part))]).first()
+        for i, c in enumerate(part):
+            r = row[f"c{i}"]
+            base = (row["rows"] if of_all_rows else r["n"]) or 1
+            best = max(range(len(layouts)), key=lambda k: (r["dates"][k], -k))
+            out[c] = TextShares(r["n"], r["numeric"] / base, r["dates"][best] / base,
+                                layouts[best], r["numeric"], r["dates"][best])
     return out
 
 
-def _first_values(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """(c, v): the first non-null values of each column. ``limit(n).collect()`` reads partitions
-    one after another until it has enough, so this does not scan the table."""
-    head = df.select(*[col(c) for c in columns]).limit(n).collect()
-    cells: list[tuple[str, str]] = []
-    for i, c in enumerate(columns):
-        found = [r[i] for r in head if r[i] is not None]
-        if len(found) < n and len(head) == n:
-            rest = df.select(col(c)).where(col(c).isNotNull()).limit(n).collect()
-            found = [r[0] for r in rest]
-        cells += [(c, v) for v in found]
-    return df.sparkSession.createDataFrame(cells, "c string, v string").coalesce(1)
-
-
 def detect_column_types(
     df: DataFrame,
     datetime_formats: Sequence[str] | None = None,
-    *,
-    sample: int | None = SAMPLE_VALUES,
 ) -> TableSchema:
     """Kind of every column: typed columns by type, text columns by what their values parse as."""
     if df.isEmpty():
         return TableSchema()
     text = C.columns_of_class(df, C.STRING)
-    shares = text_shares(df, text, sample=sample, formats=datetime_formats)
+    shares = text_shares(df, text, formats=datetime_formats)
     return _by_kind(df, {c: text_kind(shares[c]) for c in text})
 
 
@@ -140,12 +130,14 @@ def validate_and_convert_types(
     datetime_formats: Sequence[str] | None = None,
     numeric_threshold: float = NUMERIC_SHARE,
     *,
-    sample: int | None = SAMPLE_VALUES,
+    shares: Mapping[str, TextShares] | None = None,
 ) -> DataFrame:
-    """Cast text columns that mostly hold numbers or dates; values that do not parse go missing.
-    One projection; NaN becomes NULL on the way."""
+    """Cast text columns that mostly hold numbers or dates; values that do not parse go missing,
+    and ``conversion_losses`` says how many. One projection; NaN becomes NULL on the way.
+    ``shares`` may pass what ``text_shares`` found."""
     text = C.columns_of_class(df, C.STRING)
-    shares = text_shares(df, text, sample=sample, formats=datetime_formats)
+    if shares is None:
+        shares = text_shares(df, text, formats=datetime_formats)
     casts: dict[str, Column] = {}
     for c in text:
         kind = text_kind(shares[c], numeric_threshold)
@@ -156,6 +148,29 @@ def validate_and_convert_types(
     return C.nan_to_null(df.withColumns(casts) if casts else df)
 
 
+LOSSES = "column string, kind string, values bigint, lost bigint"
+
+
+def conversion_losses(
+    df: DataFrame,
+    datetime_formats: Sequence[str] | None = None,
+    numeric_threshold: float = NUMERIC_SHARE,
+    *,
+    shares: Mapping[str, TextShares] | None = None,
+) -> DataFrame:
+    """(column, kind, values, lost) for each text column: how many of its values
+    ``validate_and_convert_types`` turns into missing ones."""
+    text = C.columns_of_class(df, C.STRING)
+    if shares is None:
+        shares = text_shares(df, text, formats=datetime_formats)
+    rows = []
+    for c in text:
+        s, kind = shares[c], text_kind(shares[c], numeric_threshold)
+        parsed = {"numeric": s.numbers, "datetime": s.dates}.get(kind, s.values)
+        rows.append((c, kind, s.values, s.values - parsed))
+    return df.sparkSession.createDataFrame(rows, LOSSES)
+
+
 def detect_mixed_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, kind, n, share) for columns whose values are of more than one kind: text columns
     by what their values look like, variant columns by the type each value has."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
+from math import prod
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from ..functions.aggregates import AggFunc, aggregate
 from ..functions.columns import col
 from ..functions.ordered import VALUES_PER_RANGE
 from ..functions.quantiles import grouped_median
+from ..sources.names import unique_names
 
 AggSpec = AggFunc | Mapping[str, AggFunc]
 
@@ -24,7 +26,8 @@ def _expression(
 ) -> Column:
     kind = df.schema[name].dataType
     return aggregate(
-        func, name, is_float=isinstance(kind, (T.FloatType, T.DoubleType)), order_by=order_by)
+        func, name, is_float=isinstance(kind, (T.FloatType, T.DoubleType)),
+        is_whole=isinstance(kind, T.IntegralType), order_by=order_by)
 
 
 def _func_for(aggfunc: AggSpec, name: str) -> AggFunc | None:
@@ -49,7 +52,7 @@ def group_aggregate(
 
     All functions but the median combine map-side, so a hot key is no hot task. The built-in
     median holds a group's values in one task and is used only up to ``median_limit`` rows."""
-    df = _flags_as_numbers(df, metrics)
+    df = _flags_as_numbers(C.nan_to_null(df, keys), metrics)
     funcs = {m: _func_for(aggfunc, m) for m in metrics}
     funcs = {m: f for m, f in funcs.items() if f is not None}
     medians = [m for m, f in funcs.items() if f == "median"]
@@ -111,12 +114,31 @@ def drilldown(
     keys, chosen = C.existing(df, hierarchy), C.existing(df, metrics)
     if not keys or not chosen:
         raise ValueError("A drill-down needs a hierarchy column and a metric that exist.")
-    df = _flags_as_numbers(df, chosen)
+    funcs = {m: f for m in chosen if (f := _func_for(aggfunc, m)) is not None}
+    if "median" in funcs.values():
+        return _levels_apart(df, keys, list(funcs), funcs, order_by)
+    df = _flags_as_numbers(C.nan_to_null(df, keys), chosen)
     used = sum(
         (F.lit(1) - F.grouping(col(k)).cast("int") for k in keys), start=F.lit(0)
     ).alias("level")
     return df.rollup(*[col(k) for k in keys]).agg(
-        used, *[_expression(df, m, _func_for(aggfunc, m), order_by) for m in chosen])
+        used, *[_expression(df, m, f, order_by) for m, f in funcs.items()])
+
+
+def _levels_apart(df, keys, metrics, funcs, order_by) -> DataFrame:
+    """All levels of a hierarchy, each grouped on its own: medians of a coarse level do not
+    follow from those of a finer one, and a group may be the whole table."""
+    parts = []
+    for used in range(len(keys), -1, -1):
+        some = keys[:used]
+        # The grand total is the one group of a constant.
+        whole = df if some else df.withColumn("_all", F.lit(1))
+        found = group_aggregate(whole, some or ["_all"], metrics, funcs, order_by=order_by)
+        parts.append(found.select(
+            *[col(k) if k in some else F.lit(None).cast(df.schema[k].dataType).alias(k)
+              for k in keys],
+            F.lit(used).alias("level"), *[col(m) for m in metrics]))
+    return C.union_all(parts)
 
 
 def _matches(name: str, wanted: Any) -> Column:
@@ -179,13 +201,14 @@ def pivot_analysis(
     aggfunc: AggFunc = "sum",
     fill_value: Any = 0,
     *,
-    dense: bool = True,
+    dense: bool = False,
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Cross-tabulation: one row per index value, one column ``value_columnvalue`` per value and
     combination of column values; empty cells get ``fill_value``; missing keys are kept.
 
-    Several index columns give every combination of their values, unless ``dense`` is off."""
+    ``dense`` gives every combination of the values of several index columns. Two columns that
+    would have one name are told apart by a number."""
     keys, across = C.existing(df, index), C.existing(df, columns)
     if values is None:
         values = [c for c in C.numeric_columns(df) if c not in keys and c not in across]
@@ -193,10 +216,15 @@ def pivot_analysis(
     if not keys or not chosen:
         raise ValueError("A pivot needs an index column and a value column that exist.")
 
-    df = _flags_as_numbers(df, chosen)
+    df = _flags_as_numbers(C.nan_to_null(df, [*keys, *across]), chosen)
     exprs = [_expression(df, v, aggfunc, order_by) for v in chosen]
     if across:
         levels = [_levels(df, c) for c in across]
+        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        if prod(len(vs) for vs in levels) > limit:
+            raise ValueError(
+                f"{' x '.join(across)} has more than {limit} combinations "
+                "(spark.sql.pivotMaxValues). Group by them instead.")
         combos = list(product(*levels))
         part = [F.create_map(*[F.lit(x) for i, v in enumerate(vs) if v is not None
                                for x in (v, str(i))])
@@ -207,13 +235,19 @@ def pivot_analysis(
         ])
         codes = ["|".join(str(i) for i in at)
                  for at in product(*[range(len(vs)) for vs in levels])]
-        wide = df.withColumn("_cell", code).groupBy(*[col(k) for k in keys]).pivot(
-            "_cell", codes).agg(*exprs)
+        coded = df.withColumn("_cell", code)
+        if aggfunc == "median":
+            # one row per cell by the grouped median, which the pivot only has to move
+            coded = group_aggregate(coded, [*keys, "_cell"], chosen, aggfunc)
+            exprs = [F.first(col(v), ignorenulls=True).alias(v) for v in chosen]
+        wide = coded.groupBy(*[col(k) for k in keys]).pivot("_cell", codes).agg(*exprs)
         labels = ["_".join(_label(x) for x in combo) for combo in combos]
         # Spark lists the pivot value first, then the aggregate
-        names = [f"{v}_{label}".strip("_") for label in labels for v in chosen]
-        wide = wide.toDF(*keys, *names)
-        shown = [f"{v}_{label}".strip("_") for v in chosen for label in labels]
+        wanted = [f"{v}_{label}".strip("_") for v in chosen for label in labels]
+        shown = unique_names([*keys, *wanted])[len(keys):]
+        at = {(v, i): shown[k * len(labels) + i] for k, v in enumerate(chosen)
+              for i in range(len(labels))}
+        wide = wide.toDF(*keys, *[at[v, i] for i in range(len(labels)) for v in chosen])
     else:
         wide = group_aggregate(df, keys, chosen, aggfunc, order_by=order_by)
         shown = chosen

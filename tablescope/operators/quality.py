@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.columns import col
 from ..functions.counts import distinct_counts
-from ..functions.skew import LARGE_TABLE_BYTES, estimated_bytes, hot_keys, hot_part
+from ..functions.skew import LARGE_TABLE_BYTES, estimated_bytes
 
 
 def _null_counts(df: DataFrame) -> DataFrame:
@@ -60,9 +60,6 @@ def detect_missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-MAX_REPEATED_HASHES = 500_000
-
-
 def detect_duplicates(
     df: DataFrame, subset: Sequence[str] | None = None, *, large_bytes: int | None = None
 ) -> DataFrame:
@@ -71,45 +68,40 @@ def detect_duplicates(
 
     Keys are counted with a map-side aggregate and the repeated ones looked up again; no window,
     which would gather all copies of a key in one task. On large tables only rows whose key hash
-    repeats are looked at, or, where those are many, rows of hot keys (found at least twice in a
-    sample, so surely repeated) are passed on without any shuffle."""
+    repeats are looked at; the joins are left to the adaptive split of hot keys."""
     keys = list(subset) if subset else list(df.columns)
     limit = LARGE_TABLE_BYTES if large_bytes is None else large_bytes
-    hot = None
-    rest = df
-    if estimated_bytes(df) >= limit:
-        rest = _suspects(df, keys)
-        if rest is None:
-            hot = hot_keys(df, keys)
-            rest = df if hot is None else hot_part(df, hot, keys, keep=False)
+    rest = _suspects(df, keys) if estimated_bytes(df) >= limit else df
     repeated = (
-        rest.groupBy(*[col(k) for k in keys])
+        rest.select(*[_key(rest, k).alias(k) for k in keys]).groupBy(*[col(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("_copies"))
         .where("_copies > 1").drop("_copies")
         .toDF(*[f"_d{i}" for i in range(len(keys))])
     )
     condition = None
     for i, k in enumerate(keys):
-        part = col(k).eqNullSafe(F.col(f"_d{i}"))
+        part = _key(rest, k).eqNullSafe(F.col(f"_d{i}"))
         condition = part if condition is None else condition & part
-    out = rest.join(repeated, condition, "left_semi")
-    return out if hot is None else out.unionByName(hot_part(df, hot, keys, keep=True))
+    return rest.join(repeated, condition, "left_semi")
 
 
-def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Rows whose 64-bit key hash occurs more than once, or None when such hashes are too many
-    to broadcast. Every repeated key is among them, and the shuffle carried hashes, not rows."""
+def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose 64-bit key hash occurs more than once. Every repeated key is among them, and
+    the count shuffled hashes, not rows."""
     if any(isinstance(df.schema[k].dataType, T.MapType) for k in keys):
-        return None
-    hashed = F.xxhash64(*[col(k) for k in keys])
+        return df
+    hashed = F.xxhash64(*[_key(df, k) for k in keys])
     found = (
         df.select(hashed.alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("_hash").limit(MAX_REPEATED_HASHES + 1).toPandas()
+        .where("n > 1").select("_hash")
     )
-    if len(found) > MAX_REPEATED_HASHES:
-        return None
-    hashes = df.sparkSession.createDataFrame(found, "_hash bigint")
-    return df.join(F.broadcast(hashes), hashed == hashes["_hash"], "left_semi")
+    return df.join(found, hashed == found["_hash"], "left_semi")
+
+
+def _key(df: DataFrame, name: str) -> Column:
+    """The column with NaN as missing, which as a key equals any other missing value."""
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return F.nanvl(col(name), F.lit(None)) if floating else col(name)
 
 
 def duplicate_count(
@@ -119,10 +111,9 @@ def duplicate_count(
     keys = list(subset) if subset else list(df.columns)
     limit = LARGE_TABLE_BYTES if large_bytes is None else large_bytes
     if estimated_bytes(df) >= limit:
-        suspects = _suspects(df, keys)
-        df = df if suspects is None else suspects
+        df = _suspects(df, keys)
     return (
-        df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("copies"))
+        df.select(*[_key(df, k).alias(k) for k in keys]).groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicates"))
     )

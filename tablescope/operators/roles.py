@@ -122,7 +122,7 @@ def valid_time_columns(df: DataFrame, columns: list[str]) -> list[str]:
     typed = [c for c in columns if c in C.columns_of_class(df, C.DATETIME)]
     text = [c for c in columns if c in C.columns_of_class(df, C.STRING)]
     share = {
-        c: s.datetime for c, s in text_shares(df, text, sample=None, of_all_rows=True).items()
+        c: s.datetime for c, s in text_shares(df, text, of_all_rows=True).items()
     }
     if typed:
         row = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in typed]).first()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.coerce import text_to_timestamp
+from ..functions.coerce import from_micros, text_to_timestamp
 from ..functions.columns import as_double, col
 from ..sources.names import normalize_column_name
 from .inference import DATETIME_SHARE, TableSchema, detect_column_types, text_shares
@@ -113,7 +113,7 @@ def find_datetime_column_heuristic(
     text = [c for c in hinted if typed[c] == C.STRING]
     times = [c for c in hinted if typed[c] == C.DATETIME]
     share = {
-        c: s.datetime for c, s in text_shares(df, text, sample=None, of_all_rows=True).items()
+        c: s.datetime for c, s in text_shares(df, text, of_all_rows=True).items()
     }
     if times:
         row = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in times]).first()
@@ -124,11 +124,14 @@ def find_datetime_column_heuristic(
     by_value = detect_column_types(df).datetime
     if by_value:
         return by_value[0]
-    for c in C.numeric_columns(df):
-        head = df.select(as_double(c).alias("v")).where("v IS NOT NULL").limit(100).collect()
-        if not head:
+    numbers = C.numeric_columns(df)
+    if not numbers:
+        return None
+    ends = df.agg(*[F.struct(F.min(as_double(c)).alias("low"), F.max(as_double(c)).alias("high"))
+                    for c in numbers]).first()
+    for c, (low, high) in zip(numbers, ends):
+        if low is None:
             continue
-        low, high = min(r[0] for r in head), max(r[0] for r in head)
         if (low >= 1900 and high <= 2100) or (low >= 1e9 and high <= 9_999_999_999):
             return c
     return None
@@ -149,6 +152,6 @@ def ensure_datetime(
         layout = text_shares(df, [date_col], formats=formats)[date_col].layout
         return df.withColumn(date_col, text_to_timestamp(col(date_col), layout))
     if kind == C.NUMERIC:
-        seconds = F.timestamp_seconds(col(date_col))
-        return df.withColumn(date_col, seconds.cast("timestamp_ntz"))
+        micros = F.round(as_double(date_col) * 1_000_000).cast("bigint")
+        return df.withColumn(date_col, from_micros(micros))
     return df

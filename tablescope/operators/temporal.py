@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,11 +31,49 @@ TREND = (
 ANOMALY_COUNT = "count bigint, z_threshold double"
 
 
+_PARTS = {"hour": F.hour, "minute": F.minute, "second": F.second}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+# Names of weekdays and months in anchored frequencies.
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
+def _unit(freq: str) -> tuple[int, str, str]:
+    """(multiple, unit, anchor) of a frequency such as 15min, 2D, W-WED or QE-MAR."""
+    found = re.fullmatch(r"(\d*)([A-Za-z]+)(?:-([A-Z]{3}))?", freq)
+    unit = UNITS.get(found[2]) if found else None
+    known = {"week": WEEKDAYS, "quarter": MONTHS, "year": MONTHS}.get(unit, ())
+    if unit is None or found[1] == "0" or (found[3] and found[3] not in known):
+        raise ValueError(f"Unknown frequency '{freq}'; use one of {', '.join(UNITS)}, "
+                         "with a number before it or a weekday or month after it.")
+    return int(found[1] or 1), unit, found[3] or ""
+
+
 def time_bucket(date_col: str, freq: str) -> Column:
-    """Start of the calendar bucket, without time zone."""
-    if freq not in UNITS:
-        raise ValueError(f"Unknown frequency '{freq}'; use one of {', '.join(UNITS)}.")
-    return F.date_trunc(UNITS[freq], col(date_col)).cast("timestamp_ntz")
+    """Start of the bucket, by the clock as written: the session's zone plays no part.
+
+    Several units form a bucket from 1970 on, weeks from the first week of 1970, units below a
+    day from midnight. An anchor names the last day of a week, or the last month of a quarter or
+    year."""
+    times, unit, anchor = _unit(freq)
+    at = col(date_col).cast("timestamp_ntz")
+    day = at.cast("date")
+    if unit in _PARTS:
+        seconds = {"hour": 3600, "minute": 60, "second": 1}[unit] * times
+        passed = F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(F.second(at)).cast("int")
+        return F.timestamp_add("SECOND", passed - passed % seconds, day.cast("timestamp_ntz"))
+    if unit in _MONTHS:
+        months = _MONTHS[unit] * times
+        shift = (MONTHS.index(anchor) + 1) % _MONTHS[unit] if anchor else 0
+        passed = (F.year(day) - 1970) * 12 + F.month(day) - 1
+        start = F.add_months(F.lit("1970-01-01").cast("date"),
+                             passed - F.pmod(passed - shift, F.lit(months)))
+        return start.cast("timestamp_ntz")
+    days = times * (7 if unit == "week" else 1)
+    # 1970-01-05 was a Monday; a week ends on its anchor.
+    first = (4 + (WEEKDAYS.index(anchor) + 1 if anchor else 0) % 7) if unit == "week" else 0
+    passed = F.unix_date(day)
+    return F.date_sub(day, F.pmod(passed - first, F.lit(days))).cast("timestamp_ntz")
 
 
 def _nothing(df: DataFrame) -> DataFrame:

@@ -16,13 +16,20 @@ from ..operators.importance import (
     dominant_categories,
 )
 from ..operators.impute import Known, handle_missing_values
-from ..operators.inference import TableSchema, declared_types, validate_and_convert_types
+from ..operators.inference import (
+    TableSchema,
+    conversion_losses,
+    declared_types,
+    text_shares,
+    validate_and_convert_types,
+)
 from ..operators.olap import dice, pivot_analysis, rollup, slice_olap
 from ..operators.quality import detect_missing_values, duplicate_count, summarize_schema
 from ..operators.roles import ColumnRoles, classify_dataset, infer_column_semantics
 from ..operators.schema import detect_schema
 from ..operators.stats import describe_numerical, numeric_profile
 from ..operators.temporal import (
+    ANOMALY_COUNT,
     aggregate_time,
     detect_temporal_anomalies,
     detect_trend,
@@ -78,7 +85,9 @@ def run_pipeline(
     warnings: list[str] = []
 
     source = normalize_columns(df)
-    typed = validate_and_convert_types(source)
+    shares = text_shares(source, C.columns_of_class(source, C.STRING))
+    typed = validate_and_convert_types(source, shares=shares)
+    sections["conversion"] = conversion_losses(source, shares=shares)
     if _is_derived(source, typed):
         typed = materialize(typed, "typed")
     by_value = declared_types(typed)
@@ -137,7 +146,7 @@ def run_pipeline(
         "scores": lambda: calculate_advanced_feature_importance(
             clean, schema.numeric, schema.categorical, roles.identifiers, corr=corr),
         "kind": lambda: classify_dataset(clean, schema, roles, unique=unique),
-        "temporal": lambda: _temporal(clean, date_col, metric),
+        "temporal": lambda: _temporal(clean, date_col, metric, numbers, roles.identifiers),
         "olap": lambda: _olap(clean, schema, roles),
     })
     sections["correlation_pairs"] = pairs = third["pairs"]
@@ -177,11 +186,17 @@ def _is_derived(source: DataFrame, typed: DataFrame) -> bool:
     return [f.dataType for f in source.schema] != [f.dataType for f in typed.schema]
 
 
-def _temporal(clean, date_col, metric) -> tuple[dict[str, DataFrame], list[str]]:
+def _temporal(clean, date_col, metric, numbers, identifiers
+              ) -> tuple[dict[str, DataFrame], list[str]]:
+    spark = clean.sparkSession
+    nothing = {"anomalies": clean.limit(0),
+               "anomaly_count": spark.createDataFrame([(0, 2.0)], ANOMALY_COUNT)}
     if date_col is None:
-        return {}, ["No date column: no time series."]
-    out = {
-        "time_series": aggregate_time(clean, date_col),
+        return nothing, ["No date column: no time series."]
+    # sums of identifiers tell nothing
+    added = [c for c in numbers if c not in identifiers] or numbers
+    out = nothing | {
+        "time_series": aggregate_time(clean, date_col, values=added),
         "time_rolling": rolling_average(clean, date_col),
     }
     if metric is None:
@@ -208,7 +223,9 @@ def _olap(clean, schema, roles) -> tuple[dict[str, DataFrame], list[str]]:
     try:
         out["olap_pivot"] = pivot_analysis(clean, [first], [second] if second else None, metric)
     except ValueError as error:
-        warnings.append(f"No pivot: {error}")
+        # too many columns for a wide table: the same cells, one per row
+        out["olap_pivot"] = rollup(clean, [first, second] if second else [first], [metric])
+        warnings.append(f"The pivot is in long form: {error}")
     low = clean.agg(*[F.min(col(c)).alias(f"v{i}") for i, c in enumerate(dims[:2])]).first()
     if low["v0"] is not None:
         out["olap_slice"] = slice_olap(clean, {first: low["v0"]}, [metric])

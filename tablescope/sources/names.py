@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -13,16 +14,20 @@ def normalize_column_name(name: str) -> str:
     return "_".join(words) or str(name)
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Rename all columns; names that collide get _2, _3, ... so that each stays addressable."""
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Names that collide, whatever their case, get _2, _3, ... so that each stays addressable."""
     taken: set[str] = set()
-    names = []
-    for original in df.columns:
-        base = normalize_column_name(original)
+    out = []
+    for base in names:
         name, n = base, 1
         while name.lower() in taken:
             n += 1
             name = f"{base}_{n}"
         taken.add(name.lower())
-        names.append(name)
-    return df.toDF(*names)
+        out.append(name)
+    return out
+
+
+def normalize_columns(df: DataFrame) -> DataFrame:
+    """Rename all columns; names that collide are numbered."""
+    return df.toDF(*unique_names([normalize_column_name(c) for c in df.columns]))

@@ -177,7 +177,6 @@ def test_duplicates_agree_on_every_path(frame, subset, monkeypatch):
     plain = as_list(quality.detect_duplicates(df, subset))
     assert as_list(quality.detect_duplicates(df, subset, large_bytes=1)) == plain
     assert quality.duplicate_count(df, subset, large_bytes=1).first()[0] == len(plain)
-    monkeypatch.setattr(quality, "MAX_REPEATED_HASHES", 0)
     assert as_list(quality.detect_duplicates(df, subset, large_bytes=1)) == plain
     assert quality.duplicate_count(df, subset).first()[0] == len(plain)
 
