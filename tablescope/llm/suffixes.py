@@ -3,8 +3,9 @@
 A byte is removed if it lies in a string of LENGTH bytes that also starts anywhere else. Strings
 that are equal must meet in one shard, whatever documents they stand in, so they are dealt by
 content: each string of LENGTH bytes is filed under the least hash of the 16-byte pieces in it,
-and neighbouring strings with the same least piece form a segment. Segments whose piece occurs
-once in the corpus are dropped, since no string in them can occur twice; equal segments are
+and neighbouring strings with the same least piece form a segment. Such a string reaches far on
+at least one side of its piece, so a segment is dropped if neither the bytes before nor those
+after its piece occur with it elsewhere: no string in it can occur twice. Equal segments are
 folded. What is left is suffix-sorted shard by shard (see `induced`): strings whose suffixes share
 LENGTH bytes are repeats.
 
@@ -34,6 +35,8 @@ QUEUE_BYTES = 128 << 20
 SAMPLE_DOCS = 2000
 COMMON_DOCS = 10
 _STRETCH = 1 << 22
+#: Stands for bytes beyond the stretch of a long text, which may or may not occur elsewhere.
+UNKNOWN = 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,11 +55,17 @@ def pieces(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: bytes, common: np.ndarray, length: int = LENGTH
-             ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(piece, first, last): runs of strings, by where they start, under the same least piece.
-
-    Long texts are cut into stretches, which may cut a run in two."""
+             ) -> Iterator[tuple[np.ndarray, ...]]:
+    """(piece, first, last, before, after): runs of strings, by where they start, under the same
+    least piece; and hashes of the piece with the bytes before and after it, 0 where the text
+    ends too soon.
+
+    Every string of the run contains what was hashed on one side or the other: it has at least
+    half of its other bytes there. Long texts are cut into stretches, which may cut a run in
+    two, and a hash of 0 may stand for a text that goes on in the stretch beside: such a side
+    counts as repeated."""
     width = length - PIECE + 1
+    steps = (length - PIECE) // 2 // PIECE
     for at in range(0, max(0, len(data) - length + 1), _STRETCH):
         part = np.frombuffer(data, np.uint8, min(len(data) - at, _STRETCH + length - 1), at)
         h = pieces(part)
@@ -68,7 +77,25 @@ def segments(data: bytes, common: np.ndarray, length: int = LENGTH
         place = least_places(rank, width)
         first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
         last = np.append(first[1:] - 1, len(place) - 1)
-        yield h[place[first]].view(np.int64), first + at, last + at
+        at_piece = place[first]
+        around = []
+        for way in (-PIECE, PIECE):
+            far = at_piece + way * steps
+            inside = (far >= 0) & (far < len(h))
+            mixed = np.zeros(len(first), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(steps + 1):
+                    spot = np.clip(at_piece + way * k, 0, len(h) - 1)
+                    mixed = (mixed ^ h[spot]) * _A
+                    mixed ^= mixed >> np.uint64(32)
+            # One mark for the way keeps the two sides of a piece apart.
+            mixed = (mixed | np.uint64(2)) ^ np.uint64(way > 0)
+            around.append(np.where(inside, mixed, 0).astype(np.uint64).view(np.int64))
+        cut_off = at > 0, at + len(part) < len(data)
+        for side, cut in enumerate(cut_off):
+            if cut:
+                around[side] = np.where(around[side] == 0, UNKNOWN, around[side])
+        yield (h[at_piece].view(np.int64), first + at, last + at, *around)
 
 
 def _common_pieces(spark: SparkSession, base: DataFrame) -> np.ndarray:
@@ -164,22 +191,26 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for row, packed in zip(batch.column(0), batch.column(1)):
                 data = zstandard.decompress(packed.as_py())
-                for piece, first, last in segments(data, common.value, length):
-                    values = (np.full(len(first), row.as_py()), piece, first, last)
+                for found in segments(data, common.value, length):
+                    values = (np.full(len(found[0]), row.as_py()), *found)
                     for column, value in zip(out, values):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64())
-                 for c in out], names=["row", "piece", "first", "last"])
+                 for c in out], names=["row", "piece", "first", "last", "before", "after"])
 
     filed = materialize(base.select("row", "packed").mapInArrow(
-        file, "row long, piece long, first long, last long"), "segments")
-    again = filed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = materialize(filed.join(again.select("piece"), "piece", "left_semi").groupBy("row").agg(
-        F.collect_list(F.struct("piece", "first", "last")).alias("runs")), "wanted")
+        file, "row long, piece long, first long, last long, before long, after long"), "segments")
+    sides = filed.select("row", "piece", "first", "last", F.explode(F.array("before", "after"))
+                         .alias("side")).where("side != 0")
+    # A table of its own, so that a side that many texts share can be split in the join.
+    again = materialize(sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where(
+        (F.col("n") > 1) | (F.col("side") == UNKNOWN)).select("side"), "again")
+    wanted = materialize(sides.join(again, "side", "left_semi").groupBy("row").agg(
+        F.collect_set(F.struct("piece", "first", "last")).alias("runs")), "wanted")
     volume = wanted.select(F.explode("runs").alias("r")).agg(
         F.sum(F.col("r.last") - F.col("r.first") + length)).first()[0] or 0
     shards = max(1, -(-volume // shard_bytes))
