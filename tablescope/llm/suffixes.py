@@ -118,7 +118,7 @@ def _common_pieces(spark: SparkSession, base: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
-def _repeats(parts: list[bytes], lengths: int, length: int) -> list[tuple[int, int, int]]:
+def _repeats(parts: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(part, first, last) of runs of places where a repeated string starts."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     text = np.append(data.astype(np.int16) + 1, 0).astype(np.int16)
@@ -145,21 +145,22 @@ class _Shard:
     def __init__(self) -> None:
         self.texts: dict[bytes, bytes] = {}
         self.places: dict[bytes, list[tuple[int, int]]] = {}
+        self.marks: dict[int, set[bytes]] = {}
         self.size = 0
 
     def solve(self, length: int) -> Iterator[tuple[int, int, int]]:
         """(row, from, to) of the bytes to remove."""
-        marks = list(self.texts)
-        alone = []
-        for mark in marks:
-            if len(self.places[mark]) > 1:
+        for mark, places in self.places.items():
+            if len(places) > 1:
                 n = len(self.texts[mark])
-                for row, at in self.places[mark]:
+                for row, at in places:
                     yield row, at, at + n
-            else:
-                alone.append(mark)
-        if alone and len(marks) > 1:
-            for k, first, last in _repeats([self.texts[m] for m in marks], self.size, length):
+        # Strings of one text under one piece differ, and so do those under different pieces.
+        open_ = [m for m in self.marks.values()
+                 if len(m) > 1 and any(len(self.places[x]) == 1 for x in m)]
+        marks = sorted(x for m in open_ for x in m)
+        if marks:
+            for k, first, last in _repeats([self.texts[m] for m in marks], length):
                 if len(self.places[marks[k]]) == 1:
                     row, at = self.places[marks[k]][0]
                     yield row, at + first, at + last + length
@@ -251,6 +252,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     shard = _Shard()
                 now = piece
                 shard.places.setdefault(mark, []).append((row, first))
+                shard.marks.setdefault(piece, set()).add(mark)
                 if segment is not None and mark not in shard.texts:
                     shard.texts[mark] = segment
                     shard.size += len(segment)

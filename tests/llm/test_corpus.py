@@ -116,19 +116,21 @@ def test_suffix_query(spark, texts):
             for r in rows} == want
 
 
-@pytest.mark.parametrize("shard_bytes", [200, 1 << 22])
-def test_repeats_of_short_strings(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, stretch", [(200, 1 << 22), (1 << 22, 1 << 22), (500, 64)])
+def test_repeats_of_short_strings(spark, monkeypatch, shard_bytes, stretch):
     """Small alphabets, overlaps, repeats inside one text, common pieces; several small shards."""
     monkeypatch.setattr(suffixes, "QUEUE_BYTES", 64)
     monkeypatch.setattr(suffixes, "COMMON_DOCS", 4)
+    monkeypatch.setattr(suffixes, "_STRETCH", stretch)
     rng = random.Random(shard_bytes)
     line = "the very common line of many documents, "
     texts = {i: "".join(rng.choices(["ab", "abc", "x", "é", line], [4, 4, 1, 1, 3], k=25))
              for i in range(30)}
     texts |= {40: "a" * 300, 41: texts[3], 42: None, 43: "", 44: texts[5] * 3, 45: "short"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = suffixes.remove_repeats(df, length=40, shard_bytes=shard_bytes).collect()
-    want = plain.removed(texts, 40)
+    length = 40 if stretch > 64 else 60
+    rows = suffixes.remove_repeats(df, length=length, shard_bytes=shard_bytes).collect()
+    want = plain.removed(texts, length)
     for r in rows:
         gone = sum(s["end"] - s["start"] for s in r["spans"])
         assert (r["n_bytes"], gone, len(r["spans"])) == want[r["doc_id"]][:3], r["doc_id"]
