@@ -11,7 +11,6 @@ no span."""
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,12 +29,21 @@ CONTROL = (START, SEPARATOR, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>",
            "<|endoftext|>", "<|startoftext|>")
 
 
+#: Escaped texts of late: rendering every prefix asks for the same texts again and again.
+_ESCAPED: dict[str, str] = {}
+
+
 def escape(text: str) -> str:
     r"""Double every backslash and put one after the first character of each control string."""
-    text = text.replace("\\", "\\\\")
-    for control in CONTROL:
-        text = text.replace(control, control[0] + "\\" + control[1:])
-    return text
+    known = _ESCAPED.get(text)
+    if known is None:
+        known = text.replace("\\", "\\\\")
+        for control in CONTROL:
+            known = known.replace(control, control[0] + "\\" + control[1:])
+        if len(_ESCAPED) >= 2048:
+            _ESCAPED.clear()
+        _ESCAPED[text] = known
+    return known
 
 
 def unescape(text: str) -> str:
@@ -58,18 +66,27 @@ def read_back(formatted: str) -> list[Message]:
     return out
 
 
+def _longest(most: int, same: Callable[[int, int], bool]) -> int:
+    """The largest n up to `most` for which all of [0, n) is the same, by halving: slices are
+    compared as wholes, and each character a few times at most."""
+    if same(0, most):
+        return most
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if same(low, middle) else (low, middle)
+    return low
+
+
 def _shared(a: str, b: str) -> int:
     """Length of the common prefix."""
-    if b.startswith(a):
-        return len(a)
-    return len(os.path.commonprefix((a, b)))
+    return _longest(min(len(a), len(b)), lambda i, j: a[i:j] == b[i:j])
 
 
 def _shared_end(a: str, b: str, most: int) -> int:
     """Length of the common suffix, `most` at most."""
-    if not most:
-        return 0
-    return _shared(a[-most:][::-1], b[-most:][::-1])
+    n, m = len(a), len(b)
+    return _longest(most, lambda i, j: a[n - j:n - i] == b[m - j:m - i])
 
 
 @dataclass
