@@ -321,8 +321,10 @@ def test_median_paths_agree(table):
 
 def test_dense_pivot_without_columns(frame):
     df = frame([("x", "p", 1), ("y", "q", 2), (None, "p", 4)], "a string, b string, v int")
+    some = ts.pivot_analysis(df, ["a", "b"], values="v").collect()
+    assert len(some) == 3
     rows = {(r["a"], r["b"]): r["v"] for r in ts.pivot_analysis(
-        df, ["a", "b"], values="v").collect()}
+        df, ["a", "b"], values="v", dense=True).collect()}
     assert rows == {("x", "p"): 1, ("x", "q"): 0, ("y", "p"): 0, ("y", "q"): 2,
                     (None, "p"): 4, (None, "q"): 0}
 
