@@ -17,6 +17,7 @@ from ..operators.importance import (
 )
 from ..operators.impute import Known, handle_missing_values
 from ..operators.inference import (
+    LOSSES,
     TableSchema,
     conversion_losses,
     declared_types,
@@ -80,7 +81,7 @@ def run_pipeline(
     table."""
     spark = df.sparkSession
     if df.isEmpty():
-        return df, Report(warnings=["The table is empty."])
+        return df, _empty_report(df)
     sections: dict[str, DataFrame] = {}
     warnings: list[str] = []
 
@@ -88,7 +89,7 @@ def run_pipeline(
     shares = text_shares(source, C.columns_of_class(source, C.STRING))
     typed = validate_and_convert_types(source, shares=shares)
     sections["conversion"] = conversion_losses(source, shares=shares)
-    if _is_derived(source, typed):
+    if _is_derived(source, typed) or _parses_text(source):
         typed = materialize(typed, "typed")
     by_value = declared_types(typed)
     schema = detect_schema(typed, verify=True, by_value=by_value)
@@ -186,6 +187,27 @@ def _is_derived(source: DataFrame, typed: DataFrame) -> bool:
     return [f.dataType for f in source.schema] != [f.dataType for f in typed.schema]
 
 
+def _parses_text(source: DataFrame) -> bool:
+    """Whether every read parses text files again, though no column changed its type."""
+    plan = source._jdf.queryExecution().executedPlan().toString()
+    return any(f"FileScan {kind} " in plan for kind in ("csv", "json", "text", "xml"))
+
+
+def _empty_report(df: DataFrame) -> Report:
+    """The sections that need no values, all without rows but those that count them."""
+    spark = df.sparkSession
+    source = normalize_columns(df)
+    kinds = declared_types(source)
+    return Report({
+        "schema": kinds.to_frame(source), "summary": summarize_schema(source),
+        "missing": detect_missing_values(source), "duplicates": duplicate_count(source),
+        "conversion": spark.createDataFrame([], LOSSES),
+        "correlation": spark.createDataFrame([], CORRELATION),
+        "anomalies": source, "insights": spark.createDataFrame([], INSIGHTS),
+        "anomaly_count": spark.createDataFrame([(0, 2.0)], ANOMALY_COUNT),
+    }, ["The table is empty."], kinds)
+
+
 def _temporal(clean, date_col, metric, numbers, identifiers
               ) -> tuple[dict[str, DataFrame], list[str]]:
     spark = clean.sparkSession

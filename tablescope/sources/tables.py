@@ -9,6 +9,7 @@ from pathlib import PurePath
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..functions.skew import estimated_bytes
@@ -28,7 +29,8 @@ def load_dataframe(
 ) -> DataFrame:
     """Read a table: .parquet / .parq typed, anything else as CSV with every column text.
 
-    A DataFrame passes through. ``options`` go to the Spark reader."""
+    A DataFrame passes through. ``options`` go to the Spark reader. A CSV row shorter than the
+    header misses its last cells; one that is longer is an error."""
     if isinstance(source, DataFrame):
         return source
     if not isinstance(source, (str, PurePath)):
@@ -53,9 +55,18 @@ def _read_csv(
     settings = {"header": True, "quote": '"', "escape": '"', **options}
     if "multiLine" not in settings:
         settings["multiLine"] = _may_break_lines(spark, path, large_bytes)
-    raw = spark.read.options(**settings).csv(path)
-    return raw.select(*[
-        F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in raw.columns
+    names = spark.read.options(**settings).csv(path).columns
+    # Spark drops cells beyond the header without a word; with one column more they are seen.
+    more = "more_cells"
+    while more in names:
+        more += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, more]])
+    raw = spark.read.schema(schema).options(**{**settings, "enforceSchema": True}).csv(path)
+    told = F.raise_error(F.concat(
+        F.lit("A row has more cells than the header; the first is: "), col(more)))
+    whole = raw.where(F.when(col(more).isNotNull(), told.cast("boolean")).otherwise(F.lit(True)))
+    return whole.select(*[
+        F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in names
     ])
 
 

@@ -25,6 +25,16 @@ def test_csv_cells_are_text_and_missing_tokens_are_null(spark, tmp_path):
         ("1", None, 'a, "b"\nc'), ("2", " NA", None), ("003", "1.50", None)]
 
 
+def test_ragged_csv(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("a,b\n1,2\n6\n3,4,\n")
+    assert [tuple(r) for r in ts.load_dataframe(spark, str(path)).collect()] == [
+        ("1", "2"), ("6", None), ("3", "4")]
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        ts.load_dataframe(spark, str(path)).select("a").collect()
+
+
 @pytest.mark.parametrize("text,breaks", [
     ('a,b\n1,"x, ""y"""\n2,z\n', False), ('a,b\n1,"x\ny"\n2,z\n', True)])
 def test_large_csv_is_split_only_without_broken_lines(spark, tmp_path, text, breaks):
