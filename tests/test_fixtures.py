@@ -93,7 +93,7 @@ def test_f4_pivot(frame):
 def test_f4_pivot_with_two_index_columns_gives_every_combination(frame):
     df = frame([("x", "p", "u", 1.0), ("x", None, "v", 2.0), ("y", "p", "u", 3.0),
                 (None, "q", "v", None)], "a string, b string, c string, v double")
-    got = ts.pivot_analysis(df, ["a", "b"], ["c"], "v")
+    got = ts.pivot_analysis(df, ["a", "b"], ["c"], "v", dense=True)
     rows = {(r["a"], r["b"]): (r["v_u"], r["v_v"]) for r in got.collect()}
     assert len(rows) == 9
     assert rows[("x", "p")] == (1.0, 0.0) and rows[("x", None)] == (0.0, 2.0)
