@@ -206,6 +206,16 @@ def test_common_passage_is_linear(spark):
     assert len(found) <= 2 * 60
 
 
+def test_two_passages_of_one_pair(spark):
+    """Equal headers and footers round bodies that differ."""
+    rows = [(k, f"{sentence(3, 60)} {sentence(10 + k, 100)} {sentence(4, 60)}") for k in range(4)]
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for start in (0, 160):
+        met = {d for r in found if (r["start"], r["end"], r["similarity"]) == (start, start + 60, 1.0)
+               for d in (r["doc_id"], r["other_id"])}
+        assert met == {0, 1, 2, 3}
+
+
 def test_passages_query_finds_verbatim_runs(spark, texts):
     found = QUERIES["op2_collinear_chaining"](spark, SMALL).collect()
     words = {d: plain.lower(t).split() for d, t in texts.items()}
