@@ -166,6 +166,23 @@ def test_chains():
         assert sorted(i for c in chaining.chains(anchors) for i in c) == list(range(12))
 
 
+@pytest.mark.parametrize("strip", [1 << 15, 3])
+def test_common_words_of_long_texts(monkeypatch, strip):
+    """Words put into one side of a long text, and strips much shorter than the texts."""
+    a = [b"%d" % i for i in range(40_000)]
+    new = [b"n%d" % i for i in range(8_000)]
+    if strip > 3:
+        assert chaining.common_words(a[:4_000] + new + a[4_000:], a) == 40_000
+        assert chaining.common_words([b"x", *a[:4_000], *new, *a[4_000:], b"y"],
+                                     [b"z", *a, b"q"]) == 40_000
+    rng = random.Random(6)
+    texts = [[[b"%d" % rng.randrange(4) for _ in range(rng.randrange(30))] for _ in range(2)]
+             for _ in range(100)]
+    whole = [chaining.common_words(*t) for t in texts]
+    monkeypatch.setattr(chaining, "_ALIGNED", strip)
+    assert [chaining.common_words(*t) for t in texts] == whole
+
+
 def test_common_words():
     rng = random.Random(5)
     for _ in range(60):
