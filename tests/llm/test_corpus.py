@@ -223,6 +223,21 @@ def test_common_passage_is_linear(spark):
     assert len(found) <= 2 * 60
 
 
+def test_every_five_words_in_a_row_are_a_seed(spark):
+    """Passages with 15 % of their words changed evenly, and one with a single run of five."""
+    rows = []
+    for k in range(20):
+        passage = sentence(100 + k, 60).split()
+        changed = {round(20 * i / 3) for i in range(9)}
+        if not k:
+            changed = {*range(4, 25, 5), *range(30, 60, 5)}
+        other = [f"new{k}x{i}" if i in changed else w for i, w in enumerate(passage)]
+        rows += [(2 * k, f"{sentence(200 + k, 90)} {' '.join(passage)} {sentence(300 + k, 90)}"),
+                 (2 * k + 1, f"{sentence(400 + k, 70)} {' '.join(other)} {sentence(500 + k, 70)}")]
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["other_id"], r["doc_id"]) for r in found} == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
 def test_two_passages_of_one_pair(spark):
     """Equal headers and footers round bodies that differ."""
     rows = [(k, f"{sentence(3, 60)} {sentence(10 + k, 100)} {sentence(4, 60)}") for k in range(4)]
