@@ -223,6 +223,42 @@ def test_common_passage_is_linear(spark):
     assert len(found) <= 2 * 60
 
 
+@pytest.mark.parametrize("order", [[0, 1, 2, 2, 0, 1], [0, 1, 2, 0, 1, 2, 0, 1]])
+def test_holders_of_parts_hide_no_passage(spark, order):
+    """Two documents share 52 words; those before, between and after hold 49 of them."""
+    passage = sentence(3, 52).split()
+    held = [passage[:49], passage[3:], passage]
+    rows = [(k, f"{sentence(10 + k, 40)} {' '.join(held[h])} {sentence(50 + k, 40)}")
+            for k, h in enumerate(order)]
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    b, c = (k for k, h in enumerate(order) if h == 2)
+    assert (b, c) in {(r["other_id"], r["doc_id"]) for r in found if r["similarity"] == 1.0}
+
+
+def test_neighbours(spark):
+    """Holders across many ranges, against all rows sorted at once."""
+    rng = random.Random(8)
+    rows = sorted({(rng.randrange(4) and 1, rng.randrange(300), rng.randrange(50))
+                   for _ in range(1500)})
+    want = set()
+    for seed in {s for s, _, _ in rows}:
+        places = {}
+        for s, r, p in rows:
+            if s == seed:
+                places.setdefault(r, []).append(p)
+        holders = sorted(places)
+        for a, b in zip(holders, holders[1:]):
+            want |= {(a, b, places[a][-1], p) for p in places[b]}
+            want |= {(a, b, p, places[b][0]) for p in places[a]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "seed long, row long, place long")
+        found = {tuple(r) for r in chaining._neighbours(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == want
+
+
 def test_every_five_words_in_a_row_are_a_seed(spark):
     """Passages with 15 % of their words changed evenly, and one with a single run of five."""
     rows = []
