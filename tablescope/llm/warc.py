@@ -30,6 +30,14 @@ _GAP = "\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 #: Elements whose text is not shown, and elements that end a line.
 HIDDEN = {"script", "style", "noscript", "template", "head", "iframe", "object", "svg"}
+#: Those among them whose text is shown after all if they are never closed: it may be the page's.
+FALLBACK = {"noscript", "iframe", "object", "svg"}
+#: What may stand in a head; anything else ends one whose end tag is left out.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript",
+           "script", "style", "template", "title"}
+#: Elements that hold nothing and have no end tag.
+VOID = {"area", "base", "basefont", "bgsound", "br", "col", "embed", "hr", "img", "input", "link",
+        "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset",
           "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
@@ -145,10 +153,31 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+        #: Text, and None where a line ends.
+        self.parts: list[str | None] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.lang, self.hidden, self.in_title = "", [], False
+        self.lang, self.in_title = "", False
+        self.open: list[str] = []
+        self.opened: dict[str, int] = {}
+        #: The open elements that hide: number among the open ones, tag, where their text begins.
+        self.hidden: list[tuple[int, str, int]] = []
+
+    def _end(self, tag: str) -> None:
+        """Close the innermost element of a tag and with it what is unclosed inside."""
+        last = ""
+        while last != tag:
+            last = self.open.pop()
+            self.opened[last] -= 1
+            if self.hidden and self.hidden[-1][0] == len(self.open):
+                start = self.hidden.pop()[2]
+                if last != "head" and (last == tag or last not in FALLBACK):
+                    self.parts[start:] = [p for p in self.parts[start:] if p is None]
+
+    def _end_head(self) -> None:
+        """Something comes that can't stand in a head: one that is open, and nothing in it, ends."""
+        if self.hidden and self.hidden[-1][1] == "head":
+            self._end("head")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         known = dict(attrs)
@@ -158,27 +187,39 @@ class _Page(HTMLParser):
             self.links.append(known["href"])
         if tag == "title":
             self.in_title = True
+        if tag == "body" and self.opened.get("head"):
+            self._end("head")
+        elif tag not in IN_HEAD:
+            self._end_head()
         if tag in HIDDEN:
-            self.hidden.append(tag)
-        elif tag == "body":
-            self.hidden = [t for t in self.hidden if t != "head"]
+            self.hidden.append((len(self.open), tag, len(self.parts)))
+        if tag not in VOID:
+            self.open.append(tag)
+            self.opened[tag] = self.opened.get(tag, 0) + 1
         if tag in BLOCKS:
-            self.parts.append("\n")
+            self.parts.append(None)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
-        if tag in self.hidden:
-            while self.hidden.pop() != tag:
-                pass
+        if self.opened.get(tag):
+            self._end(tag)
         if tag in BLOCKS:
-            self.parts.append("\n")
+            self.parts.append(None)
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
-            self.parts.append(data)
+            return
+        if data.strip():
+            self._end_head()
+        self.parts.append(data)
+
+    def close(self) -> None:
+        super().close()
+        for _, tag, start in self.hidden[::-1]:
+            if tag != "head" and tag not in FALLBACK:
+                self.parts[start:] = [p for p in self.parts[start:] if p is None]
 
 
 def read_page(body: str) -> tuple[str, str, str, list[str]]:
@@ -186,7 +227,8 @@ def read_page(body: str) -> tuple[str, str, str, list[str]]:
     page = _Page()
     page.feed(body)
     page.close()
-    lines = (" ".join(line.split()) for line in "".join(page.parts).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(
+        "\n" if p is None else p for p in page.parts).split("\n"))
     return ("\n".join(line for line in lines if line), " ".join("".join(page.title).split()),
             page.lang, page.links)
 

@@ -422,6 +422,21 @@ def test_warc_query(spark):
             assert f"source-record-id: {r['refers_to']}\r\n" in r["block"]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><p>text", "text"),
+    ("<title>t</title><head><meta name=a><link href=b> \n bare text<p>more", "bare text\nmore"),
+    ("<head><noscript><p>no</p></noscript><style>s</style></head><body>text", "text"),
+    ("<head><script>var a;</script><div>text</div></head>more", "text\nmore"),
+    ("<body><div>a<noscript>b</div><p>c</p><p>d", "ab\nc\nd"),
+    ("<body><p>a</p><object data=x><p>b</p><p>c</p></body>", "a\nb\nc"),
+    ("<body>a<svg><path d=1><p>b</p>", "a\nb"),
+    ("<body>a<svg><text>no</text></svg>b<noscript><p>no</p></noscript>c", "ab\nc"),
+    ("<body>a<template><object>no</template>b<script>var a;", "ab"),
+])
+def test_unclosed_elements_hide_no_text(page, text):
+    assert warc.read_page(page)[0] == text
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc_files(spark, tmp_path, compression):
     """A payload that looks like the end of a record and the start of the next survives."""
