@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, materialize, text_bytes
+from .common import for_python, free_name, materialize, text_bytes
 from .components import components
 
 SHINGLE = 3
@@ -73,17 +73,28 @@ def fingerprint(data: bytes, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; a null or empty text has zero."""
+    return _marked(docs, key, text, width).drop("mark")
+
+
+def _mark(text: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _marked(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(doc_id, mark, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)),
+            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)),
                                 np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
+                names=["doc_id", "mark", "fp"])
 
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"),
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), _mark(text).alias("mark"),
                          text_bytes(F.col(text)).alias("data"))
-    return for_python(narrow).mapInArrow(run, "doc_id long, fp long")
+    return for_python(narrow).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 class Forest:
@@ -222,17 +233,27 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     cost no more than one. component_id is the smallest id that links reach. A null text counts
     as empty and has fingerprint zero; a row without an id is never linked and has no component;
     repeated rows give repeated rows; other columns are ignored."""
-    prints = materialize(fingerprints(docs, key, text, width), "prints")
-    distinct = materialize(prints.where(F.col("doc_id").isNotNull()).groupBy("fp")
-                           .agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(link(distinct, radius, shard))
-    named = distinct.join(roots, distinct.rep == roots.id, "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select(
+    prints, named = _linked(docs, key, text, width, radius, shard)
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(named.join(least, "root").drop("rep"), "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
         .alias("component_id"))
 
 
+def _linked(docs: DataFrame, key: str, text: str, width: int, radius: int, shard: int
+            ) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, fp) of all rows, and (fp, rep, root): the smallest id with a fingerprint, and
+    the smallest fingerprint that links reach. An id may have several fingerprints, so the
+    fingerprints are linked, not the ids."""
+    prints = materialize(_marked(docs, key, text, width), "prints")
+    distinct = materialize(prints.where(F.col("doc_id").isNotNull()).groupBy("fp")
+                           .agg(F.min("doc_id").alias("rep")), "distinct")
+    roots = components(link(distinct.withColumn("rep", F.col("fp")), radius, shard))
+    named = distinct.join(roots, distinct.fp == roots.id, "left").select(
+        "fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return prints, named
+
+
 def simhash_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = simhash_groups(docs, key, text)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -243,9 +264,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each group: the one with the smallest id, all its columns kept.
 
-    Rows without an id stay. If an id is repeated, one of its rows stays."""
-    found = simhash_groups(docs, key, text, width, radius)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("component_id").cast(docs.schema[key].dataType).alias(key)).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi").dropDuplicates([key])
-    return named.select(docs.columns).union(docs.where(F.col(key).isNull()))
+    Rows without an id stay. An id may have several texts: rows of different groups stay, and of
+    one group the smallest (id, fingerprint, hash of the text)."""
+    prints, named = _linked(docs, key, text, width, radius, SHARD)
+    keep = prints.where(F.col("doc_id").isNotNull()).join(named, "fp").groupBy("root").agg(
+        F.min(F.struct("doc_id", "fp", "mark")).alias("kept")).select(
+            F.col("kept.doc_id").cast(docs.schema[key].dataType).alias(key),
+            F.col("kept.mark").alias("mark"))
+    mark = free_name(docs, "mark")
+    named_rows = docs.where(F.col(key).isNotNull()).withColumn(mark, _mark(text)).join(
+        keep.withColumnRenamed("mark", mark), [key, mark], "left_semi").dropDuplicates([key, mark])
+    return named_rows.select(docs.columns).union(docs.where(F.col(key).isNull()))

@@ -86,6 +86,15 @@ def test_simhash_odd_rows(odd, nothing):
     assert simhash.drop_near_copies(nothing).collect() == []
 
 
+def test_different_texts_of_one_id_stay(spark):
+    """Rows are near copies by their texts only, whatever ids they repeat."""
+    a, b, c = (sentence(k, 80) for k in (61, 62, 63))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, c), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = sorted(map(tuple, simhash.drop_near_copies(df).collect()))
+    assert left == sorted([(1, a), (1, b), (3, c)])
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for trial in range(200):
