@@ -13,10 +13,13 @@ from . import (
     chat,
     cube,
     decontaminate,
+    divergence,
+    gnat,
     jump,
     quality,
     simhash,
     suffixes,
+    superminhash,
     warc,
 )
 
@@ -180,3 +183,99 @@ def op9(spark, folder):
 @query("op10_simhash_near_dedup")
 def op10(spark, folder):
     return simhash.simhash_report(read(spark, folder, "documents"))
+
+
+@query("op11_source_divergence", r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+said AS (SELECT rn, lang, source, unnest(ws) AS term FROM docs),
+vocabulary AS (
+    SELECT lang, term, count(*) AS c FROM said GROUP BY lang, term HAVING count(DISTINCT rn) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM vocabulary GROUP BY lang),
+counts AS (
+    SELECT lang, source, term, count(*) AS c FROM said SEMI JOIN vocabulary USING (lang, term)
+    GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+groups AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(totals.n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sizes USING (lang)
+    LEFT JOIN totals USING (lang, source)),
+shares AS (
+    SELECT g.lang, g.source, w.term, coalesce(counts.c, 0) AS c,
+        CAST(1 + 1000000000 * CAST(coalesce(counts.c, 0) + 2 AS HUGEINT)
+             // CAST(g.n + 2 * g.v AS HUGEINT) AS BIGINT) AS p,
+        CAST(1 + 1000000000 * CAST(w.c + 2 AS HUGEINT)
+             // CAST(sizes.n + 2 * sizes.v AS HUGEINT) AS BIGINT) AS q
+    FROM groups g JOIN vocabulary w ON g.lang = w.lang JOIN sizes ON g.lang = sizes.lang
+    LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source
+        AND counts.term = w.term),
+gaps AS (
+    SELECT a.lang, a.source, b.source AS item,
+        CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN gaps ON gaps.lang = a.lang AND gaps.source = a.source AND gaps.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares
+    WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM found) WHERE part = 'pair' OR rank <= 10""")
+def op11(spark, folder):
+    return divergence.divergence(read(spark, folder, "documents"))
+
+
+@query("op12_superminhash_near_dedup", r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i
+              FROM docs WHERE len(ws) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN sizes na ON na.doc_id = a JOIN sizes nb ON nb.doc_id = b
+    WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+reached(id, other) AS (
+    SELECT a, b FROM links UNION SELECT id, b FROM reached JOIN links ON other = a),
+least AS (SELECT id, min(other) AS other FROM reached GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles,
+    least(doc_id, coalesce(other, doc_id)) AS component_id,
+    doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.id = doc_id""")
+def op12(spark, folder):
+    return superminhash.near_report(read(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives", r"""
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same,
+        CAST(list_dot_product(a.v, x.v) AS BIGINT) AS score
+    FROM vectors a JOIN vectors x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER)
+        AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def op13(spark, folder):
+    return gnat.negatives_report(read(spark, folder, "embeddings"))
