@@ -6,14 +6,17 @@ a range needs from the ranges before it (a count, a sum, a last value) is a one-
 table joined back by range number.
 
 Boundaries hold the order column *and* its tie-breaks, so a single timestamp (or NULL) that
-fills a third of the table is still cut into many ranges, and so are copies of one row. They are
-collected once and put into the plan as a constant: every branch of a query, and every retry of a
+fills a third of the table is still cut into many ranges, and so are copies of one row. Text
+enters a boundary as a prefix first; where texts agree on the prefix and their range is too full,
+the boundaries inside that range are taken anew with a longer one, up to MAX_TEXT characters. They
+are collected once and put into the plan as a constant: every branch of a query, and every retry of a
 lost task, sees the same boundaries. They influence balance only, never results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from math import ceil
 
@@ -28,7 +31,8 @@ VALUES_PER_RANGE = 2_000_000    # a value and a count each
 MAX_RANGES = 65_536
 SAMPLES_PER_RANGE = 10
 RANGE = "_range"
-_BOUND_TEXT = 32
+FIRST_TEXT, MAX_TEXT, LONGER = 32, 8192, 4    # characters of a text in a boundary, per level
+BOUND_BYTES = 64 << 20                          # boundaries as text; no further level beyond
 _JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -51,12 +55,16 @@ class Ranged:
         return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
 
 
-def total_order(df: DataFrame, by: str, ties: Sequence[str] = ()) -> tuple[Column, ...]:
+def total_order(
+    df: DataFrame, by: str, ties: Sequence[str] = (), within: Sequence[str] = ()
+) -> tuple[Column, ...]:
     """Missing last, then by value, by the given tie-breaks, and by a hash of the row, so that
-    the order does not depend on how rows are spread; only exact copies stay tied."""
+    the order does not depend on how rows are spread; only exact copies stay tied. ``within``
+    comes before all of these: the rows of an entity follow each other."""
     flat = [f.name for f in df.schema.fields if type_class(f.dataType) != OTHER]
     rest = [t for t in ties if t != by]
-    return (col(by).isNull(), col(by), *map(col, rest), F.xxhash64(*map(col, flat)))
+    return (*map(col, within), col(by).isNull(), col(by), *map(col, rest),
+            F.xxhash64(*map(col, flat)))
 
 
 def split_by_order(
@@ -66,21 +74,18 @@ def split_by_order(
     *,
     rows: int,
     rows_per_range: int | None = None,
+    within: Sequence[str] = (),
 ) -> Ranged:
     """Ranges along ``total_order``. ``rows`` is the (approximate) row count of ``df``.
 
     Exact copies of one row are interchangeable, so a large group of them is cut further by the
     partition it was read from."""
-    order = total_order(df, by, ties)
-    bound: list[Column] = [order[0]]
-    for name in (by, *[t for t in ties if t != by]):
-        if type_class(df.schema[name].dataType) == STRING:
-            bound.append(F.substring(col(name), 1, _BOUND_TEXT))  # a prefix keeps the order
-            break
-        bound.append(col(name))
-    else:
-        bound += [order[-1], F.spark_partition_id()]
-    return _split(df, bound, order, rows, rows_per_range or ROWS_PER_RANGE)
+    order = total_order(df, by, ties, within)
+    names = [*within, None, by, *[t for t in ties if t != by], None]
+    texts = {i for i, name in enumerate(names)
+             if name is not None and type_class(df.schema[name].dataType) == STRING}
+    return _split(df, [*order, F.spark_partition_id()], order, rows,
+                  rows_per_range or ROWS_PER_RANGE, texts)
 
 
 def split_by_value(
@@ -90,32 +95,86 @@ def split_by_value(
     return _split(df, [col(value)], (col(value),), rows, rows_per_range or VALUES_PER_RANGE)
 
 
-def _split(df, bound, order, rows, rows_per_range) -> Ranged:
+def _split(df, bound, order, rows, rows_per_range, texts: Collection[int] = ()) -> Ranged:
+    """``texts`` are the places in ``bound`` that hold text."""
     wanted = min(MAX_RANGES, ceil(rows / rows_per_range)) if rows else 1
     single = Ranged(df.withColumn(RANGE, F.lit(0)), order, 1)
     if wanted <= 1:
         return single
 
     fields = [c.alias(f"k{i}") for i, c in enumerate(bound)]
-    keys = df.select(*fields)
+    kinds = df.select(*fields).schema
     fraction = min(1.0, wanted * SAMPLES_PER_RANGE / rows)
-    sample = keys.sample(fraction=fraction, seed=11) if fraction < 1.0 else keys
-    picked = [
-        r[0]
-        for r in sample.orderBy(*keys.columns)
-        .select(F.to_json(F.struct(*[F.col(c) for c in keys.columns]), _JSON))
-        .collect()  # about SAMPLES_PER_RANGE * MAX_RANGES short keys at most
-    ]
-    step = len(picked) / wanted
-    chosen = dict.fromkeys(picked[int(step * i)] for i in range(1, wanted)) if picked else {}
-    if not chosen:
-        return single
-    bounds = F.from_json(F.lit("[" + ",".join(chosen) + "]"), T.ArrayType(keys.schema), _JSON)
-    key = F.struct(*fields)
+    step = None
+    chosen: list[str] = []
+    part, length = df.withColumn(RANGE, F.lit(0)), FIRST_TEXT
+    while True:
+        found = _sampled_keys(part, fields, texts, length, fraction)
+        step = step or max(1.0, len(found) / wanted)
+        chosen, full = _with_picks(chosen, found, step)
+        if not chosen:
+            return single
+        used = 1 + max(_last_used(c) for c in chosen)
+        at = _bounds_not_above(*_as_key(chosen, kinds, fields[:used], bound[:used]))
+        length *= LONGER
+        if not full or length > MAX_TEXT or sum(map(len, chosen)) > BOUND_BYTES:
+            return Ranged(df.withColumn(RANGE, at), order, len(chosen) + 1)
+        part = df.withColumn(RANGE, at).where(F.col(RANGE).isin(full))
+
+
+def _sampled_keys(df, fields, texts, length, fraction) -> list[tuple[int, str, bool]]:
+    """(range, key as JSON, whether a text in it was cut) in order, from a sample of the rows.
+
+    What follows a cut text is left out: it says nothing on the order of longer texts."""
+    sample = df.sample(fraction=fraction, seed=11) if fraction < 1.0 else df
+    rows = sample.select(RANGE, *fields)
+    cut = F.lit(False)
+    keys, names = [], [f"k{i}" for i in range(len(fields))]
+    for i, name in enumerate(names):
+        value = F.substring(F.col(name), 1, length) if i in texts else F.col(name)
+        keys.append(F.when(~cut, value).alias(name))
+        if i in texts:
+            cut = cut | F.coalesce(F.length(F.col(name)) > length, F.lit(False))
+    picked = rows.select(RANGE, *keys, cut.alias("cut")).orderBy(RANGE, *names)
+    # About SAMPLES_PER_RANGE * MAX_RANGES short keys at most.
+    return [tuple(r) for r in picked.select(
+        RANGE, F.to_json(F.struct(*names), _JSON), "cut").collect()]
+
+
+def _with_picks(chosen: list[str], found: list[tuple[int, str, bool]], step: float
+                ) -> tuple[list[str], list[int]]:
+    """The boundaries with one more after every ``step`` sampled keys of a range, and the numbers
+    of ranges that hold two steps or more of keys that were cut alike."""
+    out: list[str] = []
+    full: list[int] = []
+    of_range: dict[int, list[tuple[str, bool]]] = {}
+    for number, key, cut in found:
+        of_range.setdefault(number, []).append((key, cut))
+    for number in range(len(chosen) + 1):
+        if number:
+            out.append(chosen[number - 1])
+        own = of_range.get(number, ())
+        picks = [own[int(step * i)] for i in range(1, ceil(len(own) / step))
+                 if int(step * i) < len(own)]
+        for (key, cut), again in zip(picks, [None, *picks]):
+            if not out or key != out[-1]:
+                out.append(key)
+            if cut and again == (key, cut) and full[-1:] != [len(out)]:
+                full.append(len(out))
+    return out, full
+
+
+def _last_used(key: str) -> int:
+    """Place of the last field that a boundary names; missing ones sort first anyway."""
+    return max((int(k[1:]) for k in json.loads(key)), default=0)
+
+
+def _as_key(chosen, kinds, fields, bound) -> tuple[Column, int, Column]:
+    kept = T.StructType(kinds.fields[:len(fields)])
+    bounds = F.from_json(F.lit("[" + ",".join(chosen) + "]"), T.ArrayType(kept), _JSON)
     if len(fields) == 1:  # a bare value compares faster than a struct
-        bounds, key = bounds["k0"], bound[0]
-    return Ranged(
-        df.withColumn(RANGE, _bounds_not_above(bounds, len(chosen), key)), order, len(chosen) + 1)
+        return bounds["k0"], len(chosen), bound[0]
+    return bounds, len(chosen), F.struct(*fields)
 
 
 def _bounds_not_above(bounds: Column, count: int, key: Column) -> Column:
