@@ -154,6 +154,41 @@ def d2_ranges(spark, folder):
         events_gaps(spark, folder), "ts", ["event_id"], rows_per_range=700)
 
 
+# Events of user 0 stand for an entity with a third of the rows; every 13th user is unknown.
+_ENTITY = "CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 13 <> 1 THEN user_id END"
+
+
+def _entity_fill_sql(c: str) -> str:
+    upto = ("PARTITION BY entity ORDER BY ts NULLS LAST, event_id "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND {}")
+    return f"""coalesce(
+        last_value({c} IGNORE NULLS) OVER ({upto.format("CURRENT ROW")}),
+        first_value({c} IGNORE NULLS) OVER ({upto.format("UNBOUNDED FOLLOWING")})) AS {c}"""
+
+
+_ENTITY_SQL = f"""SELECT event_id, entity, {_entity_fill_sql('ts')}, {_entity_fill_sql('value')},
+    {_entity_fill_sql('event_type')} FROM (
+        SELECT s.*, {_ENTITY} AS entity FROM {EVENTS_GAPS} AS s JOIN events USING (event_id))"""
+
+
+def events_by_entity(spark, folder):
+    user = read(spark, folder, "events").select("event_id", F.expr(_ENTITY).alias("entity"))
+    return events_gaps(spark, folder).join(user, "event_id")
+
+
+@query("d2_fill_by_entity", _ENTITY_SQL)
+def d2_entity(spark, folder):
+    return ts.fill_along_time(
+        events_by_entity(spark, folder), "ts", ["event_id"], partition_by="entity")
+
+
+@query("d2_fill_by_entity_ranges", _ENTITY_SQL)
+def d2_entity_ranges(spark, folder):
+    return ts.fill_along_time(
+        events_by_entity(spark, folder), "ts", ["event_id"], partition_by="entity",
+        rows_per_range=300)
+
+
 @query("d1_d7_handle_with_time", _FILL_SQL)
 def d7(spark, folder):
     clean, _ = ts.handle_missing_values(

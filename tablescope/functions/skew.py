@@ -82,7 +82,7 @@ def skew_join(
     if min(estimated_bytes(left), estimated_bytes(right)) < limit // 100 or max(
         estimated_bytes(left), estimated_bytes(right)
     ) < limit:
-        return _plain_join(left, right, keys, how)
+        return plain_join(left, right, keys, how)
 
     pieces = []
     for side in ("left", "right"):
@@ -97,20 +97,20 @@ def skew_join(
         # Every hot key exists on the big side, so the other side's rows are never unmatched.
         outer = how in (side, "outer")
         if side == "left":
-            pieces.append(_plain_join(
+            pieces.append(plain_join(
                 hot_big, F.broadcast(few), keys, "left" if outer else "inner"))
             left, right = (hot_part(t, hot, keys, keep=False) for t in (left, right))
         else:
-            pieces.append(_plain_join(
+            pieces.append(plain_join(
                 F.broadcast(few), hot_big, keys, "right" if outer else "inner"))
             left, right = (hot_part(t, hot, keys, keep=False) for t in (left, right))
-    out = _plain_join(left, right, keys, how)
+    out = plain_join(left, right, keys, how)
     for piece in pieces:
         out = _concat(out, piece)
     return out
 
 
-def _plain_join(
+def plain_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 ) -> DataFrame:
     l, r = left.alias("l"), right.alias("r")

@@ -14,6 +14,7 @@ from ..functions.columns import as_double, col
 from ..functions.counts import Top, distinct_counts, top_values
 from ..functions.ordered import RANGE, split_by_order
 from ..functions.quantiles import exact_quantiles
+from ..functions.skew import plain_join
 from ..storage import materialize, together
 from .inference import TableSchema, detect_column_types
 
@@ -55,22 +56,29 @@ def fill_along_time(
     time_column: str,
     tie_breaks: Sequence[str] = (),
     *,
+    partition_by: str | Sequence[str] = (),
     rows_per_range: int | None = None,
 ) -> DataFrame:
     """Give every missing value the last known one in time order (missing times last), and the
     first known one where nothing came before. Columns with no value at all stay empty.
 
+    With ``partition_by`` every entity (a combination of these columns; missing ones are an entity
+    too) is filled from its own rows only, and what an entity has no value for stays empty.
+
     Only columns with gaps are touched. Inside a range of the order the last value is a window;
     what enters a range from earlier ones is one row per range."""
+    entity = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     df = C.nan_to_null(df)
     rows, filled = _filled_counts(df)
-    return _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range)
+    return _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range, entity)
 
 
-def _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range):
-    gaps = [c for c, n in filled.items() if 0 < n < rows]
+def _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range, entity=()):
+    gaps = [c for c, n in filled.items() if 0 < n < rows and c not in entity]
     if not gaps:
         return df
+    if entity:
+        return _fill_by_entity(df, time_column, tie_breaks, rows, gaps, rows_per_range, entity)
     ranged = split_by_order(
         df, time_column, tie_breaks, rows=rows, rows_per_range=rows_per_range)
     order = ranged.order_struct()
@@ -105,6 +113,53 @@ def _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range):
     ])
 
 
+def _fill_by_entity(df, time_column, tie_breaks, rows, gaps, rows_per_range, entity):
+    """The rows of an entity follow each other in the order, so that an entity lies in one range or
+    in several neighbouring ones. The first kind is filled by windows alone; for the second, of
+    which there are at most two per range, values are carried from range to range of the entity."""
+    ranged = split_by_order(
+        df, time_column, tie_breaks, rows=rows, rows_per_range=rows_per_range, within=entity)
+    order, keys = ranged.order_struct(), [f"_entity{i}" for i in range(len(entity))]
+    named = [col(c).alias(k) for c, k in zip(entity, keys)]
+    ends = ranged.df.groupBy(RANGE, *named).agg(*[
+        e for i, c in enumerate(gaps) for e in (
+            F.max_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"_last{i}"),
+            F.min_by(col(c), F.when(col(c).isNotNull(), order)).alias(f"_first{i}"),
+        )
+    ])
+    # Only ends of entities that cross a border are kept before rows of an entity meet.
+    spans = ends.groupBy(*keys).agg(F.min(RANGE).alias("_from"), F.max(RANGE).alias("_to")).where(
+        "_from < _to")
+    every = spans.select(*keys, F.explode(F.sequence("_from", "_to")).alias(RANGE))
+    crossing = plain_join(every, ends, [*keys, RANGE], "left")
+    own = Window.partitionBy(*keys).orderBy(RANGE)  # as many rows as the entity has ranges
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entering = crossing.select(*keys, F.col(RANGE).alias("_into"), *[
+        F.coalesce(
+            F.last(f"_last{i}", ignorenulls=True).over(earlier),
+            F.first(f"_first{i}", ignorenulls=True).over(whole),
+        ).alias(f"_in{i}")
+        for i in range(len(gaps))
+    ])
+    inner = Window.partitionBy(RANGE, *map(col, entity)).orderBy(*ranged.order)
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    after = inner.rowsBetween(1, Window.unboundedFollowing)
+    inside = ranged.df.withColumns({
+        f"_{side}{i}": find(col(c), ignorenulls=True).over(window)
+        for i, c in enumerate(gaps)
+        for side, find, window in (("local", F.last, upto), ("next", F.first, after))})
+    met = (F.col(RANGE) == F.col("_into"))
+    for c, k in zip(entity, keys):
+        met = met & col(c).eqNullSafe(F.col(k))
+    place = {c: i for i, c in enumerate(gaps)}
+    return inside.join(entering, met, "left").select(*[
+        F.coalesce(*[F.col(f"_{x}{place[c]}") for x in ("local", "in", "next")]).alias(c)
+        if c in place else col(c)
+        for c in df.columns
+    ])
+
+
 def _typical_numbers(df, columns, strategy, medians) -> dict[str, tuple[float, str]]:
     """column -> (fill value, why) for numeric columns that have a value."""
     if not columns:
@@ -163,12 +218,14 @@ def impute_missing_values(
     categorical_strategy: str = "mode",
     *,
     tie_breaks: Sequence[str] = (),
+    partition_by: str | Sequence[str] = (),
     rows_per_range: int | None = None,
     known: Known | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(frame without gaps, notes (column, fill_value, rationale)).
 
-    With a time column all columns are first filled along time. Then numbers get the median or
+    With a time column all columns are first filled along time, each entity of ``partition_by``
+    for itself. Then numbers get the median or
     mean (``auto``: the median when skewed), categories and flags the most frequent value, or
     "Unknown" when more than half of the rows differ. A flag column that must hold "Unknown"
     becomes text, and an integer column that had gaps becomes double. What is ``known`` of ``df`` is
@@ -187,15 +244,21 @@ def impute_missing_values(
 
     if time_column and time_column in df.columns:
         if any(0 < n < rows for n in filled.values()):
+            entity = [partition_by] if isinstance(partition_by, str) else list(partition_by)
             df = materialize(
-                _fill_along_time(df, time_column, tie_breaks, rows, filled, rows_per_range),
+                _fill_along_time(
+                    df, time_column, tie_breaks, rows, filled, rows_per_range, entity),
                 "time-filled",
             )
-            notes.append(("time_series", None, "last known value in time order, first one ahead"))
+            notes.append(("time_series", None, "last known value in time order, first one ahead"
+                          + (f", per {', '.join(entity)}" if entity else "")))
         else:
             notes.append(("time_series", None, "no gaps to fill along time"))
         known = known.only({c for c, n in filled.items() if n == rows})
-        filled = {c: rows if n else 0 for c, n in filled.items()}
+        if partition_by:        # an entity may have no value at all
+            rows, filled = _filled_counts(df)
+        else:
+            filled = {c: rows if n else 0 for c, n in filled.items()}
 
     fills: dict[str, Column] = {}
     numbers = C.pick_numeric(df, schema.numeric)

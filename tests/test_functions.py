@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tablescope as ts
 from tablescope.functions.ordered import (
     RANGE,
     running_counts,
@@ -86,6 +87,66 @@ def test_grouped_median_with_a_hot_group_and_missing_key(frame, skewed, per_rang
     assert got["empty"] is None
 
 
+@pytest.mark.parametrize("text", [
+    lambda i: "one",                                    # a constant
+    lambda i: "x" * 40 + f"{i:06d}",                    # alike in the first level
+    lambda i: None if i % 4 == 0 else "y" * 700 + f"{i:06d}",   # alike in three levels, and NULL
+    lambda i: f"{i % 3}" + "z" * 100,                   # few long texts
+])
+@pytest.mark.parametrize("as_key", [True, False])
+def test_ranges_split_text(spark, frame, text, as_key):
+    """Text as the key or as a tie-break of one constant key: 20 ranges are wanted, none is full,
+    and ranges follow the order."""
+    rows = [(text(i), i) for i in range(4000)]
+    random.Random(1).shuffle(rows)
+    df = frame(rows, "t string, k int").withColumn("one", F.lit(1)).repartition(8)
+    by, ties = ("t", ["k"]) if as_key else ("one", ["t", "k"])
+    ranged = split_by_order(df, by, ties, rows=len(rows), rows_per_range=200)
+    sizes = [r["count"] for r in ranged.df.groupBy(RANGE).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 700
+    missing = F.col("t").isNull() & F.lit(as_key)
+    ends = ranged.df.groupBy(RANGE).agg(
+        F.min(F.struct(missing, "t", "k")).alias("lo"),
+        F.max(F.struct(missing, "t", "k")).alias("hi")).orderBy(RANGE).collect()
+    key = lambda r: (r[0], r[1] is not None, r[1] or "", r[2])
+    for a, b in zip(ends, ends[1:]):
+        assert key(a["hi"]) < key(b["lo"])
+
+
+@pytest.mark.parametrize("per_range", [None, 40])
+def test_fill_by_entity(spark, frame, per_range):
+    """A hot entity over many ranges, NULL as an entity, entities without values, against a loop."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        who = rng.choice(["hot"] * 5 + [f"e{i % 40}", "e1", None, "none"])
+        rows.append((who, rng.choice([None, *range(50)]), i,
+                     rng.choice([None, None, float(i)]) if who != "none" else None,
+                     rng.choice([None, f"s{i}"])))
+    df = frame(rows, "who string, t int, i int, v double, s string").repartition(5)
+    got = {r["i"]: (r["who"], r["v"], r["s"]) for r in ts.fill_along_time(
+        df, "t", ["i"], partition_by="who", rows_per_range=per_range).collect()}
+    want = {}
+    for who in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == who), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for c in (3, 4):
+            last = next((r[c] for r in own if r[c] is not None), None)
+            for r in own:
+                last = r[c] if r[c] is not None else last
+                want.setdefault(r[2], [who]).append(last)
+    assert got == {i: tuple(v) for i, v in want.items()}
+
+
+def test_fill_by_entity_of_nothing(frame):
+    df = frame([], "who string, t int, v double")
+    assert ts.fill_along_time(df, "t", partition_by=["who"]).collect() == []
+    clean, notes = ts.handle_missing_values(
+        frame([("a", 1, 1.0), ("a", 2, None), ("b", 1, None)], "who string, t int, v double"),
+        "t", partition_by="who")
+    assert sorted(map(tuple, clean.collect())) == [("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 1.0)]
+    assert any("per who" in (r["rationale"] or "") for r in notes.collect())
+
+
 def test_ranges_follow_the_order_and_split_a_hot_time(spark, frame):
     """One timestamp, and one exact row, hold most of the table; no range keeps them all."""
     rows = [(1, i) for i in range(400)] + [(2, 0)] * 400 + [(None, i) for i in range(200)]
