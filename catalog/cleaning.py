@@ -322,6 +322,28 @@ for _how in ("inner", "left", "right", "outer"):
     _register_join(_how)
 
 
+# A few nations' customers and suppliers share one key, all others have a key of their own.
+_NATION_LEFT = """(SELECT CASE WHEN c_nationkey < 8 THEN 0 WHEN c_nationkey < 12 THEN NULL
+    ELSE c_custkey END AS k, c_custkey FROM customer)"""
+_NATION_RIGHT = """(SELECT CASE WHEN s_nationkey < 8 THEN 0 WHEN s_nationkey < 12 THEN NULL
+    WHEN s_nationkey < 16 THEN s_suppkey ELSE -s_suppkey END AS k, s_suppkey FROM supplier)"""
+
+
+@query("f1_join_hot_both_outer", f"""SELECT coalesce(l.k, r.k) AS k, c_custkey, s_suppkey
+    FROM {_NATION_LEFT} AS l FULL JOIN {_NATION_RIGHT} AS r ON l.k IS NOT DISTINCT FROM r.k""")
+def f1_hot_both(spark, folder):
+    """Keys that are hot on both sides, NULL among them, with unmatched rows on both sides."""
+    nation = F.col("c_nationkey")
+    left = read(spark, folder, "customer").select(
+        F.when(nation < 8, 0).when(nation < 12, None).otherwise(F.col("c_custkey"))
+        .cast("long").alias("k"), "c_custkey")
+    nation, own = F.col("s_nationkey"), F.col("s_suppkey")
+    right = read(spark, folder, "supplier").select(
+        F.when(nation < 8, 0).when(nation < 12, None).when(nation < 16, own).otherwise(-own)
+        .cast("long").alias("k"), "s_suppkey")
+    return ts.merge_tables(left, right, on="k", how="outer", large_bytes=1, part_rows=50)
+
+
 @query("f1_join_hot_keys", _join_sql("outer"))
 def f1_hot(spark, folder):
     """The split for hot keys, forced on by a size limit of one byte."""

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import OTHER, col, type_class
 
 SAMPLE_ROWS = 100_000
 HOT_SHARE = 0.01            # a key is hot from 1 % of the rows on, so at most 100 keys are hot
 LARGE_TABLE_BYTES = 1 << 30
-BROADCAST_ROWS = 20_000
+PART_ROWS = 10_000          # rows of either side of a hot key that meet in one task
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -58,8 +58,52 @@ def hot_part(df: DataFrame, hot: DataFrame, keys: Sequence[str], *, keep: bool)
     return df.join(F.broadcast(hot), same_key(df, hot, keys), how)
 
 
-def _concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b)
+def _hot_parts(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], share: float, part_rows: int
+) -> DataFrame | None:
+    """(keys, _skew_left, _skew_right, _skew_both): into how many parts each side of a key that is
+    hot on either side is cut, from exact counts of these keys. At most 2/share rows."""
+    found = [hot for hot in (hot_keys(t, keys, share=share) for t in (left, right))
+             if hot is not None]
+    if not found:
+        return None
+    hot = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return hot_part(df, hot, keys, keep=True).groupBy(*[col(k) for k in keys]).agg(
+            F.count(F.lit(1)).alias(name))
+
+    def parts(name: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(name), F.lit(0)) / part_rows)).cast("int")
+
+    table = plain_join(counted(left, "_skew_left"), counted(right, "_skew_right"), keys, "outer")
+    table = table.select(
+        *[col(k) for k in keys], parts("_skew_left").alias("_skew_left"),
+        parts("_skew_right").alias("_skew_right"),
+        (F.col("_skew_left").isNotNull() & F.col("_skew_right").isNotNull()).alias("_skew_both"))
+    return df_of(table)
+
+
+def df_of(small: DataFrame) -> DataFrame:
+    """A frame of few rows as a table built by the driver."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
+def deal_hot(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], own: str, other: str
+) -> DataFrame:
+    """Rows with the places ``_skew_own`` and ``_skew_other`` of the grid of their key: a row of a
+    hot key lies in one part of its own side and once in every part of the other side. The own
+    part follows from the row and the partition it was read from, so a retry deals it alike."""
+    marked = df.join(F.broadcast(table), same_key(df, table, keys), "left").select(
+        *[df["`" + c.replace("`", "``") + "`"] for c in df.columns],
+        *[table[c] for c in ("_skew_left", "_skew_right", "_skew_both")])
+    flat = [f.name for f in df.schema.fields if type_class(f.dataType) != OTHER]
+    spread = F.pmod(F.xxhash64(*map(col, flat)) + F.spark_partition_id(), F.col(own)).cast("int")
+    rest = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+    return marked.select(
+        *[col(c) for c in df.columns], F.coalesce("_skew_both", F.lit(False)).alias("_skew_both"),
+        F.coalesce(spread, F.lit(0)).alias("_skew_own"), F.explode(rest).alias("_skew_other"))
 
 
 def skew_join(
@@ -70,44 +114,36 @@ def skew_join(
     *,
     large_bytes: int | None = None,
     share: float = HOT_SHARE,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Null-safe equi-join on same-named keys; result has keys (merged) then both sides' columns,
     which must not overlap otherwise.
 
-    Small inputs go to Spark as one join. On large inputs, keys hot on one side are joined apart:
-    the other side's few rows for those keys are counted and, when few, broadcast, so the hot rows
-    never meet in one task. When they are not few, the product itself is large and the join stays
-    with the adaptive skew split."""
+    Small inputs go to Spark as one join. On large inputs, a key that is hot on either side is cut
+    into a grid: its left rows into parts of about ``part_rows``, its right rows likewise, and
+    every pair of parts is a join key of its own. So no task holds more of a hot key than two parts, a
+    side is copied only as often as the other has parts, and both inputs are read by one join
+    whatever its kind. A hot key without any row on the other side has one part there, hence one
+    owner for each unmatched row; a hot key with rows on both sides has no unmatched rows, and what
+    an empty part leaves unmatched is dropped. Nothing is broadcast but the table of hot keys."""
     limit = LARGE_TABLE_BYTES if large_bytes is None else large_bytes
     if min(estimated_bytes(left), estimated_bytes(right)) < limit // 100 or max(
         estimated_bytes(left), estimated_bytes(right)
     ) < limit:
         return plain_join(left, right, keys, how)
-
-    pieces = []
-    for side in ("left", "right"):
-        big, other = (left, right) if side == "left" else (right, left)
-        hot = hot_keys(big, keys, share=share)
-        if hot is None:
-            continue
-        few = hot_part(other, hot, keys, keep=True)
-        if few.count() > BROADCAST_ROWS:
-            continue
-        hot_big = hot_part(big, hot, keys, keep=True)
-        # Every hot key exists on the big side, so the other side's rows are never unmatched.
-        outer = how in (side, "outer")
-        if side == "left":
-            pieces.append(plain_join(
-                hot_big, F.broadcast(few), keys, "left" if outer else "inner"))
-            left, right = (hot_part(t, hot, keys, keep=False) for t in (left, right))
-        else:
-            pieces.append(plain_join(
-                F.broadcast(few), hot_big, keys, "right" if outer else "inner"))
-            left, right = (hot_part(t, hot, keys, keep=False) for t in (left, right))
-    out = plain_join(left, right, keys, how)
-    for piece in pieces:
-        out = _concat(out, piece)
-    return out
+    table = _hot_parts(left, right, keys, share, part_rows)
+    if table is None:
+        return plain_join(left, right, keys, how)
+    names = {"_skew_both": "_skew_left_both", "_skew_own": "_skew_i", "_skew_other": "_skew_j"}
+    grid = plain_join(
+        deal_hot(left, table, keys, "_skew_left", "_skew_right").withColumnsRenamed(names),
+        deal_hot(right, table, keys, "_skew_right", "_skew_left").withColumnsRenamed(
+            {"_skew_both": "_skew_right_both", "_skew_own": "_skew_j", "_skew_other": "_skew_i"}),
+        [*keys, "_skew_i", "_skew_j"], how)
+    here, there = F.col("_skew_left_both"), F.col("_skew_right_both")
+    alone = F.coalesce(here, there) & (here.isNull() | there.isNull())
+    return grid.where(~alone).select(*[
+        col(c) for c in [*keys, *[c for t in (left, right) for c in t.columns if c not in keys]]])
 
 
 def plain_join(

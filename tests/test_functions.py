@@ -15,7 +15,7 @@ from tablescope.functions.ordered import (
     total_order,
 )
 from tablescope.functions.quantiles import exact_quantiles, grouped_median
-from tablescope.functions.skew import attach, hot_keys, skew_join
+from tablescope.functions.skew import attach, deal_hot, hot_keys, skew_join
 
 
 @pytest.fixture(scope="module")
@@ -183,6 +183,40 @@ def test_skew_join_equals_plain_join(frame, how):
     assert as_set(swapped) == as_set(again)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_join_of_keys_hot_on_both_sides(frame, how, part_rows):
+    """A key, NULL and a two-column key that are hot on both sides, keys hot on one side only, and
+    copies of one row; each cell of the grid holds a bounded part of the key."""
+    left = frame([("hot", 1, i % 40) for i in range(120)] + [(None, 1, i) for i in range(60)]
+                 + [("left", 2, i) for i in range(80)] + [("a", 1, 2), ("b", None, 3)],
+                 "k string, m int, x int").repartition(3)
+    right = frame([("hot", 1, i) for i in range(50)] + [(None, 1, i) for i in range(40)]
+                  + [("right", 2, i) for i in range(70)] + [("a", 1, 6), ("c", None, 7)],
+                  "k string, m int, y int").repartition(3)
+    options = {"large_bytes": 1, "share": 0.1, "part_rows": part_rows}
+    as_list = lambda df: sorted(map(tuple, df.select("k", "m", "x", "y").collect()), key=repr)
+    got = skew_join(left, right, ["k", "m"], how, **options)
+    assert got.columns == ["k", "m", "x", "y"]
+    assert as_list(got) == as_list(skew_join(left, right, ["k", "m"], how))
+    table = frame([("hot", 1, 18, 8, True)], "k string, m int, _skew_left int, _skew_right int, "
+                                             "_skew_both boolean")
+    dealt = deal_hot(left, table, ["k", "m"], "_skew_left", "_skew_right")
+    cells = dealt.where("k = 'hot'").groupBy("_skew_own", "_skew_other").count().collect()
+    assert sum(r["count"] for r in cells) == 120 * 8 and max(r["count"] for r in cells) < 40
+
+
+def test_join_grid_is_one_join_without_broadcast_of_rows(spark, frame):
+    left = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS x")
+    right = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE -id END AS k", "id AS y")
+    df = skew_join(left, right, ["k"], "outer", large_bytes=1, share=0.1, part_rows=100)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert sum("FullOuter" in line for line in joins) == 1
+    assert all("LeftOuter" in line and "broadcast" in line for line in joins if "FullOuter" not in line)
+    assert "_skew_i" in next(line for line in joins if "FullOuter" in line)
+
+
 def test_hot_keys_and_attach(frame):
     df = frame([(1.0, i) for i in range(500)] + [(float(i), i) for i in range(2, 300)],
                "k double, i int")
