@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ def from_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
+def number_shape(text: Column) -> Column:
+    """Whether a text is spelled like a number."""
+    return text.rlike(_NUMBER)
+
+
 def text_to_timestamp(text: Column, layout: str) -> Column:
     """Clock time as written, or in UTC where the text names an offset. Text without an offset is
     read as UTC, so the session's zone plays no part.
@@ -59,6 +65,16 @@ def text_to_timestamp(text: Column, layout: str) -> Column:
     return parsed if shape is None else F.when(text.rlike(shape), parsed)
 
 
+def layout_mask(text: Column, layouts: Sequence[str]) -> Column:
+    """Which layouts read the text, as bits; 0 for none. Text that has the shape of no layout is
+    told by one expression, and only layouts of the text's shape parse it."""
+    bits = [F.when(text_to_timestamp(text, f).isNotNull(), 1 << k).otherwise(0)
+            for k, f in enumerate(layouts)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    like = date_like(text, layouts)
+    return F.when(like.isNotNull(), mask).otherwise(0)
+
+
 def date_like(text: Column, layouts: Sequence[str]) -> Column:
     """The text if it has the shape of one of the layouts, so that other text is looked at once
     and not once per layout."""

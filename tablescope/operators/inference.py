@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions.coerce import (
     DATETIME_FORMATS,
-    date_like,
+    layout_mask,
+    number_shape,
     text_to_number,
     text_to_timestamp,
     value_kind,
 )
 from ..functions.columns import col
 
-_COLUMNS_PER_PASS = 8
 NUMERIC_SHARE = 0.75
 DATETIME_SHARE = 0.5
 
@@ -66,30 +66,48 @@ def text_shares(
     formats: Sequence[str] | None = None,
     of_all_rows: bool = False,
 ) -> dict[str, TextShares]:
-    """Parse shares of text columns over all their values, a few columns per aggregate.
-    ``of_all_rows`` counts missing values as not parsing."""
+    """Parse shares of text columns over all their values, in one pass over any number of them.
+    ``of_all_rows`` counts missing values as not parsing.
+
+    A cell becomes a code: whether it reads as a number, and which layouts read it. Cells of all
+    columns pass through one expression, and codes are counted per column before the shuffle, so
+    a column costs as many rows there as it has kinds of cells."""
     layouts = list(formats or DATETIME_FORMATS)
+    if not columns:
+        return {}
+    counted = _cell_codes(df, columns, layouts).groupBy("column", "code").count()
+    found: dict[int, dict[int | None, int]] = {i: {} for i in range(len(columns))}
+    for r in counted.collect():
+        found[r["column"]][r["code"]] = r["count"]
     out = {}
-    for part in C.chunks(list(columns), _COLUMNS_PER_PASS):
-        cells = df.select(*[
-            x for i, c in enumerate(part)
-            for x in (col(c).alias(f"v{i}"), date_like(col(c), layouts).alias(f"d{i}"))])
-        row = cells.agg(F.count(F.lit(1)).alias("rows"), *[
-            F.struct(
-                F.count(f"v{i}").alias("n"),
-                F.count(text_to_number(F.col(f"v{i}"))).alias("numeric"),
-                F.array(*[F.count(text_to_timestamp(F.col(f"d{i}"), f)) for f in layouts])
-                .alias("dates"),
-            ).alias(f"c{i}") for i in range(len(part))]).first()
-        for i, c in enumerate(part):
-            r = row[f"c{i}"]
-            base = (row["rows"] if of_all_rows else r["n"]) or 1
-            best = max(range(len(layouts)), key=lambda k: (r["dates"][k], -k))
-            out[c] = TextShares(r["n"], r["numeric"] / base, r["dates"][best] / base,
-                                layouts[best], r["numeric"], r["dates"][best])
+    for i, c in enumerate(columns):
+        of_code = {code: n for code, n in found[i].items() if code is not None}
+        values = sum(of_code.values())
+        numbers = sum(n for code, n in of_code.items() if code & 1)
+        dates = [sum(n for code, n in of_code.items() if code >> 1 & 1 << k)
+                 for k in range(len(layouts))]
+        base = (sum(found[i].values()) if of_all_rows else values) or 1
+        best = max(range(len(layouts)), key=lambda k: (dates[k], -k))
+        out[c] = TextShares(values, numbers / base, dates[best] / base, layouts[best], numbers,
+                            dates[best])
     return out
 
 
+def _cell_codes(df: DataFrame, columns: Sequence[str], layouts: Sequence[str]) -> DataFrame:
+    """(column, code) of every cell; bit 0 of a code is a number, bit k + 1 is layout k.
+
+    With the default layouts, none of which reads a number, numbers skip the layouts."""
+    cells = df.select(F.posexplode(F.array(*[col(c) for c in columns])).alias("column", "cell"))
+    cell = F.col("cell")
+    number = text_to_number(cell).isNotNull()
+    dates = layout_mask(cell, layouts).cast("long") * 2
+    if tuple(layouts) == DATETIME_FORMATS:
+        code = F.when(number_shape(cell), F.when(number, 1).otherwise(0)).otherwise(dates)
+    else:
+        code = dates + F.when(number, 1).otherwise(0)
+    return cells.select("column", F.when(cell.isNotNull(), code.cast("long")).alias("code"))
+
+
 def detect_column_types(
     df: DataFrame,
     datetime_formats: Sequence[str] | None = None,

@@ -72,7 +72,8 @@ def run_pipeline(
     df: DataFrame, *, approx_distinct: bool = False
 ) -> tuple[DataFrame, Report]:
     """(clean table, report). Whatever the table cannot support is a warning, not an error. The
-    table is read many times: write the result of an expensive query before passing it.
+    table is read many times: unless it is a projection of parquet or ORC files, it is written
+    once to the shared folder first.
 
     The typed table (if text was parsed) and the table filled along time (if it had gaps) are
     written once to the shared folder, so that the many column-wise passes read only their own
@@ -86,10 +87,12 @@ def run_pipeline(
     warnings: list[str] = []
 
     source = normalize_columns(df)
+    if not _is_columnar(source):
+        source = materialize(source, "source")
     shares = text_shares(source, C.columns_of_class(source, C.STRING))
     typed = validate_and_convert_types(source, shares=shares)
     sections["conversion"] = conversion_losses(source, shares=shares)
-    if _is_derived(source, typed) or _parses_text(source):
+    if _is_derived(source, typed):
         typed = materialize(typed, "typed")
     by_value = declared_types(typed)
     schema = detect_schema(typed, verify=True, by_value=by_value)
@@ -187,10 +190,15 @@ def _is_derived(source: DataFrame, typed: DataFrame) -> bool:
     return [f.dataType for f in source.schema] != [f.dataType for f in typed.schema]
 
 
-def _parses_text(source: DataFrame) -> bool:
-    """Whether every read parses text files again, though no column changed its type."""
-    plan = source._jdf.queryExecution().executedPlan().toString()
-    return any(f"FileScan {kind} " in plan for kind in ("csv", "json", "text", "xml"))
+def _is_columnar(source: DataFrame) -> bool:
+    """Whether a pass over some columns reads only these: a projection of parquet or ORC files, or
+    of rows that Spark holds. Anything else (text files, joins, other sources) would be parsed or
+    computed again in every pass."""
+    node = source._jdf.queryExecution().sparkPlan()
+    while node.nodeName() in ("Project", "Filter", "ColumnarToRow"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith(
+        ("Scan parquet", "Scan orc", "LocalTableScan", "InMemoryTableScan"))
 
 
 def _empty_report(df: DataFrame) -> Report:

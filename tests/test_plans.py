@@ -31,6 +31,24 @@ def test_rollup_reads_its_columns_and_combines_before_the_shuffle(table):
     assert "partial_sum" in plan and plan.count("Exchange") == 1
 
 
+def test_types_of_many_text_columns_are_judged_in_one_scan(spark, tmp_path):
+    """300 text columns: one scan, one shuffle, and shares as of each column alone."""
+    from tablescope.operators.inference import _cell_codes, text_shares
+    layouts = ["yyyy-M-d", "M/d/yyyy"]
+    kinds = ["CAST(id AS STRING)", "concat('2024-01-', 1 + id % 31)", "concat('x', id)",
+             "CASE WHEN id % 2 = 0 THEN NULL ELSE concat('2/', 1 + id % 40, '/2020') END"]
+    spark.range(200).selectExpr(*[f"{kinds[i % 4]} AS c{i}" for i in range(300)]).write.csv(
+        str(tmp_path / "wide"), header=True)
+    df = spark.read.csv(str(tmp_path / "wide"), header=True)
+    counted = _cell_codes(df, df.columns, layouts).groupBy("column", "code").count()
+    assert plan_of(counted).count("FileScan") == 1 and plan_of(counted).count("Exchange") == 1
+    shares = text_shares(df, df.columns, formats=layouts)
+    assert all(shares[f"c{i}"].numeric == (i % 4 == 0) for i in range(300))
+    assert shares["c5"].datetime == 1 and shares["c5"].layout == "yyyy-M-d"
+    assert shares["c7"].values == 100 and shares["c7"].dates == sum(
+        1 + i % 40 <= 29 for i in range(1, 200, 2)) and shares["c7"].layout == "M/d/yyyy"
+
+
 def test_time_buckets_read_two_columns(table):
     df = ts.aggregate_time(table("orders"), "o_orderdate", "M", ["o_totalprice"])
     assert columns_read(df) == {"o_orderdate", "o_totalprice"}
