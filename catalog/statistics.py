@@ -176,6 +176,25 @@ def g10_gaps(spark, folder):
     return corr.withColumn("corr", rnd("corr"))
 
 
+# Eight columns, each with gaps; two of them in the same rows.
+_MANY = {
+    "quantity": ("l_quantity", 3), "price": ("l_extendedprice", 4), "discount": ("l_discount", 5),
+    "tax": ("l_tax", 5), "part": ("l_partkey", 7), "supplier": ("l_suppkey", 11),
+    "line": ("l_linenumber", 2), "order_no": ("l_orderkey", 13)}
+_MANY_GAPS = "(SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey + l_linenumber) % {m} <> 0 THEN {c} END AS {name}"
+    for name, (c, m) in _MANY.items()) + " FROM lineitem)"
+
+
+@query("g10_spearman_many_gaps", _both_ways(_spearman_sql(_MANY_GAPS, list(_MANY)), list(_MANY)))
+def g10_many_gaps(spark, folder):
+    at = F.col("l_orderkey") + F.col("l_linenumber")
+    df = read(spark, folder, "lineitem").select(*[
+        F.when(at % m != 0, F.col(c)).alias(name) for name, (c, m) in _MANY.items()])
+    corr = ts.compute_correlation(df, list(_MANY), "spearman", rows_per_range=20_000)
+    return corr.withColumn("corr", rnd("corr"))
+
+
 def _kendall_sql(source, columns):
     """Tau-b from counts of distinct value pairs, by brute force."""
     parts = []
@@ -207,6 +226,20 @@ def g11_blocks(spark, folder):
     return corr.withColumn("corr", rnd("corr"))
 
 
+_SIX = {
+    "size": "p_size", "price": "p_retailprice", "key": "p_partkey",
+    "rest": "p_partkey % 17", "per_size": "floor(p_retailprice / p_size)",
+    "odd_price": "CASE WHEN p_size % 5 <> 0 THEN p_retailprice - p_size * 10 END"}
+_SIX_SQL = "(SELECT " + ", ".join(f"{x} AS {name}" for name, x in _SIX.items()) + " FROM part)"
+
+
+@query("g11_kendall_many", _both_ways(_kendall_sql(_SIX_SQL, list(_SIX)), list(_SIX)))
+def g11_many(spark, folder):
+    df = read(spark, folder, "part").select(*[F.expr(x).alias(name) for name, x in _SIX.items()])
+    corr = ts.compute_correlation(df, list(_SIX), "kendall")
+    return corr.withColumn("corr", rnd("corr"))
+
+
 _FEW = ["l_linenumber", "l_quantity", "l_discount"]
 
 

@@ -231,6 +231,38 @@ def running_counts(
     return out.select(col(value), "n", *found)
 
 
+def running_counts_beside(
+    df: DataFrame,
+    value: str,
+    others: Sequence[str],
+    *,
+    rows: int,
+    rows_per_range: int | None = None,
+) -> DataFrame:
+    """Per distinct non-null value, for each of the other columns: ``n0``, ``n1``, ... rows that have
+    both, and ``before0``, ... rows with a smaller value that have the other column, too.
+
+    One table serves all the other columns: copies are folded map-side with a count for each."""
+    ranged = split_by_value(
+        df.where(col(value).isNotNull()).select(col(value), *[
+            col(o).isNotNull().alias(f"_has{i}") for i, o in enumerate(others)]),
+        value, rows=rows, rows_per_range=rows_per_range,
+    )
+    names = range(len(others))
+    counts = ranged.df.groupBy(RANGE, col(value)).agg(
+        *[F.count_if(f"_has{i}").alias(f"n{i}") for i in names])
+    upto = Window.partitionBy(RANGE).orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.withColumns(
+        {f"before{i}": F.coalesce(F.sum(f"n{i}").over(upto), F.lit(0)) for i in names})
+    if ranged.ranges > 1:
+        totals = ranged.df.groupBy(RANGE).agg(
+            *[F.count_if(f"_has{i}").alias(f"t{i}") for i in names])
+        carried = carried_sums(totals, {f"t{i}": f"in{i}" for i in names})
+        out = out.join(carried, RANGE).withColumns(
+            {f"before{i}": F.col(f"before{i}") + F.col(f"in{i}") for i in names})
+    return out.drop(RANGE, *[f"in{i}" for i in names])
+
+
 def carried_sums(per_range: DataFrame, sums: dict[str, str]) -> DataFrame:
     """Exclusive running sums over the one-row-per-range table (at most MAX_RANGES rows)."""
     earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)

@@ -181,21 +181,29 @@ def attach(
     rows: int,
     like: DataFrame | None = None,
     large_rows: int = 50 * SAMPLE_ROWS,
+    missing: bool = False,
 ) -> DataFrame:
-    """Add the columns of a table that is unique on ``key`` and holds every key of ``df``.
+    """Add the columns of a table that is unique on ``key`` and holds every key of ``df``. With
+    ``missing`` the key may be NULL: such rows get NULLs, and are spread like those of hot keys.
 
     Rows of hot keys get theirs from a broadcast of the hot keys' table rows. They still pass the
     main join, as its other rows do, but under a key of their own per source partition, which
     spreads them and matches nothing; so the input is read once, however many lookups are
     chained. ``like`` is a cheaper frame with the same keys, to look for hot ones in."""
     hot = hot_keys(df if like is None else like, [key], rows) if rows > large_rows else None
-    if hot is None:
+    if hot is None and not missing:
         return df.join(table, key)
+    if hot is None:
+        spread = F.when(col(key).isNull(), 1 + F.spark_partition_id()).otherwise(0)
+        return df.withColumn("_spread", spread).join(
+            table.withColumn("_spread", F.lit(0)), [key, "_spread"], "left").select(
+                *[col(c) for c in [*df.columns, *[c for c in table.columns if c != key]]])
     added = [c for c in table.columns if c != key]
     few = hot_part(table, hot, [key], keep=True).select(
         col(key).alias("_hot"), *[col(c).alias(f"_hot_{c}") for c in added])
     marked = df.join(F.broadcast(few), col(key) == F.col("_hot"), "left").withColumn(
-        "_spread", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.spark_partition_id()))
+        "_spread", F.when(F.col("_hot").isNull() & col(key).isNotNull(), 0)
+        .otherwise(1 + F.spark_partition_id()))
     looked_up = marked.join(table.withColumn("_spread", F.lit(0)), [key, "_spread"], "left")
     return looked_up.select(
         *[col(c) for c in df.columns],

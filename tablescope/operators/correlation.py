@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import as_double
-from ..functions.counts import distinct_counts
-from ..functions.ordered import running_counts
+from ..functions.ordered import running_counts, running_counts_beside
 from ..functions.quantiles import Centre
 from ..functions.skew import attach
+from ..storage import materialize
 from .stats import centres
 
 CORRELATION = "col_a string, col_b string, corr double"
@@ -25,6 +25,7 @@ RANK_BLOCK = 1_000_000
 _COMPLETE_PAIRS_PER_PASS = 45
 _GAPPY_PAIRS_PER_PASS = 10
 _GAPPY_MEANS_PER_PASS = 40
+_SHARED_PER_PASS = 200
 _FEW_PASSES = 2
 
 
@@ -176,8 +177,8 @@ def _ranked(values: DataFrame, columns, rows: int, rows_per_range) -> DataFrame:
 
 
 def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
-    """Pearson of average ranks. Columns without gaps are ranked once; a pair with gaps is ranked
-    on the rows it shares."""
+    """Pearson of average ranks. Columns without gaps are ranked once; the ranks of a pair with
+    gaps count the rows it shares."""
     whole = [k for k in live if centre[k].complete]
     parts = []
     if len(whole) > 1:
@@ -185,42 +186,92 @@ def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
         ranks = _ranked(values, whole, rows, rows_per_range)
         middle = Centre(rows, rows, (rows + 1) / 2, 1.0, float(rows))
         parts += _pearson(ranks, list(combinations(whole, 2)), {c: middle for c in whole})
-    for a, b in pairs:
-        if centre[a].complete and centre[b].complete:
-            continue
-        shared = values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-        found = centres(shared, [a, b])
-        rows = found[a].rows
-        if found[a].constant or found[b].constant:
-            parts.append(_no_value(values, a, b))
-            continue
-        middle = Centre(rows, rows, (rows + 1) / 2, 1.0, float(rows))
-        ranks = _ranked(shared, [a, b], rows, rows_per_range)
-        parts += _pearson(ranks, [(a, b)], {a: middle, b: middle})
+    gappy = [p for p in pairs if not (centre[p[0]].complete and centre[p[1]].complete)]
+    return parts + (_spearman_with_gaps(values, gappy, centre, rows_per_range) if gappy else [])
+
+
+def _spearman_with_gaps(values, pairs, centre, rows_per_range) -> list[DataFrame]:
+    """A pair's ranks count only the rows that have both columns. One table per column holds the
+    ranks of its values beside every other column, or beside one of those that are missing in the
+    same rows; a row looks each of its values up once, whatever the number of pairs."""
+    used = sorted({c for p in pairs for c in p})
+    rows = centre[used[0]].rows
+    shared = _shared_rows(values, used)
+    beside: dict[str, list[str]] = {}
+    place: dict[tuple[str, str], int] = {}
+    for a in used:
+        kinds = beside.setdefault(a, [])
+        for b in sorted({y for x, y in [*pairs, *[p[::-1] for p in pairs]] if x == a}):
+            same = next((k for k in kinds if shared[b, b] == shared[k, k] == shared[b, k]), None)
+            if same is None:
+                kinds.append(b)
+            place[a, b] = kinds.index(same or b)
+    ranks = values.select(*used)
+    for a in used:
+        counts = running_counts_beside(
+            values, a, beside[a], rows=rows, rows_per_range=rows_per_range)
+        table = counts.select(a, F.array(*[
+            F.col(f"before{i}") + (F.col(f"n{i}") + 1) / 2 for i in range(len(beside[a]))
+        ]).alias(f"rank_{a}"))
+        ranks = attach(ranks, table, a, rows=rows, like=values.where(F.col(a).isNotNull()),
+                       missing=True)
+    parts = []
+    for part in C.chunks(pairs, _GAPPY_PAIRS_PER_PASS):
+        sums = []
+        for a, b in part:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            middle = F.lit((shared[a, b] + 1) / 2)
+            da, db = (F.when(both, F.get(F.col(f"rank_{x}"), F.lit(place[x, y])) - middle)
+                      for x, y in ((a, b), (b, a)))
+            sums.append(F.struct(F.sum(da * da).alias("aa"), F.sum(db * db).alias("bb"),
+                                 F.sum(da * db).alias("ab")).alias(f"{a}_{b}"))
+        found = [F.col(f"{a}_{b}") for a, b in part]
+        parts.append(C.one_row_to_rows(ranks.agg(*sums), [
+            _pair_row(a, b, _cosine(s["ab"], s["aa"], s["bb"])) for (a, b), s in zip(part, found)]))
     return parts
 
 
-def _no_value(values: DataFrame, a: str, b: str) -> DataFrame:
-    return values.sparkSession.createDataFrame([(a, b, None)], "a string, b string, corr double")
+def _shared_rows(values: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], int]:
+    """Number of rows that have both columns, for all pairs, both ways and with themselves."""
+    found: dict[tuple[str, str], int] = {}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    for part in C.chunks(pairs, _SHARED_PER_PASS):
+        row = values.agg(*[
+            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"{a}_{b}")
+            for a, b in part]).first()
+        for a, b in part:
+            found[a, b] = found[b, a] = row[f"{a}_{b}"]
+    return found
 
 
 def _kendall(values, pairs, centre, rows_per_range, block) -> list[DataFrame]:
+    """Values are replaced by their positions among the distinct values of their column, once per
+    column; all pairs then go through one plan, told apart by their number."""
     if not pairs:
         return []
     used = sorted({c for p in pairs for c in p})
-    distinct = {r["column"]: r["unique"] for r in distinct_counts(values, used).collect()}
-    parts = []
-    for a, b in pairs:
-        shared = values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-        rows = centre[a].rows if centre[a].complete and centre[b].complete else shared.count()
-        # the column with fewer distinct values is cut by bits: fewer levels
-        x, y = (a, b) if distinct[a] >= distinct[b] else (b, a)
-        tau = _tau_b(
-            shared.select(F.col(x).alias("x"), F.col(y).alias("y")),
-            rows, distinct[x], distinct[y], rows_per_range, block,
-        )
-        parts.append(tau.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr"))
-    return parts
+    rows = centre[used[0]].rows
+    placed = values.select(*used)
+    for c in used:
+        table = running_counts(values, c, rows=rows, rows_per_range=rows_per_range).select(
+            c, F.col("position").alias(f"place_{c}"))
+        placed = attach(placed, table, c, rows=rows, like=values.where(F.col(c).isNotNull()),
+                        missing=not centre[c].complete)
+    placed = placed.select(*[f"place_{c}" for c in used])
+    if len(pairs) > 1:
+        placed = materialize(placed, "places")
+    distinct = placed.agg(*[F.max(f"place_{c}").alias(c) for c in used]).first()
+    # The column with fewer distinct values is cut by bits: fewer levels.
+    ordered = [p if distinct[p[0]] >= distinct[p[1]] else p[::-1] for p in pairs]
+    levels = [max(1, distinct[y].bit_length()) for _, y in ordered]
+    wide = max(distinct[x] for x, _ in ordered) >= block
+    tau = _tau_b(placed.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(f"place_{x}").alias("x"), F.col(f"place_{y}").alias("y"))
+        for i, (x, y) in enumerate(ordered)]))).where("x IS NOT NULL AND y IS NOT NULL"),
+        levels, block, wide)
+    names = values.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return [names.join(tau, "pair", "left").select("a", "b", "corr")]
 
 
 def _pairs_of(n: Column) -> Column:
@@ -228,55 +279,49 @@ def _pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def _tau_b(shared, rows, distinct_x, distinct_y, rows_per_range, block) -> DataFrame:
-    """Kendall's tau-b in n log n rows.
-
-    y is replaced by its dense position. Two rows differ first, from the top, in exactly one bit
-    of y: at that level they share the bits above it. So concordant pairs are, per (level, bits
-    above), the rows with bit 1 times the rows with bit 0 at a smaller x, which is a running sum
-    along x. Positions of x are consecutive integers, so blocks of a fixed width bound every
-    window partition, and blocks are linked by their sums."""
-    xs = running_counts(shared, "x", rows=rows, rows_per_range=rows_per_range)
-    ys = running_counts(shared, "y", rows=rows, rows_per_range=rows_per_range)
-    grid = shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    placed = attach(grid, xs.select("x", F.col("position").alias("px")), "x", rows=rows)
-    placed = attach(
-        placed, ys.select("y", F.col("position").alias("py")), "y", rows=rows, like=grid)
-
-    levels = max(1, (distinct_y - 1).bit_length())
-    leveled = placed.select(
-        "px", "py", "w", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+def _tau_b(rows: DataFrame, levels: Sequence[int], block: int, wide: bool) -> DataFrame:
+    """(pair, corr): Kendall's tau-b of the rows (pair, x, y) in n log n rows.
+
+    x and y are positions among distinct values. Two rows differ first, from the top, in exactly
+    one bit of y: at that level they share the bits above it. So concordant pairs are, per (level,
+    bits above), the rows with bit 1 times the rows with bit 0 at a smaller x, which is a running
+    sum along x. Blocks of a fixed width of x bound every window partition, and blocks are linked
+    by their sums where a column is ``wide`` enough for several."""
+    grid = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    top = F.get(F.array(*[F.lit(n - 1) for n in levels]), F.col("pair"))
+    leveled = grid.select(
+        "pair", "x", "y", "w", F.explode(F.sequence(F.lit(0), top)).alias("level")
     ).select(
-        "px", "w", "level",
-        F.expr("shiftright(py, level + 1)").alias("above"),
-        F.expr("shiftright(py, level) % 2 = 1").alias("bit"),
+        "pair", "x", "w", "level",
+        F.expr("shiftright(y, level + 1)").alias("above"),
+        F.expr("shiftright(y, level) % 2 = 1").alias("bit"),
     )
-    cells = leveled.groupBy("level", "above", "px").agg(
+    cells = leveled.groupBy("pair", "level", "above", "x").agg(
         F.sum(F.when(F.col("bit"), 0).otherwise(F.col("w"))).alias("zeros"),
         F.sum(F.when(F.col("bit"), F.col("w")).otherwise(0)).alias("ones"),
-    ).withColumn("block", F.floor(F.col("px") / block))
-    group = ["level", "above"]
-    earlier = Window.partitionBy(*group, "block").orderBy("px").rowsBetween(
+    ).withColumn("block", F.floor(F.col("x") / block))
+    group = ["pair", "level", "above"]
+    earlier = Window.partitionBy(*group, "block").orderBy("x").rowsBetween(
         Window.unboundedPreceding, -1)
-    smaller = F.coalesce(F.sum("zeros").over(earlier), F.lit(0))
-    sums = cells.withColumn("smaller", smaller)
-    if distinct_x > block:
+    sums = cells.withColumn("smaller", F.coalesce(F.sum("zeros").over(earlier), F.lit(0)))
+    if wide:
         before = Window.partitionBy(*group).orderBy("block").rowsBetween(
             Window.unboundedPreceding, -1)
         carried = cells.groupBy(*group, "block").agg(F.sum("zeros").alias("z")).select(
             *group, "block", F.coalesce(F.sum("z").over(before), F.lit(0)).alias("carried"))
         sums = sums.join(carried, [*group, "block"]).withColumn(
             "smaller", F.col("smaller") + F.col("carried"))
-    concordant = sums.agg(
-        F.coalesce(F.sum(F.col("ones").cast("double") * F.col("smaller")), F.lit(0.0)).alias("c"))
-
-    pairs = F.lit(rows * (rows - 1) / 2)
-    return concordant.select(
-        "c",
-        xs.agg(F.sum(_pairs_of(F.col("n")))).scalar().alias("tx"),
-        ys.agg(F.sum(_pairs_of(F.col("n")))).scalar().alias("ty"),
-        grid.agg(F.sum(_pairs_of(F.col("w")))).scalar().alias("txy"),
-    ).select((
+    found = sums.groupBy("pair").agg(F.coalesce(
+        F.sum(F.col("ones").cast("double") * F.col("smaller")), F.lit(0.0)).alias("c"))
+
+    def tied(*keys: str) -> DataFrame:
+        return grid.groupBy("pair", *keys).agg(F.sum("w").alias("w")).groupBy("pair").agg(
+            F.sum(_pairs_of(F.col("w"))).alias("t" + "".join(keys)))
+
+    for table in (tied("x"), tied("y"), tied("x", "y"), tied()):
+        found = found.join(table, "pair")
+    pairs = F.col("t")
+    return found.select("pair", (
         (2 * F.col("c") - (pairs - F.col("tx") - F.col("ty") + F.col("txy")))
         / F.nullif(F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))), F.lit(0.0))
     ).alias("corr"))
