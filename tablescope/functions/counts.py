@@ -1,4 +1,8 @@
-"""Counts of distinct values, one column at a time."""
+"""Counts of distinct values of many columns.
+
+Cells are tagged with the number of their column and counted by (column, value), all columns of a
+type together: a table of hundreds of columns takes as many scans and shuffles as it has types, and
+each scan reads the columns of its type only. Copies of a value are folded before the shuffle."""
 
 from __future__ import annotations
 
@@ -9,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import as_double, col, union_all
+from .columns import as_double, chunks, col, union_all
 
 
 _LONG_TEXT = 64
+_COLUMNS_PER_SCAN = 1000
 
 
 def _short(value: Column) -> Column:
@@ -34,16 +39,38 @@ def _counted(df: DataFrame, column: str, *, short: bool = False) -> DataFrame:
     )
 
 
+def _typed_cell(df: DataFrame, column: str, short: bool) -> tuple[str, Column]:
+    """A type that holds the column's values exactly, and the column in it."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "double", as_double(column)
+    if isinstance(kind, T.IntegralType):
+        return "bigint", col(column).cast("bigint")
+    if isinstance(kind, T.StringType):
+        return "string", _short(col(column)) if short else col(column)
+    return kind.simpleString(), col(column)
+
+
+def _tagged_counts(df: DataFrame, columns: Sequence[str], short: bool) -> list[DataFrame]:
+    """(column, value, n), a frame for each type and _COLUMNS_PER_SCAN columns of it."""
+    of_type: dict[str, list[Column]] = {}
+    for c in columns:
+        kind, cell = _typed_cell(df, c, short)
+        of_type.setdefault(kind, []).append(
+            F.struct(F.lit(c).alias("column"), cell.alias("value")))
+    return [
+        df.select(F.inline(F.array(*part))).where(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        for cells in of_type.values() for part in chunks(cells, _COLUMNS_PER_SCAN)
+    ]
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], *, short: bool = False) -> DataFrame:
     """(column, value as text, n) for every distinct non-null value. With ``short`` long texts
-    are represented by start and digest, for uses that need the counts only.
-
-    Each column is its own narrow scan and its own typed aggregate: on a columnar table the
-    scans together read every byte once, and no row is widened or copied per column."""
+    are represented by start and digest, for uses that need the counts only."""
     return union_all([
-        _counted(df, c, short=short).select(
-            F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n")
-        for c in columns
+        part.select("column", F.col("value").cast("string").alias("value"), "n")
+        for part in _tagged_counts(df, columns, short)
     ])
 
 
@@ -54,11 +81,13 @@ def distinct_counts(
     if approx:
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in columns])
         return row.unpivot([], [col(c) for c in columns], "column", "unique")
-    return union_all([
-        _counted(df, c, short=True).agg(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("unique"))
-        for c in columns
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    found = union_all([
+        part.groupBy("column").agg(F.count(F.lit(1)).alias("found"))
+        for part in _tagged_counts(df, columns, short=True)
     ])
+    return names.join(found, "column", "left").select(
+        "column", F.coalesce("found", F.lit(0)).cast("long").alias("unique"))
 
 
 class Top(NamedTuple):

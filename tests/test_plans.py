@@ -49,6 +49,26 @@ def test_types_of_many_text_columns_are_judged_in_one_scan(spark, tmp_path):
         1 + i % 40 <= 29 for i in range(1, 200, 2)) and shares["c7"].layout == "M/d/yyyy"
 
 
+def test_counts_of_many_columns_take_one_scan_and_shuffle_per_type(spark, tmp_path):
+    from tablescope.functions.counts import distinct_counts, top_values, value_counts
+    kinds = ["CAST(id % 7 AS INT)", "CAST(id % 5 AS DOUBLE)", "concat('x', id % 3)",
+             "CAST(NULL AS BIGINT)", "CAST(nullif(id % 4, 3) AS BIGINT)", "id % 2 = 0"]
+    spark.range(100).selectExpr(*[f"{kinds[i % 6]} AS c{i}" for i in range(300)]).write.parquet(
+        str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    counts = distinct_counts(df, df.columns)
+    plan = plan_of(counts)
+    assert plan.count("FileScan") == 4 and plan.count("Exchange hashpartitioning") <= 9
+    want = [7, 5, 3, 0, 3, 2]
+    assert {r["column"]: r["unique"] for r in counts.collect()} == {
+        f"c{i}": want[i % 6] for i in range(300)}
+    few = value_counts(df, ["c0", "c1", "c2", "c5"]).where("n > 30").collect()
+    assert {(r["column"], r["value"], r["n"]) for r in few} == {
+        ("c2", "x0", 34), ("c2", "x1", 33), ("c2", "x2", 33), ("c5", "true", 50),
+        ("c5", "false", 50)}
+    assert top_values(df, ["c3", "c2"]) == {"c2": ("x0", 34, 3)}
+
+
 def test_time_buckets_read_two_columns(table):
     df = ts.aggregate_time(table("orders"), "o_orderdate", "M", ["o_totalprice"])
     assert columns_read(df) == {"o_orderdate", "o_totalprice"}
