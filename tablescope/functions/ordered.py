@@ -115,7 +115,7 @@ def _split(df, bound, order, rows, rows_per_range, texts: Collection[int] = ())
         if not chosen:
             return single
         used = 1 + max(_last_used(c) for c in chosen)
-        at = _bounds_not_above(*_as_key(chosen, kinds, fields[:used], bound[:used]))
+        at = bounds_not_above(*_as_key(chosen, kinds, fields[:used], bound[:used]))
         length *= LONGER
         if not full or length > MAX_TEXT or sum(map(len, chosen)) > BOUND_BYTES:
             return Ranged(df.withColumn(RANGE, at), order, len(chosen) + 1)
@@ -177,7 +177,7 @@ def _as_key(chosen, kinds, fields, bound) -> tuple[Column, int, Column]:
     return bounds, len(chosen), F.struct(*fields)
 
 
-def _bounds_not_above(bounds: Column, count: int, key: Column) -> Column:
+def bounds_not_above(bounds: Column, count: int, key: Column) -> Column:
     """How many of the sorted boundaries are <= key, found by halving.
 
     The key enters through ``transform``, so that it is an argument of the expression and not a

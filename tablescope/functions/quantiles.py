@@ -8,6 +8,7 @@ Only counts and bounds reach the driver.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor, sqrt
@@ -16,7 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import as_double, chunks, col
-from .ordered import RANGE, split_by_value
+from .ordered import (
+    MAX_RANGES,
+    RANGE,
+    SAMPLES_PER_RANGE,
+    VALUES_PER_RANGE,
+    bounds_not_above,
+)
+from .skew import plain_join
 
 SKETCH_ACCURACY = 2_000
 SKETCH_ROWS = 1_000_000
@@ -296,17 +304,33 @@ def grouped_median(
     rows: int,
     rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Exact median per group as (keys, value), for groups of any size.
-
-    Values are cut into ranges common to all groups; counts per (group, range) tell which range
-    holds the middle ranks, and only inside that range values are ranked."""
-    group = [col(k) for k in keys]
-    typed = df.select(*group, as_double(value).alias("_v"))
-    ranged = split_by_value(
-        typed.where("_v IS NOT NULL"), "_v", rows=rows, rows_per_range=rows_per_range
-    )
-    counts = ranged.df.groupBy(*group, RANGE, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    per_range = counts.groupBy(*group, RANGE).agg(F.sum("_n").alias("_inside"))
+    """``grouped_medians`` of one column."""
+    return grouped_medians(df, keys, [value], rows=rows, rows_per_range=rows_per_range)
+
+
+def grouped_medians(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    *,
+    rows: int,
+    rows_per_range: int | None = None,
+) -> DataFrame:
+    """Exact medians per group as (keys, values), for groups of any size; NULL for a group without
+    values. The input is read once (and once more, in part, for boundaries of a large table).
+
+    Cells carry the number of their column. Values of a column are cut into ranges common to all
+    groups; counts per (group, column, range) tell which range holds the middle ranks, and only
+    inside that range values are ranked. Missing values form a range of their own, so that no
+    group is lost."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    cells = df.select(*[col(k).alias(n) for k, n in zip(keys, names)], F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_m"), as_double(v).alias("_v")) for i, v in enumerate(values)])))
+    cells = cells.withColumn(RANGE, _common_ranges(df, values, rows, rows_per_range))
+    group = [*names, "_m"]
+    counts = cells.groupBy(*group, RANGE, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    per_range = counts.where("_v IS NOT NULL").groupBy(*group, RANGE).agg(
+        F.sum("_n").alias("_inside"))
     over_ranges = Window.partitionBy(*group).orderBy(RANGE)
     middle = (
         per_range.withColumns({
@@ -320,33 +344,47 @@ def grouped_median(
         })
         .where((F.col("_second") >= F.col("_below"))
                & (F.col("_first") < F.col("_below") + F.col("_inside")))
-        .drop("_inside", "_total")
+        .select(*group, RANGE, "_below", "_first", "_second")
     )
-    names = [f"_k{i}" for i in range(len(keys))]
-    left = counts.select(*[c.alias(n) for c, n in zip(group, names)], RANGE, "_v", "_n")
-    right = middle.select(*[c.alias(n) for c, n in zip(group, names)],
-                          F.col(RANGE).alias("_r2"), "_below", "_first", "_second")
-    on = left[RANGE] == right["_r2"]
-    for n in names:
-        on = on & left[n].eqNullSafe(right[n])
-    right_names = ["_below", "_first", "_second"]
-    inside = left.join(right, on).select(*[left[n] for n in names], RANGE, "_v", "_n", *right_names)
-    upto = Window.partitionBy(*names, RANGE).orderBy("_v").rowsBetween(
+    inside = plain_join(counts.where("_v IS NOT NULL"), middle, [*group, RANGE], "inner")
+    upto = Window.partitionBy(*group, RANGE).orderBy("_v").rowsBetween(
         Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
 
-    def holds(rank: str) -> Column:
-        return F.max(F.when(
-            (F.col(rank) < F.col("_upto")) & (F.col(rank) >= F.col("_upto") - F.col("_n")),
-            F.col("_v")))
-
-    medians = ranked.groupBy(*names).agg(
-        ((holds("_first") + holds("_second")) / 2).alias("_median"))
-    every = df.select(*group).distinct().select(*[c.alias(n + "_") for c, n in zip(group, names)])
-    on = None
-    for n in names:
-        part = every[n + "_"].eqNullSafe(medians[n])
-        on = part if on is None else on & part
-    return every.join(medians, on, "left").select(
-        *[F.col(n + "_").alias(k) for n, k in zip(names, keys)], F.col("_median").alias(value)
-    )
+    def held(rank: str) -> Column:
+        return F.when((F.col(rank) < F.col("_upto"))
+                      & (F.col(rank) >= F.col("_upto") - F.col("_n")), F.col("_v"))
+
+    middles = ranked.select(*group, held("_first").alias("_a"), held("_second").alias("_b")).where(
+        "_a IS NOT NULL OR _b IS NOT NULL")
+    nothing = F.lit(None).cast("double")
+    empty = counts.where("_v IS NULL").select(
+        *group, nothing.alias("_a"), nothing.alias("_b")).union(middles)
+    both = [(F.max(F.when(F.col("_m") == i, F.col("_a")))
+             + F.max(F.when(F.col("_m") == i, F.col("_b")))) / 2 for i in range(len(values))]
+    return empty.groupBy(*names).agg(*[b.alias(v) for b, v in zip(both, values)]).select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)], *[col(v) for v in values])
+
+
+def _common_ranges(df: DataFrame, values: Sequence[str], rows: int, rows_per_range: int | None
+                   ) -> Column:
+    """The range number of a cell (_m, _v), from boundaries of all columns taken in one sample."""
+    wanted = min(MAX_RANGES, ceil(rows / (rows_per_range or VALUES_PER_RANGE)))
+    if wanted <= 1:
+        return F.lit(0)
+    fraction = min(1.0, wanted * SAMPLES_PER_RANGE / rows)
+    sample = df.sample(fraction=fraction, seed=11) if fraction < 1.0 else df
+    picked = sample.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("m"), as_double(v).alias("v")) for i, v in enumerate(values)
+    ]))).where("v IS NOT NULL").orderBy("m", "v").collect()  # about SAMPLES_PER_RANGE a range
+    number = F.lit(0)
+    for i in range(len(values)):
+        own = [r["v"] for r in picked if r["m"] == i]
+        step = len(own) / wanted
+        chosen = dict.fromkeys(own[int(step * k)] for k in range(1, wanted)) if own else {}
+        if chosen:
+            text = json.dumps([repr(v).replace("inf", "Infinity") for v in chosen])
+            bounds = F.from_json(F.lit(text), "array<string>").cast("array<double>")
+            number = F.when(F.col("_m") == i, bounds_not_above(
+                bounds, len(chosen), F.col("_v"))).otherwise(number)
+    return number

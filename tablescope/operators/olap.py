@@ -15,7 +15,7 @@ from ..functions import columns as C
 from ..functions.aggregates import AggFunc, aggregate
 from ..functions.columns import col
 from ..functions.ordered import VALUES_PER_RANGE
-from ..functions.quantiles import grouped_median
+from ..functions.quantiles import grouped_medians
 from ..sources.names import unique_names
 
 AggSpec = AggFunc | Mapping[str, AggFunc]
@@ -50,23 +50,23 @@ def group_aggregate(
 ) -> DataFrame:
     """keys + one aggregate per metric, missing keys kept as a group.
 
-    All functions but the median combine map-side, so a hot key is no hot task. The built-in
-    median holds a group's values in one task and is used only up to ``median_limit`` rows."""
+    All functions but the median combine map-side, so a hot key is no hot task. Medians of all
+    metrics come from one plan that ranks values in ranges of about ``median_limit`` rows."""
     df = _flags_as_numbers(C.nan_to_null(df, keys), metrics)
     funcs = {m: _func_for(aggfunc, m) for m in metrics}
     funcs = {m: f for m, f in funcs.items() if f is not None}
     medians = [m for m, f in funcs.items() if f == "median"]
-    if medians:
-        rows = df.count()
-        if rows <= median_limit:
-            medians = []
     direct = [m for m in funcs if m not in medians]
-    out = df.groupBy(*[col(k) for k in keys]).agg(
-        *([_expression(df, m, funcs[m], order_by) for m in direct] or [F.count(F.lit(1))])
-    ).select(*[col(k) for k in keys], *[col(m) for m in direct])
-    for m in medians:
-        out = _join_on_keys(
-            out, grouped_median(df, keys, m, rows=rows, rows_per_range=median_limit), keys)
+    found = []
+    if direct or not medians:
+        found.append(df.groupBy(*[col(k) for k in keys]).agg(
+            *([_expression(df, m, funcs[m], order_by) for m in direct] or [F.count(F.lit(1))])
+        ).select(*[col(k) for k in keys], *[col(m) for m in direct]))
+    if medians:
+        found.append(grouped_medians(
+            df, keys, medians, rows=df.count(), rows_per_range=median_limit))
+    # Both hold every group.
+    out = found[0] if len(found) == 1 else _join_on_keys(*found, keys)
     return out.select(*[col(k) for k in keys], *[col(m) for m in funcs])
 
 
