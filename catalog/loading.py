@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tablescope as ts
@@ -34,6 +33,23 @@ def a1(spark, folder):
     return _csv(spark, folder, ".csv")
 
 
+@query("a1_line_breaks", """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'to "' || o_custkey || '",' || chr(10) || chr(10) || o_orderpriority
+        ELSE CAST(o_custkey AS VARCHAR) END AS note, nullif(o_orderstatus, 'F') AS o_orderstatus FROM orders""")
+def a1_line_breaks(spark, folder):
+    """Line breaks inside cells, by the reader of large files: splits, not a task a file."""
+    path = new_folder(spark, "csv") + ".csv"
+    read(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(
+            F.lit('to "'), "o_custkey", F.lit('",\n\n'), "o_orderpriority"))
+        .otherwise(F.col("o_custkey").cast("string")).alias("note"),
+        F.when(F.col("o_orderstatus") == "F", "NULL").otherwise(F.col("o_orderstatus"))
+        .alias("o_orderstatus"),
+    ).write.option("header", True).option("escape", '"').csv(path)
+    return ts.load_dataframe(spark, path, large_bytes=1)
+
+
 @query("a3_load_other_suffix", _CSV_SQL)
 def a3(spark, folder):
     return _csv(spark, folder, ".txt")
@@ -223,14 +239,15 @@ def b9(spark, folder):
 
 
 def _late_text(spark, folder):
-    key = F.col("o_orderkey")
-    rank = F.row_number().over(Window.orderBy("o_orderkey"))  # a few thousand rows, to place text
-    return read(spark, folder, "orders").withColumn("r", rank).select(
-        "o_orderkey", F.when(F.col("r") > 500, F.concat(F.lit("code-"), key)).otherwise(
+    """Numbers in the first hundredth of the keys, codes in all others."""
+    key, orders = F.col("o_orderkey"), read(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    return orders.join(F.broadcast(last)).select(
+        "o_orderkey", F.when(100 * key > F.col("last"), F.concat(F.lit("code-"), key)).otherwise(
             key.cast("string")).alias("label"))
 
 
-_LATE = """(SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) > 500
+_LATE = """(SELECT o_orderkey, CASE WHEN 100 * o_orderkey > (SELECT max(o_orderkey) FROM orders)
     THEN 'code-' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS label FROM orders)"""
 
 

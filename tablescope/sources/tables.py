@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..functions.skew import estimated_bytes
+from .records import cells_of, quoted_records
 
 # Cell texts that mean "missing" in a CSV file.
 MISSING_TOKENS = (
@@ -25,12 +26,15 @@ LARGE_CSV_BYTES = 256 << 20
 
 
 def load_dataframe(
-    spark: SparkSession, source: str | PurePath | DataFrame, **options
+    spark: SparkSession, source: str | PurePath | DataFrame, *,
+    large_bytes: int = LARGE_CSV_BYTES, **options
 ) -> DataFrame:
     """Read a table: .parquet / .parq typed, anything else as CSV with every column text.
 
     A DataFrame passes through. ``options`` go to the Spark reader. A CSV row shorter than the
-    header misses its last cells; one that is longer is an error."""
+    header misses its last cells; one that is longer is an error. Large files are read in splits,
+    also where quoted cells hold line breaks (unless options change how CSV is written); CSV of
+    less than ``large_bytes`` is left to Spark's own reader, a file a task."""
     if isinstance(source, DataFrame):
         return source
     if not isinstance(source, (str, PurePath)):
@@ -42,7 +46,7 @@ def load_dataframe(
     try:
         if suffix in (".parquet", ".parq"):
             return spark.read.options(**options).parquet(path)
-        return _read_csv(spark, path, options)
+        return _read_csv(spark, path, options, large_bytes)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in (error.getCondition() or ""):
             raise FileNotFoundError(f"No table at {path}") from error
@@ -53,15 +57,20 @@ def _read_csv(
     spark: SparkSession, path: str, options: Mapping, large_bytes: int = LARGE_CSV_BYTES
 ) -> DataFrame:
     settings = {"header": True, "quote": '"', "escape": '"', **options}
+    large = estimated_bytes(spark.read.text(path)) >= large_bytes
+    broken = "multiLine" not in settings and (not large or _breaks_lines(spark, path))
     if "multiLine" not in settings:
-        settings["multiLine"] = _may_break_lines(spark, path, large_bytes)
+        settings["multiLine"] = broken
     names = spark.read.options(**settings).csv(path).columns
     # Spark drops cells beyond the header without a word; with one column more they are seen.
     more = "more_cells"
     while more in names:
         more += "_"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, more]])
-    raw = spark.read.schema(schema).options(**{**settings, "enforceSchema": True}).csv(path)
+    if large and broken and not options:
+        raw = cells_of(quoted_records(spark, path), len(schema)).toDF(*schema.names)
+    else:
+        raw = spark.read.schema(schema).options(**{**settings, "enforceSchema": True}).csv(path)
     told = F.raise_error(F.concat(
         F.lit("A row has more cells than the header; the first is: "), col(more)))
     whole = raw.where(F.when(col(more).isNotNull(), told.cast("boolean")).otherwise(F.lit(True)))
@@ -70,13 +79,10 @@ def _read_csv(
     ])
 
 
-def _may_break_lines(spark: SparkSession, path: str, large_bytes: int) -> bool:
-    """Whether a quoted cell may hold a line break. A file read for such cells is one task, so
-    large input is checked first: a cell is open at the end of a line only after an odd number of
-    quotes, hence if every line has an even number, none breaks and the file can be split."""
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: a cell is open at the end of a line only after
+    an odd number of quotes, hence if every line has an even number, none breaks."""
     lines = spark.read.text(path)
-    if estimated_bytes(lines) < large_bytes:
-        return True
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return not lines.where(quotes % 2 == 1).isEmpty()
 
