@@ -270,7 +270,9 @@ _MONTHS = """m AS (SELECT date_trunc('month', o_orderdate) AS d, sum(o_totalpric
 
 
 def _without_april(spark, folder):
-    return read(spark, folder, "orders").where(F.month("o_orderdate") != 4)
+    """All orders; those of April have no date."""
+    return read(spark, folder, "orders").withColumn(
+        "o_orderdate", F.when(F.month("o_orderdate") != 4, F.col("o_orderdate")))
 
 
 @query("k7_monthly_trend",
@@ -309,8 +311,8 @@ def k9(spark, folder):
     coalesce(round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2), 0) AS o_totalprice_P
     FROM orders WHERE o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'F' GROUP BY ALL""")
 def k10(spark, folder):
-    df = read(spark, folder, "orders").where(
-        "o_orderpriority != '1-URGENT' OR o_orderstatus != 'F'")
+    df = read(spark, folder, "orders").withColumn("o_totalprice", F.expr(
+        "CASE WHEN o_orderpriority != '1-URGENT' OR o_orderstatus != 'F' THEN o_totalprice END"))
     pivot = ts.pivot_analysis(df, ["o_orderpriority"], ["o_orderstatus"], "o_totalprice",
                               fill_value=None)
     matrix = facets.pivot_matrix(pivot)

@@ -357,18 +357,20 @@ def g17(spark, folder):
         lineitem_gaps(spark, folder), ["l_returnflag", "l_linestatus", "l_linenumber"]), "ratio")
 
 
-_LONG_TIES = """(SELECT repeat('x', 64) || CASE WHEN l_linenumber % 2 = 0 THEN 'g' ELSE 'h' END
-    || CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END AS label
-    FROM lineitem WHERE l_linenumber <= 2)"""
+# Every line has a label of its own, but that of each order's first line comes three times: one true
+# tie of as many long labels as there are orders, unlike only beyond their first 64 characters.
+_LONG_TIES = """(SELECT repeat('x', 64) || CASE WHEN l_linenumber = 1 THEN 'h' ELSE 'g' END
+    || l_orderkey || '-' || l_linenumber AS label
+    FROM lineitem, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR l_linenumber = 1)"""
 
 
 @query("g17_long_text_ties", f"""SELECT 'label' AS "column", label AS top_value FROM (
     SELECT label, count(*) AS n FROM {_LONG_TIES} AS s GROUP BY 1) ORDER BY n DESC, label LIMIT 1""")
 def g17_ties(spark, folder):
     number, key = F.col("l_linenumber"), F.col("l_orderkey")
-    df = read(spark, folder, "lineitem").where("l_linenumber <= 2").select(F.concat(
-        F.lit("x" * 64), F.when(number % 2 == 0, "g").otherwise("h"),
-        F.when(key % 3 == 0, "").otherwise(key.cast("string"))).alias("label"))
+    df = read(spark, folder, "lineitem").select(F.explode(F.array_repeat(F.concat(
+        F.lit("x" * 64), F.when(number == 1, "h").otherwise("g"), key, F.lit("-"), number),
+        F.when(number == 1, 3).otherwise(1))).alias("label"))
     found = ts.dominant_categories(df, ["label"])
     return found.select("column", F.col(found.columns[1]).alias("top_value"))
 

@@ -159,7 +159,10 @@ _SPARSE = f"(SELECT * FROM {LINEITEM_GAPS} AS g WHERE l_linenumber <> 2 OR l_ret
     FROM a CROSS JOIN b LEFT JOIN s ON s.l_returnflag IS NOT DISTINCT FROM a.l_returnflag
         AND s.l_linenumber = b.l_linenumber GROUP BY ALL""")
 def h5_product(spark, folder):
-    df = lineitem_gaps(spark, folder).where("l_linenumber != 2 OR l_returnflag = 'A'")
+    sparse = F.col("l_linenumber") != 2
+    df = lineitem_gaps(spark, folder).withColumns({
+        c: F.when(sparse | (F.col("l_returnflag") == "A"), F.col(c))
+        for c in ("l_quantity", "l_orderkey")})
     wide = ts.pivot_analysis(df, ["l_returnflag", "l_linenumber"], ["l_linestatus"],
                              ["l_quantity", "l_orderkey"], dense=True)
     return wide.withColumns({c: F.col(c).cast("bigint") for c in ("l_orderkey_F", "l_orderkey_O")})
@@ -221,7 +224,8 @@ def h6_product(spark, folder):
     arg_max(amount, (ts, event_id)) FILTER (amount IS NOT NULL) AS amount
     FROM (SELECT *, value AS amount FROM {EVENTS_GAPS} AS s WHERE ts IS NOT NULL) GROUP BY ALL""")
 def h6_first(spark, folder):
-    df = events_gaps(spark, folder).where("ts IS NOT NULL").withColumn("amount", F.col("value"))
+    known = F.when(F.col("ts").isNotNull(), F.col("value"))     # values at an unknown time count for nothing
+    df = events_gaps(spark, folder).withColumns({"value": known, "amount": known})
     return ts.rollup(df, ["event_type"], ["value", "amount"],
                      {"value": "first", "amount": "last"}, order_by=["ts", "event_id"])
 
@@ -264,6 +268,17 @@ for _freq, _unit in _BUCKETS.items():
     _register_bucket(_freq, _unit)
 
 
+@query("i1_first_last_of_month", """SELECT date_trunc('month', o_orderdate)::TIMESTAMP
+    AS o_orderdate, arg_min(o_totalprice, (o_orderdate, o_totalprice)) AS first_price,
+    arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS last_price FROM orders GROUP BY 1""")
+def i1_first_last(spark, folder):
+    """No order given: by the date, orders of one time by their price."""
+    df = read(spark, folder, "orders").select("o_orderdate", "o_totalprice")
+    first, last = (ts.aggregate_time(df, "o_orderdate", "M", ["o_totalprice"], f).toDF(
+        "o_orderdate", f"{f}_price") for f in ("first", "last"))
+    return first.join(last, "o_orderdate")
+
+
 @query("i1_aggregate_hour_gaps", f"""SELECT date_trunc('hour', ts)::TIMESTAMP AS ts,
     {sig_sql('avg(value)')} AS value FROM {EVENTS_GAPS} AS s WHERE ts IS NOT NULL GROUP BY 1""")
 def i1_hour(spark, folder):

@@ -62,7 +62,7 @@ def aggregate(
     if func in ("first", "last"):
         if not order_by:
             raise ValueError(f"'{func}' needs order_by: rows of a DataFrame have no order.")
-        rank = F.when(x.isNotNull(), F.struct(*[col(o) for o in order_by]))
+        rank = F.when(x.isNotNull(), F.struct(*[col(o) for o in order_by], x))  # ties by value
         return (F.min_by if func == "first" else F.max_by)(x, rank).alias(c)
     table: dict[str, Callable[[], Column]] = {
         "sum": lambda: _sum(c, x, is_whole),

@@ -90,10 +90,12 @@ def aggregate_time(
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per calendar bucket that has rows, labelled by its start; rows without a date are
-    left out. No date column or no value column gives a frame without columns."""
+    left out. ``first`` and ``last`` go by the date unless ``order_by`` says otherwise, rows of one
+    time by their value. No date column or no value column gives a frame without columns."""
     date_col = date_col or find_datetime_column(df)
     if date_col is None or date_col not in df.columns:
         return _nothing(df)
+    order_by = order_by or [date_col]
     if values is None:
         values = C.numeric_columns(df)
     chosen = [c for c in C.existing(df, values) if c != date_col]
