@@ -9,14 +9,16 @@ holds a value below the next level, which large sets reach after one or two.
 Equal sets are one node. Sets that agree on all values of a band share a bucket. In the first round
 every node of a bucket is held against the bucket's centre, the node with most company over all its
 buckets. What lies in one component then needs no more comparison; the second round compares, in
-pieces of bounded size, nodes of different components of a bucket. Pairs whose signatures agree on
+pieces of bounded size, nodes of different components of a bucket, a pair in its first common
+bucket only, and leaves out pairs that links found before have joined. Pairs whose signatures agree on
 too few places are dropped before sets are read: a link has such a pair with a probability below
-10^-9. All others are confirmed on full sets."""
+10^-9. All others are confirmed on full sets. No step puts out rows by pairs of a bucket: the
+first round has one per node and bucket, the second names nodes, and links that join components."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ PERCENT = 85
 PLACES, ROWS = 128, 4
 #: Elements whose permutations are held at a time, nodes of a bucket that meet in one task.
 ELEMENTS = 1 << 16
-PIECE = 4096
+PIECE, ELEMENTS_EACH = 2048, 512
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -195,12 +197,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, places: int) -> Da
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, named: DataFrame, key: str, text: str,
-               width: int, percent: int) -> DataFrame:
-    """The pairs that their full sets make links. Sets are cut from one text of each node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one_each = named.where("doc_id is not null").join(wanted, "node", "left_semi").groupBy(
-        "node").agg(F.min("doc_id").alias("doc_id"))
+def _sets(wanted: DataFrame, docs: DataFrame, named: DataFrame, key: str, text: str, width: int
+          ) -> DataFrame:
+    """(node, elements) of the wanted nodes, cut again from one text of each."""
+    one_each = named.join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +217,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, named: DataFrame, key: str, te
     texts = docs.select(F.col(key).alias("doc_id"), text_bytes(F.col(text)).alias("data")).join(
         one_each.select("doc_id").distinct(), "doc_id", "left_semi").select("data")
     # An id may have several texts, and a text of another node may come along: sets name themselves.
-    sets = materialize(for_python(texts).mapInArrow(run, "node binary, elements array<long>")
-                       .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return for_python(texts).mapInArrow(run, "node binary, elements array<long>").join(
+        wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their full sets make links."""
     common = F.size(F.array_intersect("x", "y"))
     return (pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
             .withColumn("common", common)
@@ -236,55 +241,124 @@ def _centres(filed: DataFrame) -> DataFrame:
                       F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _across(filed: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, places: int,
-            piece: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be links.
-
-    Nodes outside a bucket's largest component ask all its nodes. Askers and nodes are dealt to
-    pieces, and a task holds one piece of each."""
-    least = least_agreement(percent, places)
+def _dealt_across(filed: DataFrame, nodes: DataFrame, roots: DataFrame, piece: int) -> DataFrame:
+    """(bucket, shard, ask, role, node, root, main, n, sketch, buckets) of the buckets that hold nodes of
+    several components. Nodes outside a bucket's largest component ask (role 2) all its nodes
+    (role 1). Both are dealt to pieces, by number and by size of sets, and a task holds one of each."""
     own = filed.select("bucket", "node").join(
         roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn(
-            "root", F.coalesce("root", "node"))
-    parts = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+            "root", F.coalesce("root", "node")).join(nodes, "node")
+    parts = own.groupBy("bucket", "root").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("n").alias("elements"))
     mixed = parts.groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"),
-        F.max(F.struct("n", "root")).alias("most")).where(F.col("parts") > 1)
+        F.sum("count").alias("count"), F.sum("elements").alias("elements"),
+        F.count(F.lit(1)).alias("parts"),
+        F.max(F.struct("count", "root", "elements")).alias("most")).where(F.col("parts") > 1)
+
+    def pieces(count: Column, elements: Column) -> Column:
+        return F.greatest(F.ceil(count / piece), F.ceil(elements / (piece * ELEMENTS_EACH))).cast("int")
+
     several = mixed.select(
         "bucket", F.col("most.root").alias("main"),
-        F.ceil(F.col("n") / piece).cast("int").alias("pieces"),
-        F.ceil((F.col("n") - F.col("most.n")) / piece).cast("int").alias("ask_pieces"))
-    here = own.join(several, "bucket").join(nodes.select("node", "n", "sketch"), "node")
+        pieces(F.col("count"), F.col("elements")).alias("pieces"),
+        pieces(F.col("count") - F.col("most.count"), F.col("elements") - F.col("most.elements"))
+        .alias("ask_pieces"))
+    here = own.join(several, "bucket")
     shard, ask = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("pieces", "ask_pieces"))
-    columns = ["bucket", "shard", "ask", "role", "node", "root", "n", "sketch"]
+    columns = ["bucket", "shard", "ask", "role", "node", "root", "main", "n", "sketch", "buckets"]
     targets = here.withColumns({"shard": shard, "role": F.lit(1)}).withColumn(
         "ask", F.explode(F.sequence(F.lit(0), F.col("ask_pieces") - 1))).select(columns)
     askers = here.where(F.col("root") != F.col("main")).withColumns(
         {"ask": ask, "role": F.lit(2)}).withColumn(
             "shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(columns)
+    return targets.union(askers)
+
+
+def _open_pairs(asker: pa.Table, target: pa.Table, percent: int, least: int
+                ) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asker the targets it must be held against, those with most in common first: of
+    another component, with a size and a sketch that allow a link, and in no earlier common bucket.
+    Of two askers only the larger asks."""
+    names, root, main = (np.array(target[c].to_pylist(), "S16") for c in ("node", "root", "main"))
+    n, sketch, bands = target["n"].to_numpy(), _bytes_of(target["sketch"]), _bands_of(target)
+    mine, own_bands = _bytes_of(asker["sketch"]), _bands_of(asker)
+    bucket, sizes = asker["bucket"][0].as_py(), asker["n"].to_numpy()
+    for i in range(len(asker)):
+        me, m = np.bytes_(asker["node"][i].as_py()), sizes[i]
+        open_ = np.flatnonzero(
+            (root != np.bytes_(asker["root"][i].as_py())) & ((root == main) | (names < me))
+            & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+        agree = (sketch[open_] == mine[i]).sum(axis=1)
+        open_, agree = open_[agree >= least], agree[agree >= least]
+        if len(open_):
+            first = own_bands[i][(bands[open_] == own_bands[i]).argmax(axis=1)]
+            open_, agree = open_[first == bucket], agree[first == bucket]
+        if len(open_):
+            yield i, open_[np.argsort(-agree, kind="stable")]
 
-    def run(table: pa.Table) -> pa.Table:
+
+def _bands_of(table: pa.Table) -> np.ndarray:
+    return np.array(table["buckets"].to_pylist(), np.int64)
+
+
+_DEALT = "bucket long, shard int, ask int, role int, node binary"
+
+
+def _across(filed: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, places: int,
+            piece: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between components, enough to join all that links of shared buckets join.
+
+    A first pass names the nodes of each task that have an open pair there, so that only their
+    sets travel; the second compares sets and leaves out what its own links have joined already."""
+    least, keys = least_agreement(percent, places), ["bucket", "shard", "ask"]
+    dealt = materialize(_dealt_across(filed, nodes, roots, piece), "across")
+
+    def sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
         table = table.combine_chunks()
         role = table["role"].to_numpy()
-        target, asker = (table.filter(pa.array(role == r)) for r in (1, 2))
-        names, roots_ = (np.array(target[c].to_pylist(), "S16") for c in ("node", "root"))
-        n, sketch = target["n"].to_numpy(), _bytes_of(target["sketch"]) if len(target) else None
+        return tuple(table.filter(pa.array(role == r)) for r in (2, 1))
+
+    def concerned(table: pa.Table) -> pa.Table:
+        asker, target = sides(table)
+        ask, hit = np.zeros(len(asker), bool), np.zeros(len(target), bool)
+        if len(asker) and len(target):
+            for i, open_ in _open_pairs(asker, target, percent, least):
+                ask[i] = True
+                hit[open_] = True
+        return pa.concat_tables([asker.filter(pa.array(ask)), target.filter(pa.array(hit))]).select(
+            [*keys, "role", "node"])
+
+    def linked(table: pa.Table) -> pa.Table:
+        asker, target = sides(table)
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while x in up:
+                x = up[x]
+            return x
+
         a, b = [], []
-        for i in range(len(asker) if len(target) else 0):
-            m = asker["n"][i].as_py()
-            open_ = np.flatnonzero((roots_ != np.bytes_(asker["root"][i].as_py()))
-                                   & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            mine = np.frombuffer(asker["sketch"][i].as_py(), np.uint8)
-            near = open_[(sketch[open_] == mine).sum(axis=1) >= least]
-            me = asker["node"][i].as_py()
-            for j in near.tolist():
-                other = target["node"][j].as_py()
-                a.append(min(me, other))
-                b.append(max(me, other))
+        if len(asker) and len(target):
+            held = [target["elements"][j].values.to_numpy() for j in range(len(target))]
+            roots_, names = target["root"].to_pylist(), target["node"].to_pylist()
+            for i, open_ in _open_pairs(asker, target, percent, least):
+                own, me = asker["elements"][i].values.to_numpy(), asker["node"][i].as_py()
+                mine = asker["root"][i].as_py()
+                for j in open_.tolist():
+                    x, y = top(mine), top(roots_[j])
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(own, held[j], assume_unique=True))
+                    if 100 * common >= percent * (len(own) + len(held[j]) - common):
+                        up[max(x, y)] = min(x, y)
+                        a.append(min(me, names[j]))
+                        b.append(max(me, names[j]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return targets.union(askers).groupBy("bucket", "shard", "ask").applyInArrow(
-        run, "a binary, b binary").distinct()
+    named = materialize(dealt.groupBy(*keys).applyInArrow(concerned, _DEALT), "concerned")
+    sets = materialize(sets_of(named.select("node").distinct()), "sets")
+    whole = dealt.join(named, [*keys, "role", "node"]).join(sets, "node")
+    return whole.groupBy(*keys).applyInArrow(linked, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE,
@@ -305,13 +379,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     filed = materialize(filed.join(shared, "bucket"), "filed")
 
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        likely = materialize(pairs, label)
-        return materialize(_confirmed(likely, docs, real, key, text, width, percent), "links")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets(wanted, docs, real, key, text, width)
 
-    links = confirmed(_likely(_centres(filed), nodes, percent, places), "stars")
-    roots = components(links)
-    more = confirmed(_across(filed, nodes, roots, percent, places, piece), "across")
+    likely = materialize(_likely(_centres(filed), nodes, percent, places), "stars")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    sets = materialize(sets_of(ends), "sets")
+    roots = components(materialize(_confirmed(likely, sets, percent), "links"))
+    more = materialize(_across(filed, nodes, roots, percent, places, piece, sets_of), "links")
     # The second round joins components, so its links are held between their roots.
     lifted = more
     for end in ("a", "b"):
