@@ -227,7 +227,8 @@ def _spearman_with_gaps(values, pairs, centre, rows_per_range) -> list[DataFrame
                                  F.sum(da * db).alias("ab")).alias(f"{a}_{b}"))
         found = [F.col(f"{a}_{b}") for a, b in part]
         parts.append(C.one_row_to_rows(ranks.agg(*sums), [
-            _pair_row(a, b, _cosine(s["ab"], s["aa"], s["bb"])) for (a, b), s in zip(part, found)]))
+            _pair_row(a, b, F.when((s["aa"] > 0) & (s["bb"] > 0), _cosine(s["ab"], s["aa"], s["bb"])))
+            for (a, b), s in zip(part, found)]))
     return parts
 
 
