@@ -151,19 +151,26 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
             known: Mapping[str, Column] | None = None, into: str = "rejected_by") -> DataFrame:
     """Add the name of the first rule that rejects a document, null for a document that is kept.
 
-    `rules` in the order to try them (default: `rule_order` of RULES). Nearly all of them need
-    the words, which are split once; everything else is computed when a rule is reached. `known`
-    names the features instead, if the frame already holds some. A null text is an empty one, an empty table stays empty,
+    `rules` in the order to try them (default: `rule_order` of RULES, which measures and may change
+    from run to run: it never changes whether a document is kept, but may change which of several
+    rules is named). The words are split once, inside the verdict, so that a filter on it holds no
+    second split; everything else is computed when a rule is reached. `known` names the features
+    instead, if the frame already holds some. A null text is an empty one, an empty table stays empty,
     repeated rows are judged alike, and all columns are kept (`into` replaces one of its name)."""
     if rules is None:
         rules = [m.rule for m in rule_order(docs, text=text)]
-    words = free_name(docs, "_words")
-    split = docs if known is not None else docs.withColumn(words, words_of(F.col(text)))
-    found = known if known is not None else features(F.col(text), F.col(words))
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(list(rules)):
-        verdict = F.when(rule.rejects(found), F.lit(rule.name)).otherwise(verdict)
-    return split.withColumn(into, verdict).drop(words)
+    tried = list(rules)
+
+    def verdict(found: Mapping[str, Column]) -> Column:
+        named = F.lit(None).cast("string")
+        for rule in reversed(tried):
+            named = F.when(rule.rejects(found), F.lit(rule.name)).otherwise(named)
+        return named
+
+    if known is not None:
+        return docs.withColumn(into, verdict(known))
+    return docs.withColumn(into, let(
+        words_of(F.col(text)), lambda words: verdict(features(F.col(text), words))))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None,
