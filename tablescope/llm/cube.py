@@ -224,17 +224,18 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         **options) -> DataFrame:
     """The rows of the mix with their columns, each as often as the plan takes it."""
     plan = mix_plan(docs, key, source, text, **options)
-    unit, place = free_name(docs, "_unit"), free_name(docs, "_place")
+    unit, place, wish, share = (
+        free_name(docs, name) for name in ("_unit", "_place", "_wanted", "_plan"))
     # A struct compares its nulls as equal, so one key serves for rows without id or source.
     rows = docs.withColumn(unit, F.struct(
         F.col(key), F.col(source).cast("string"), word_count(F.col(text))))
     wanted = plan.where("copies > 0").select(
-        F.struct(F.col("unit"), F.col("source"), F.col("size")).alias("wanted"),
-        F.struct("copies", "rows").alias("plan"))
-    joined = rows.join(wanted, rows[unit] == wanted.wanted)
+        F.struct(F.col("unit"), F.col("source"), F.col("size")).alias(wish),
+        F.struct("copies", "rows").alias(share))
+    joined = rows.join(wanted, F.col(unit) == F.col(wish))
     repeated = Window.partitionBy(unit).orderBy(F.col(text))
-    copies = (F.floor(F.col("plan.copies") / F.col("plan.rows"))
-              + (F.col(place) <= F.col("plan.copies") % F.col("plan.rows")).cast("long"))
+    taken, equal = F.col(f"{share}.copies"), F.col(f"{share}.rows")
+    copies = F.floor(taken / equal) + (F.col(place) <= taken % equal).cast("long")
     return (joined.withColumn(place, F.row_number().over(repeated))
             .withColumn(place, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-            .select(*docs.columns))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

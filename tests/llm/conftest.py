@@ -3,7 +3,8 @@ import pytest
 from ..conftest import SMALL
 
 #: Columns an operator might use for itself, in a table that has them already.
-CLASHING = ["n_words", "shard", "slot", "_group", "_unit", "rejected_by", "key", "row", "spans"]
+CLASHING = ["n_words", "shard", "slot", "_group", "_unit", "rejected_by", "key", "row", "spans",
+            "wanted", "plan", "node", "label", "term", "data", "digest"]
 
 
 @pytest.fixture(scope="session")
