@@ -82,7 +82,8 @@ def _mark(text: str) -> Column:
 
 
 def _marked(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc_id, mark, fp)."""
+    """(doc_id, mark, fp); ids keep their type."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +93,9 @@ def _marked(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
                 names=["doc_id", "mark", "fp"])
 
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), _mark(text).alias("mark"),
+    narrow = docs.select(F.col(key).alias("doc_id"), _mark(text).alias("mark"),
                          text_bytes(F.col(text)).alias("data"))
-    return for_python(narrow).mapInArrow(run, "doc_id long, mark long, fp long")
+    return for_python(narrow).mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 class Forest:
@@ -269,7 +270,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prints, named = _linked(docs, key, text, width, radius, SHARD)
     keep = prints.where(F.col("doc_id").isNotNull()).join(named, "fp").groupBy("root").agg(
         F.min(F.struct("doc_id", "fp", "mark")).alias("kept")).select(
-            F.col("kept.doc_id").cast(docs.schema[key].dataType).alias(key),
+            F.col("kept.doc_id").alias(key),
             F.col("kept.mark").alias("mark"))
     mark = free_name(docs, "mark")
     named_rows = docs.where(F.col(key).isNotNull()).withColumn(mark, _mark(text)).join(
