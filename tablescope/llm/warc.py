@@ -179,6 +179,10 @@ class _Page(HTMLParser):
         if self.hidden and self.hidden[-1][1] == "head":
             self._end("head")
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Whatever begins with `<![` ends at the next `>`, as browsers have it."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         known = dict(attrs)
         if tag == "html":

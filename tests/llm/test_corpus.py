@@ -129,6 +129,7 @@ def test_suffix_query(spark, texts):
 def test_repeats_of_short_strings(spark, monkeypatch, shard_bytes, stretch):
     """Small alphabets, overlaps, repeats inside one text, common pieces; several small shards."""
     monkeypatch.setattr(suffixes, "QUEUE_BYTES", 64)
+    monkeypatch.setattr(suffixes, "UNPACKED_BYTES", 64 if stretch > 64 else 4 << 20)
     monkeypatch.setattr(suffixes, "COMMON_DOCS", 4)
     monkeypatch.setattr(suffixes, "_STRETCH", stretch)
     rng = random.Random(shard_bytes)
@@ -527,3 +528,28 @@ def test_pipeline_stages(spark, documents, odd):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SMALL).collect()
         assert stage(spark, odd.where("false"), SMALL).collect() == []
+
+
+def test_fingerprints_keep_the_type_of_ids(spark):
+    text = sentence(71, 90)
+    rows = [("d0", text), ("d1", text), ("d2", sentence(72, 90)), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.simhash_report(df).collect()}
+    assert found == {"d0": "d0", "d1": "d0", "d2": "d2", None: None}
+    assert sorted(str(r["doc_id"]) for r in simhash.drop_near_copies(df).collect()) == [
+        "None", "d0", "d2"]
+
+
+def test_any_page_is_read():
+    """Broken declarations, sections and tags in any mixture: nothing raises, plain text stays."""
+    assert warc.read_page("<p>a<![>b")[0] == "ab"
+    assert warc.read_page("one<![foo[x]]>two")[0] == "onetwo"
+    assert warc.read_page("a<!x>b<!-- c -->d")[0] == "abd"
+    rng = random.Random(7)
+    parts = ["<![", "<!", "<!--", "-->", "<![CDATA[", "]]>", "<!DOCTYPE", "<!ELEMENT", "<?x", "</", "<",
+             ">", "<p", "<p>", "<a href='", "'", '"', "&", "&#x", ";", "<script>", "</script>",
+             "<title>", "<head>", "<svg>", "[", "]", " word ", "\n", "\0", "é"]
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        text, title, lang, links = warc.read_page(page)
+        assert isinstance(text, str) and isinstance(title, str)
