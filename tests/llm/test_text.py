@@ -21,7 +21,7 @@ from .conftest import LONG, ROWS, sentence
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = QUERIES[name](spark, SMALL)
     cursor = con.execute(SQL[name])
@@ -209,7 +209,7 @@ def test_decontamination(spark, odd, nothing):
             wants = [plain.contaminated(t, ITEMS) for t in by[r["doc_id"]]]
             ids = [(n, len(h), [i for i in f if i != "None"]) for n, h, f in wants]
             assert (r["n_words"], r["n_hit"], r["items"]) in ids
-    clean = decontaminate.drop_contaminated(docs, bench)
+    clean = decontaminate.drop_contaminated(docs, bench, limit=limit)
     assert clean.columns == docs.columns
     gone = {r["doc_id"] for r in rows if r["contaminated"]}
     assert {r["doc_id"] for r in clean.collect()} == set(by) - gone and 9 in gone and 8 in gone
@@ -222,3 +222,10 @@ def test_original_spans():
     found = decontaminate.Scanner([b"quick BROWN fox"]).scan(text)
     (start, end), = decontaminate.original_spans(text, found.runs)
     assert text.decode()[start:end] == "QUICK brown-fox"
+
+
+def test_words_are_split_once(documents):
+    """The verdict holds the words; a filter on it must not split them for every rule."""
+    kept = quality.keep_good(documents, quality.RULES)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ELSE split(trim(") == 1
