@@ -24,6 +24,7 @@ PRIMARY_FACETS = 7
 TOP_CATEGORIES = 20
 HISTOGRAM_BINS = 30
 SAMPLE_ROWS = 10
+# Names of the levels of detail, and how many rows each shows.
 DRILL_ROWS = {"Summary": 5, "Top 10": 10, "Detailed": None}
 _FACET = (
     "position int, column string, kind string, primary boolean, importance double, "

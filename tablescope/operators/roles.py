@@ -15,6 +15,10 @@ from ..functions.counts import distinct_counts
 from .inference import TableSchema, text_shares
 
 # Parts of a name that mark a numeric identifier.
+# How a report names the reasons for calling a column an identifier.
+BY_NAME, BY_SHARE, BY_SHARE_OF_TEXT = (
+    "name_contains_id", "high_cardinality_{:.1%}", "high_cardinality_categorical")
+
 IDENTIFIER_WORDS = ("id", "postal", "code")
 IDENTIFIER_SHARE = 0.9
 MAX_DIMENSION_VALUES = 50
@@ -69,9 +73,9 @@ def infer_column_semantics(
         share = known[c] / rows
         why = []
         if any(w in c.lower() for w in IDENTIFIER_WORDS):
-            why.append("name_contains_id")
+            why.append(BY_NAME)
         if share > IDENTIFIER_SHARE:
-            why.append(f"high_cardinality_{share:.1%}")
+            why.append(BY_SHARE.format(share))
         if why:
             identifiers.append(c)
             reasons[c] = why
@@ -81,7 +85,7 @@ def infer_column_semantics(
         share = known[c] / rows
         if share > IDENTIFIER_SHARE:
             identifiers.append(c)
-            reasons[c] = ["high_cardinality_categorical", f"{share:.1%}"]
+            reasons[c] = [BY_SHARE_OF_TEXT, f"{share:.1%}"]
         elif known[c] < MAX_DIMENSION_VALUES:
             dimensions.append(c)
 
