@@ -30,7 +30,9 @@ from .minima import least_places
 
 LENGTH = 400
 PIECE = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Unpacked text of what a task hands on at once; packed rows may hold many times their size.
+UNPACKED_BYTES = 4 << 20
 QUEUE_BYTES = 128 << 20
 SAMPLE_DOCS = 2000
 COMMON_DOCS = 10
@@ -191,17 +193,25 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
     common = spark.sparkContext.broadcast(_common_pieces(spark, base))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def filed_of(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64())
+                 for c in out], names=["row", "piece", "first", "last", "before", "after"])
+
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            size = 0
             for row, packed in zip(batch.column(0), batch.column(1)):
                 data = zstandard.decompress(packed.as_py())
                 for found in segments(data, common.value, length):
                     values = (np.full(len(found[0]), row.as_py()), *found)
                     for column, value in zip(out, values):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64())
-                 for c in out], names=["row", "piece", "first", "last", "before", "after"])
+                size += len(data)
+                if size >= UNPACKED_BYTES:
+                    yield filed_of(out)
+                    out, size = [[], [], [], [], [], []], 0
+            yield filed_of(out)
 
     filed = materialize(base.select("row", "packed").mapInArrow(
         file, "row long, piece long, first long, last long, before long, after long"), "segments")
@@ -218,9 +228,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+
+        def cut_of(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(),
+                                                      pa.int64(), pa.binary()))],
+                names=["piece", "mark", "row", "first", "segment"])
+
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for row, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            size = 0
+            for row, packed, runs in zip(*batch.columns):
+                row, packed, runs = row.as_py(), packed.as_py(), runs.as_py()
                 data = zstandard.decompress(packed)
                 for r in runs:
                     segment = data[r["first"]:r["last"] + length]
@@ -230,12 +249,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     # A task sends each distinct segment once; the memory for that is bounded.
                     if len(seen) < 1_000_000:
                         seen.add(mark)
+                    size += 0 if values[4] is None else len(segment)
                     for column, value in zip(out, values):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(),
-                                                      pa.int64(), pa.binary()))],
-                names=["piece", "mark", "row", "first", "segment"])
+                    if size >= UNPACKED_BYTES:
+                        yield cut_of(out)
+                        out, size = [[], [], [], [], []], 0
+            yield cut_of(out)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(shard: _Shard) -> pa.RecordBatch:
@@ -285,19 +305,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept_of(batch: pa.RecordBatch, sizes: list, cuts: list, kept: list, at: int
+                    ) -> pa.RecordBatch:
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            return pa.RecordBatch.from_arrays([
+                batch.column(0).slice(at - len(sizes), len(sizes)), pa.array(sizes, pa.int64()),
+                pa.array(cuts, spans), pa.array(kept, pa.binary())],
+                names=["key", "n_bytes", "spans", "kept"])
+
         for batch in batches:
             sizes, cuts, kept = [], [], []
-            for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = zstandard.decompress(packed)
-                runs = _merge(found)
+            for at, (packed, found) in enumerate(zip(batch.column(1), batch.column(2))):
+                data = zstandard.decompress(packed.as_py())
+                runs = _merge(found.as_py())
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 sizes.append(len(data))
                 cuts.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()),
-                pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(kept, pa.binary())], names=["key", "n_bytes", "spans", "kept"])
+                if sum(sizes) >= UNPACKED_BYTES:
+                    yield kept_of(batch, sizes, cuts, kept, at + 1)
+                    sizes, cuts, kept = [], [], []
+            yield kept_of(batch, sizes, cuts, kept, batch.num_rows)
 
     return base.join(spans, "row", "left").select("key", "packed", "spans").mapInArrow(
         run, f"`key` {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
