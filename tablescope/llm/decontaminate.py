@@ -7,7 +7,7 @@ in the original and every match can be given in characters of the original."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import for_python, text_bytes
+from .common import for_python, free_name, materialize, text_bytes
 
 WINDOW = 13
 #: Benchmark text in one automaton, and so the bound of what one broadcast holds.
@@ -96,20 +97,66 @@ def original_spans(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(before[edge[2 * a]]), int(before[edge[2 * b + 1]])) for a, b in runs]
 
 
-def _automata(benchmark: DataFrame, item: str, text: str, limit: int) -> list:
-    """Broadcasts of (ids, texts), each of about `limit` bytes at most."""
-    spark = benchmark.sparkSession
-    data = text_bytes(F.col(text))
-    rows = benchmark.select(F.col(item).cast("string").alias("id"), data.alias("data"))
-    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(1, -(-size // limit))
-    part = F.pmod(F.xxhash64("id", "data"), F.lit(parts))
-    shared = []
-    for k in range(parts):
-        some = rows.where(part == k).orderBy("id", "data").collect()
-        shared.append(spark.sparkContext.broadcast(
-            {"ids": [r["id"] for r in some], "texts": [bytes(r["data"]) for r in some]}))
-    return shared
+class Parts:
+    """The benchmark in parts of about `limit` bytes, of which one at a time is collected,
+    broadcast and built into an automaton."""
+
+    def __init__(self, benchmark: DataFrame, item: str, text: str, limit: int):
+        self.rows = benchmark.select(F.col(item).cast("string").alias("id"),
+                                     text_bytes(F.col(text)).alias("data"))
+        size = self.rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        self.count = max(1, -(-size // limit))
+
+    def shared(self, k: int):
+        """Broadcast (ids, texts) of a part."""
+        part = F.pmod(F.xxhash64("id", "data"), F.lit(self.count))
+        some = self.rows.where(part == k).orderBy("id", "data").collect()
+        return self.rows.sparkSession.sparkContext.broadcast(
+            {"ids": [r["id"] for r in some], "texts": [bytes(r["data"]) for r in some]})
+
+    def scanned(self, df: DataFrame, text: str, last: Callable, schema: T.StructType) -> DataFrame:
+        """`last(batch, found)` over batches, with what each text holds of all parts: its number of
+        words, runs and item ids. Every part but the last is a pass of its own, whose findings are
+        written beside the rows, and its broadcast ends with it."""
+        runs, ids = free_name(df, "_runs"), free_name(df, "_ids")
+        place, width = df.columns.index(text), len(df.columns)
+        kinds = T.StructType([
+            *df.schema.fields, T.StructField(runs, T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField(ids, T.ArrayType(T.StringType()))])
+
+        def texts(batch: pa.RecordBatch, one) -> list[tuple[Found, list[str | None]]]:
+            scanner, names = _scanner(one)
+            found = [scanner.scan(t.as_py() or b"") for t in batch.column(place).cast(pa.binary())]
+            out = [(f, [names[i] for i in f.items]) for f in found]
+            if batch.num_columns == width:
+                return out
+            earlier = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())
+            return [(Found(f.words, _merged([*f.runs, *map(tuple, old)]), set()), [*mine, *named])
+                    for (f, mine), (old, named) in zip(out, earlier)]
+
+        def passing(one):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    found = texts(batch, one)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[:width],
+                         pa.array([f.runs for f, _ in found], pa.list_(pa.list_(pa.int64()))),
+                         pa.array([sorted(set(named), key=str) for _, named in found],
+                                  pa.list_(pa.string()))],
+                        names=[*batch.schema.names[:width], runs, ids])
+            return run
+
+        for k in range(self.count - 1):
+            one = self.shared(k)
+            df = materialize(for_python(df).mapInArrow(passing(one), kinds), "scanned")
+            one.destroy()
+        one = self.shared(self.count - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield last(batch.select(range(width)), texts(batch, one))
+
+        return for_python(df).mapInArrow(run, schema)
 
 
 def _scanner(shared) -> tuple[Scanner, list]:
@@ -120,9 +167,9 @@ def _scanner(shared) -> tuple[Scanner, list]:
     return value["scanner"], value["ids"]
 
 
-def _merged(found: list[Found]) -> list[tuple[int, int]]:
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     runs: list[tuple[int, int]] = []
-    for a, b in sorted(r for f in found for r in f.runs):
+    for a, b in sorted(found):
         if runs and a <= runs[-1][1] + 1:
             runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
         else:
@@ -140,43 +187,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """Per document: key, n_words, n_hit, items (sorted as strings), contaminated, and the spans
     of the hit words in characters of the text.
 
-    Benchmark text beyond `limit` bytes is dealt to several automata, which a document passes
-    one after the other. A null text has no words; an item without words or with a null text has
-    no windows; an item without id counts its hits but is not listed; repeated items are listed
-    once; an empty benchmark finds nothing. Other columns are ignored."""
-    shared = _automata(benchmark, item, item_text, limit)
-    schema = f"`key` {docs.schema[key].dataType.simpleString()}, {_SCHEMA}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in
-                                    ("n_words", "n_hit", "items", "contaminated", "spans")}
-            for value in batch.column(1):
-                data = value.as_py()
-                found, ids = [], set()
-                for one in shared:
-                    scanner, names = _scanner(one)
-                    f = scanner.scan(data)
-                    found.append(f)
-                    ids.update(names[i] for i in f.items)
-                whole = Found(found[0].words, _merged(found), set())
-                out["n_words"].append(whole.words)
-                out["n_hit"].append(whole.hit)
-                out["items"].append(sorted(i for i in ids if i is not None))
-                out["contaminated"].append(whole.contaminated)
-                out["spans"].append([{"start": a, "end": b}
-                                     for a, b in original_spans(data, whole.runs)])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(out["n_words"], pa.int64()),
-                pa.array(out["n_hit"], pa.int64()),
-                pa.array(out["items"], pa.list_(pa.string())),
-                pa.array(out["contaminated"], pa.bool_()),
-                pa.array(out["spans"], pa.list_(pa.struct(
-                    [("start", pa.int64()), ("end", pa.int64())])))],
-                names=["key", *out])
+    Benchmark text beyond `limit` bytes is dealt to several automata, one of which is held at a
+    time: the documents pass them one after the other. A null text has no words; an item without
+    words or with a null text has no windows; an item without id counts its hits but is not listed;
+    repeated items are listed once; an empty benchmark finds nothing. Other columns are ignored."""
+    schema = T.StructType.fromDDL(f"`key` {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
+
+    def last(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        out: dict[str, list] = {n: [] for n in
+                                ("n_words", "n_hit", "items", "contaminated", "spans")}
+        for value, (whole, ids) in zip(batch.column(1), found):
+            out["n_words"].append(whole.words)
+            out["n_hit"].append(whole.hit)
+            out["items"].append(sorted({i for i in ids if i is not None}))
+            out["contaminated"].append(whole.contaminated)
+            out["spans"].append([{"start": a, "end": b}
+                                 for a, b in original_spans(value.as_py(), whole.runs)])
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array(out["n_words"], pa.int64()),
+            pa.array(out["n_hit"], pa.int64()),
+            pa.array(out["items"], pa.list_(pa.string())),
+            pa.array(out["contaminated"], pa.bool_()),
+            pa.array(out["spans"], pa.list_(pa.struct(
+                [("start", pa.int64()), ("end", pa.int64())])))],
+            names=["key", *out])
 
     narrow = docs.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("data"))
-    return for_python(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)
+    parts = Parts(benchmark, item, item_text, limit)
+    return parts.scanned(narrow, "data", last, schema).withColumnRenamed("key", key)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -191,16 +229,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                       item: str = "item_id", item_text: str = "text",
                       limit: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns kept; nothing is shuffled."""
-    shared = _automata(benchmark, item, item_text, limit)
-    place = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = []
-            for value in batch.column(place).cast(pa.binary()):
-                data = value.as_py() or b""
-                found = [_scanner(one)[0].scan(data) for one in shared]
-                clean.append(not Found(found[0].words, _merged(found), set()).contaminated)
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return for_python(docs).mapInArrow(run, docs.schema)
+
+    def last(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not f.contaminated for f, _ in found], pa.bool_()))
+
+    return Parts(benchmark, item, item_text, limit).scanned(docs, text, last, docs.schema)
