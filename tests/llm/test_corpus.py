@@ -284,6 +284,31 @@ def test_every_five_words_in_a_row_are_a_seed(spark):
     assert {(r["other_id"], r["doc_id"]) for r in found} == {(2 * k, 2 * k + 1) for k in range(20)}
 
 
+@pytest.mark.parametrize("length, cutting, step", [(60, 25, 9), (50, 25, 9), (60, 40, 9), (60, 25, 7)])
+def test_cuttings_hide_no_fuzzy_passage(spark, length, cutting, step):
+    """Recall of pairs that share a passage with every step-th word changed, while cuttings of it
+    stand before, between and after them, so that each seed has other first, last and next holders."""
+    count, rows, pairs = 20, [], {k: [] for k in range(20)}
+
+    def add(inside):
+        rows.append((len(rows), f"{sentence(10_000 + 2 * len(rows), 60)} {' '.join(inside)} "
+                                f"{sentence(10_001 + 2 * len(rows), 60)}"))
+        return len(rows) - 1
+
+    for part in range(5):
+        for k in range(count):
+            passage = sentence(100 + k, length).split()
+            if part % 2 == 0:
+                for at in range(0, length - cutting + 1, 5):
+                    add(passage[at:at + cutting])
+            else:
+                pairs[k].append(add(passage if part == 1 else [
+                    f"new{k}x{i}" if i % step == step - 1 else w for i, w in enumerate(passage)]))
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["other_id"], r["doc_id"]) for r in found}
+    assert sum(tuple(p) in got for p in pairs.values()) >= 0.9 * count
+
+
 def test_two_passages_of_one_pair(spark):
     """Equal headers and footers round bodies that differ."""
     rows = [(k, f"{sentence(3, 60)} {sentence(10 + k, 100)} {sentence(4, 60)}") for k in range(4)]
