@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -309,6 +310,37 @@ def test_cuttings_hide_no_fuzzy_passage(spark, length, cutting, step):
     assert sum(tuple(p) in got for p in pairs.values()) >= 0.9 * count
 
 
+def test_packed_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5_000):
+        hashes = np.unique(rng.integers(0, 1 << chaining.SEED_BITS, n))
+        counts = rng.integers(1, 4, len(hashes))
+        back = chaining.unpack_hashes(chaining.pack_hashes(hashes, counts))
+        assert (back[0] == hashes).all() and (back[1] == counts).all()
+
+
+@pytest.mark.parametrize("size", [16 << 20, 200])
+def test_shared_seeds(spark, monkeypatch, size):
+    """All chunks and buckets, against one list of all seeds; a seed twice in one text is not
+    shared."""
+    monkeypatch.setattr(chaining, "BUCKET_BYTES", size)
+    texts = [sentence(k % 7, 40) if k % 3 else f"{sentence(9, 12)} {sentence(k + 20, 30)}"
+             for k in range(40)] + [f"{sentence(99, 9)} x {sentence(99, 9)}", "", "a b"]
+    packed = [(k // 6, k, len(t), bytearray(zstandard.compress(t.encode())))
+              for k, t in enumerate(texts)]
+    base = spark.createDataFrame(packed, "chunk long, row long, size long, packed binary")
+    found = sorted(tuple(r) for r in chaining.shared_seeds(base).select(
+        "row", "place", "many").collect())
+    words = [t.split() for t in texts]
+    holders = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - 4):
+            holders.setdefault(tuple(w[i:i + 5]), set()).add(k)
+    assert found == sorted((k, i, int(len(holders[tuple(w[i:i + 5])]) > 2))
+                           for k, w in enumerate(words) for i in range(len(w) - 4)
+                           if len(holders[tuple(w[i:i + 5])]) > 1)
+
+
 def test_two_passages_of_one_pair(spark):
     """Equal headers and footers round bodies that differ."""
     rows = [(k, f"{sentence(3, 60)} {sentence(10 + k, 100)} {sentence(4, 60)}") for k in range(4)]
