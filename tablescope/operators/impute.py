@@ -144,11 +144,13 @@ def _fill_by_entity(df, time_column, tie_breaks, rows, gaps, rows_per_range, ent
     ])
     inner = Window.partitionBy(RANGE, *map(col, entity)).orderBy(*ranged.order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    after = inner.rowsBetween(1, Window.unboundedFollowing)
+    # Where nothing came before, the first value of all is the next one. A frame that starts at each
+    # row would be read to its end for each row.
+    all_of = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inside = ranged.df.withColumns({
         f"_{side}{i}": find(col(c), ignorenulls=True).over(window)
         for i, c in enumerate(gaps)
-        for side, find, window in (("local", F.last, upto), ("next", F.first, after))})
+        for side, find, window in (("local", F.last, upto), ("next", F.first, all_of))})
     met = (F.col(RANGE) == F.col("_into"))
     for c, k in zip(entity, keys):
         met = met & col(c).eqNullSafe(F.col(k))

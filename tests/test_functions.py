@@ -137,6 +137,14 @@ def test_fill_by_entity(spark, frame, per_range):
     assert got == {i: tuple(v) for i, v in want.items()}
 
 
+def test_fill_by_entity_reads_no_frame_anew_for_each_row(spark):
+    """A frame from each row to the end of its entity costs the square of the entity's rows."""
+    df = spark.range(100).selectExpr("id % 2 AS who", "id AS t", "nullif(id % 3, 0) AS v")
+    plan = ts.fill_along_time(df, "t", partition_by="who")._jdf.queryExecution().optimizedPlan()
+    frames = [part.split(")")[0] for part in plan.toString().split("specifiedwindowframe(")[1:]]
+    assert frames and all("unboundedpreceding" in f for f in frames)
+
+
 def test_fill_by_entity_of_nothing(frame):
     df = frame([], "who string, t int, v double")
     assert ts.fill_along_time(df, "t", partition_by=["who"]).collect() == []
