@@ -225,6 +225,16 @@ def test_join_grid_is_one_join_without_broadcast_of_rows(spark, frame):
     assert "_skew_i" in next(line for line in joins if "FullOuter" in line)
 
 
+def test_join_cuts_keys_whose_rows_on_both_sides_multiply(spark):
+    """Half a percent of the rows on either side, yet a million rows of the result and more."""
+    left = spark.range(300_000).selectExpr("CASE WHEN id % 200 > 0 THEN id END AS k", "id AS x")
+    right = spark.range(300_000).selectExpr("CASE WHEN id % 200 > 0 THEN -id END AS k", "id AS y")
+    df = skew_join(left, right, ["k"], "outer", large_bytes=1)
+    assert "_skew_i" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.agg(F.count("*"), F.count("k"), F.count_distinct("x"), F.count_distinct("y")).first()
+    assert tuple(got) == (1500 * 1500 + 2 * 298_500, 2 * 298_500, 300_000, 300_000)
+
+
 def test_hot_keys_and_attach(frame):
     df = frame([(1.0, i) for i in range(500)] + [(float(i), i) for i in range(2, 300)],
                "k double, i int")
