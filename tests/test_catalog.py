@@ -76,3 +76,14 @@ def test_session_zone_plays_no_part(spark, sql, zone):
         assert str(epoch["t"]) == "1970-01-01 00:00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_late_text_numbers_its_rows(spark, tmp_path):
+    """The first 500 rows by key stay numbers, whatever share of the keys they hold."""
+    from catalog import QUERIES
+
+    spark.range(1, 1301).selectExpr("9 * id AS o_orderkey").repartition(3).write.parquet(
+        str(tmp_path / "orders.parquet"))
+    got = QUERIES["b4_convert_late_text"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [
+        (9 * i, f"{9 * i}" if i <= 500 else f"code-{9 * i}") for i in range(1, 1301)]
