@@ -27,6 +27,7 @@ _GAPPY_PAIRS_PER_PASS = 10
 _GAPPY_MEANS_PER_PASS = 40
 _SHARED_PER_PASS = 200
 _FEW_PASSES = 2
+_FEW_VALUES = 20_000    # tables of so many ranks are sent to the rows
 
 
 def compute_correlation(
@@ -206,22 +207,25 @@ def _spearman_with_gaps(values, pairs, centre, rows_per_range) -> list[DataFrame
             if same is None:
                 kinds.append(b)
             place[a, b] = kinds.index(same or b)
+    sizes = values.agg(*[F.approx_count_distinct(a).alias(a) for a in used]).first()
+    few = {a for a in used if sizes[a] <= _FEW_VALUES}
+    whole = "int" if rows < 1 << 30 else "bigint"
     ranks = values.select(*used)
-    for a in used:
+    for a in sorted(used, key=lambda a: a in few):
         counts = running_counts_beside(
             values, a, beside[a], rows=rows, rows_per_range=rows_per_range)
         table = counts.select(a, F.array(*[
-            F.col(f"before{i}") + (F.col(f"n{i}") + 1) / 2 for i in range(len(beside[a]))
-        ]).alias(f"rank_{a}"))
+            (2 * F.col(f"before{i}") + F.col(f"n{i}") + 1).cast(whole)
+            for i in range(len(beside[a]))]).alias(f"rank_{a}"))
         ranks = attach(ranks, table, a, rows=rows, like=values.where(F.col(a).isNotNull()),
-                       missing=True)
+                       missing=True, few=a in few).drop(a)
     parts = []
     for part in C.chunks(pairs, _GAPPY_PAIRS_PER_PASS):
         sums = []
         for a, b in part:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            both = F.col(f"rank_{a}").isNotNull() & F.col(f"rank_{b}").isNotNull()
             middle = F.lit((shared[a, b] + 1) / 2)
-            da, db = (F.when(both, F.get(F.col(f"rank_{x}"), F.lit(place[x, y])) - middle)
+            da, db = (F.when(both, F.get(F.col(f"rank_{x}"), F.lit(place[x, y])) / 2 - middle)
                       for x, y in ((a, b), (b, a)))
             sums.append(F.struct(F.sum(da * da).alias("aa"), F.sum(db * db).alias("bb"),
                                  F.sum(da * db).alias("ab")).alias(f"{a}_{b}"))

@@ -312,6 +312,18 @@ def test_pair_without_spread_on_shared_rows(frame, monkeypatch):
             assert got["corr"] is None
 
 
+def test_ranks_of_few_values_are_sent_to_the_rows(spark):
+    """Columns with gaps: only one with many values moves the rows."""
+    df = spark.range(60_000).selectExpr(
+        "nullif(id % 7, 3) AS a", "nullif(id % 5, 1) AS b", "nullif(id, 9) AS c")
+    corr = ts.compute_correlation(df, method="spearman")
+    plan = corr._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    ranks = df.where("a IS NOT NULL AND b IS NOT NULL").toPandas().rank()
+    got = corr.where("col_a = 'a' AND col_b = 'b'").first()["corr"]
+    assert got == pytest.approx(ranks["a"].corr(ranks["b"]), abs=1e-9)
+
+
 def test_correlation_of_no_numbers_and_unknown_method(frame):
     assert ts.compute_correlation(frame([("a",)], "c string")).isEmpty()
     with pytest.raises(ValueError):
