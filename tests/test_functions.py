@@ -308,3 +308,19 @@ def test_distinct_counts_of_long_text(frame):
     assert top_values(more, ["t", "v"]) == {"t": (long + "3", 14, 8), "v": ("0.0", 21, 3)}
     approx = {r["column"]: r["unique"] for r in distinct_counts(df, ["t"], approx=True).collect()}
     assert approx == {"t": 8}
+
+
+@pytest.mark.parametrize("start", [70, 256, 300, 5000])
+def test_ties_of_long_texts_are_told_without_a_join(frame, monkeypatch, start):
+    from tablescope.functions.counts import top_values
+
+    same = "x" * start
+    rows = [same + f"h{i:03}" for i in range(90)] * 3 + [same + f"g{i}" for i in range(50)]
+    df = frame([(t, i) for i, t in enumerate(rows)], "t string, i int").select("t")
+
+    def joined(*args):
+        raise AssertionError("texts are joined")
+    monkeypatch.setattr(type(df), "join", joined)
+    assert top_values(df, ["t"]) == {"t": (same + "h000", 3, 140)}
+    more = df.union(frame([(same,)] * 3, "t string"))
+    assert top_values(more, ["t"]) == {"t": (same, 3, 141)}
