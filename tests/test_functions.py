@@ -294,6 +294,25 @@ def test_duplicates_agree_on_every_path(frame, subset, monkeypatch):
     assert quality.duplicate_count(df, subset).first()[0] == len(plain)
 
 
+def test_duplicates_of_hot_keys_stay_spread(spark, frame):
+    """No task gets all rows of a key that half of the rows hold."""
+    from tablescope.operators import quality
+
+    rows = [(None if i % 4 == 1 else float("nan") if i % 4 == 3 else float(i // 8), i)
+            for i in range(4000)]
+    df = frame(rows, "k double, i int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quality.detect_duplicates(df, ["k"], large_bytes=1)
+        assert found.count() == 4000 and found.distinct().count() == 4000
+        places = found.select("k", F.spark_partition_id().alias("place")).where(
+            "k IS NULL OR isnan(k)").groupBy("place").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(places) > 1 and max(r["count"] for r in places) < 1500
+    assert quality.duplicate_count(df, ["k"], large_bytes=1).first()[0] == 4000
+
+
 def test_distinct_counts_of_long_text(frame):
     from tablescope.functions.counts import distinct_counts, top_values, value_counts
 
