@@ -111,6 +111,27 @@ def test_suffix_order():
             assert min(same, 40) == shared[k]
 
 
+def test_common_prefix_looks_far_ahead_once_a_run(monkeypatch):
+    """Places in a row whose suffixes follow places in a row share bytes up to the same end."""
+    rng = np.random.default_rng(4)
+    data = np.tile(rng.integers(0, 250, 5_000).astype(np.uint8), 2)
+    data[7_500] = 251
+    order = induced.suffix_order(np.append(data.astype(np.int16) + 1, 0).astype(np.int16), 400,
+                                 10**9)[1:]
+    looked, far = [], induced._shared
+
+    def counted(*args):
+        looked.append(far(*args))
+        return looked[-1]
+
+    monkeypatch.setattr(induced, "_shared", counted)
+    shared = induced.common_prefix(data, order, 400)
+    assert (np.concatenate(looked) >= 8).sum() < 50 < 4_000 < (shared >= 8).sum()
+    for k in range(1, len(order), 7):
+        a, b = (data[i:i + 400].tobytes().ljust(400, b"\0") for i in (order[k - 1], order[k]))
+        assert shared[k] == next((m for m in range(400) if a[m] != b[m]), 400)
+
+
 def test_least_places():
     rng = np.random.default_rng(2)
     for n, width in ((1, 1), (5, 7), (20, 3), (300, 16), (40, 40)):
