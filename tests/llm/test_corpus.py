@@ -331,6 +331,39 @@ def test_cuttings_hide_no_fuzzy_passage(spark, length, cutting, step):
     assert sum(tuple(p) in got for p in pairs.values()) >= 0.9 * count
 
 
+@pytest.mark.parametrize("part_holders", [2048, 7])
+def test_any_two_holders_of_a_seed_meet(spark, monkeypatch, part_holders):
+    """Fuzzy pairs among cuttings that share nearly all their words, whatever order they stand in:
+    every pair is found, in one part of the grid and in many."""
+    monkeypatch.setattr(chaining, "PART_HOLDERS", part_holders)
+    count, texts, pairs = 8, [], set()
+    for k in range(count):
+        passage = sentence(100 + k, 60).split()
+        cuttings = [passage[at:at + n] for n in (45, 48) for at in range(0, 60 - n + 1, 3)]
+        fuzzy = [f"new{k}x{i}" if i % 9 == 8 else w for i, w in enumerate(passage)]
+        for inside in (*cuttings, passage, *cuttings, fuzzy, *cuttings):
+            n = len(texts)
+            texts.append(f"{sentence(10_000 + 2 * n, 60)} {' '.join(inside)} {sentence(10_001 + 2 * n, 60)}")
+            if inside is passage:
+                held = n
+        pairs.add((held, held + len(cuttings) + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["other_id"], r["doc_id"]) for r in chaining.passages(df).collect()}
+    assert pairs <= got
+
+
+def test_common_line_without_passage(spark):
+    """A line of 20 words that all texts hold gives no anchor: nothing beside it matches."""
+    rows = [(k, f"{sentence(10 + k, 60)} {sentence(3, 20)} {sentence(90 + k, 60)}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert chaining.passages(df).collect() == []
+    far = np.arange(1, 65, dtype=np.uint8)[None, :]
+    equal, other, none = far, far + 100, np.zeros((1, 64), np.uint8)
+    for left, right, want in (((equal, equal), (equal, equal), True), ((none, none), (equal, equal), True),
+                              ((far, other), (far, other), False), ((none, none), (none, none), False)):
+        assert chaining.likely(left, right).tolist() == [want]
+
+
 def test_packed_hashes():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5_000):
