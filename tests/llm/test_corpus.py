@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -364,6 +365,90 @@ def test_common_line_without_passage(spark):
         assert chaining.likely(left, right).tolist() == [want]
 
 
+def test_extensions_of_many():
+    """All rows at once, against one table of scores for each."""
+    rng = np.random.default_rng(5)
+    n, width = 200, chaining.MARGIN
+    a, b = rng.integers(0, 6, (2, n, width))
+    copied = rng.random((n, width)) < rng.random((n, 1))
+    b[copied] = a[copied]
+    for side, beyond in ((a, -1), (b, -2)):
+        side[np.arange(width) >= rng.integers(0, width + 1, n)[:, None]] = beyond
+    want = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = [w for w in x if w >= 0], [w for w in y if w >= 0]
+        best, at, last = 0.0, (0, 0), [-chaining.MISS * j for j in range(len(y) + 1)]
+        for i, w in enumerate(x):
+            row = [last[0] - chaining.MISS]
+            for j, v in enumerate(y):
+                row.append(max(last[j] + (1.0 if w == v else -chaining.MISS),
+                               last[j + 1] - chaining.MISS, row[j] - chaining.MISS))
+                if row[-1] > best:
+                    best, at = row[-1], (i + 1, j + 1)
+            last = row
+        want.append(at)
+    assert [*zip(*(x.tolist() for x in chaining.extensions(a, b)))] == want
+    shared = [sum((Counter(w for w in x if w >= 0) & Counter(y)).values())
+              for x, y in zip(a.tolist(), b.tolist())]
+    assert chaining._in_both(a, b).tolist() == shared
+
+
+def test_pairs_aligned_together():
+    """Passages of many pairs aligned at once are those of each pair by itself."""
+    rng, pairs = random.Random(6), []
+    for k in range(30):
+        passage = [b"p%d" % rng.randrange(500) for _ in range(rng.randrange(40, 200))]
+        other = [w if rng.random() > 0.02 * (k % 8) else b"z%d" % i for i, w in enumerate(passage)]
+        a, b = ([b"%s%d" % (x, i) for i in range(rng.randrange(50))] for x in (b"a", b"b"))
+        a, b = a + passage + a[::-1], b + other[:60] + [b"new"] * rng.randrange(3) + other[60:] + b
+        where = {tuple(a[i:i + 5]): i for i in range(len(a) - 4)}
+        rows = np.array([(0, 1, where[w], i, 5) for i in range(len(b) - 4)
+                         if (w := tuple(b[i:i + 5])) in where])
+        if len(rows):
+            _, _, a0, _, b0, _, sizes, inner = chaining._candidates(rows)[0]
+            anchors = np.frombuffer(inner, "<i4").reshape(-1, 3).astype(np.int64) + [a0, b0, 0]
+            pairs.append((a, b, anchors, np.frombuffer(sizes, "<i4")))
+    found = chaining.passages_of(pairs)
+    assert found == [chaining.passages_of([pair])[0] for pair in pairs]
+    assert sum(map(bool, found)) >= 15
+    for (a, b, *_), passages in zip(pairs, found):
+        for p, q, r, s, matched in passages:
+            assert min(q - p, s - r) >= 50 and matched == chaining.common_words(a[p:q], b[r:s])
+
+
+@pytest.mark.parametrize("many", [1, 64, 1000])
+def test_meeting_loses_no_likely_pair(monkeypatch, many):
+    """Cells of few and of many holders, against `likely` of every two."""
+    monkeypatch.setattr(chaining, "MANY", many)
+    monkeypatch.setattr(chaining, "MET_ROWS", 50)
+    rng = np.random.default_rng(9)
+    rows, size = [], {}
+    for cell, n in enumerate((150, 3, 40, 2, 90)):
+        kinds = rng.integers(1, 60, (6, 2, 64))
+        for k in range(n):
+            sides = kinds[rng.integers(6)].copy()
+            changed = rng.random(sides.shape) < rng.random() / 2
+            sides[changed] = rng.integers(1, 60, int(changed.sum()))
+            sides[0, rng.integers(10, 65):] = sides[1, rng.integers(10, 65):] = 0
+            number = len(rows)
+            rows.append((cell, 0, 0, 0, number, int(rng.permutation(1000)[0]) * 1000 + number, 7, number,
+                         number + 1, *(x.astype(np.uint8).tobytes() for x in sides)))
+    names = ["seed", "low", "high", "own", "around", "row", "place", "prev", "run", "left", "right"]
+    table = pa.table(dict(zip(names, zip(*rows))))
+    found = [t for batch in chaining._met(iter(table.to_batches(max_chunksize=17)), 50, 0.8)
+             for t in zip(*(batch.column(c).to_pylist() for c in ("a", "b")))]
+    want = set()
+    for cell in range(5):
+        held = sorted(r for r in rows if r[0] == cell)
+        pairs = [(x, y) for x in held for y in held if x[5] < y[5]]
+        left, right = ([np.stack([np.frombuffer(pair[k][side], np.uint8) for pair in pairs])
+                        for k in (0, 1)] for side in (9, 10))
+        good = chaining.likely(tuple(left), tuple(right))
+        assert (chaining.likely(tuple(left), tuple(right), matching=chaining._held) | ~good).all()
+        want |= {(x[5], y[5]) for (x, y), g in zip(pairs, good) if g}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
 def test_packed_hashes():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5_000):
