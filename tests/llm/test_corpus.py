@@ -365,10 +365,11 @@ def test_common_line_without_passage(spark):
         assert chaining.likely(left, right).tolist() == [want]
 
 
-def test_extensions_of_many():
+@pytest.mark.parametrize("width", [chaining.MARGIN, 130])
+def test_extensions_of_many(width):
     """All rows at once, against one table of scores for each."""
     rng = np.random.default_rng(5)
-    n, width = 200, chaining.MARGIN
+    n = 100
     a, b = rng.integers(0, 6, (2, n, width))
     copied = rng.random((n, width)) < rng.random((n, 1))
     b[copied] = a[copied]
