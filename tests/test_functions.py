@@ -15,7 +15,7 @@ from tablescope.functions.ordered import (
     total_order,
 )
 from tablescope.functions.quantiles import exact_quantiles, grouped_median
-from tablescope.functions.skew import attach, deal_hot, hot_keys, skew_join
+from tablescope.functions.skew import _hot_parts, attach, deal_hot, hot_keys, skew_join
 
 
 @pytest.fixture(scope="module")
@@ -235,6 +235,33 @@ def test_join_cuts_keys_whose_rows_on_both_sides_multiply(spark):
     assert tuple(got) == (1500 * 1500 + 2 * 298_500, 2 * 298_500, 300_000, 300_000)
 
 
+def test_copies_of_a_key_hot_on_both_sides_stay_few(spark):
+    """In parts of 50 rows each row of the key would be sent some 70 times."""
+    left = spark.range(8000).selectExpr("CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS k", "id AS x")
+    right = spark.range(6000).selectExpr("CASE WHEN id % 2 = 0 THEN 0 ELSE -id END AS k", "id AS y")
+    table = _hot_parts(left, right, ["k"], 0.1, 50)
+    (hot,) = table.collect()
+    assert hot["_skew_left"] > 2 and hot["_skew_right"] > 1
+    sent = sum(deal_hot(side, table, ["k"], own, other).where("k = 0").count() for side, own, other in (
+        (left, "_skew_left", "_skew_right"), (right, "_skew_right", "_skew_left")))
+    assert sent <= 6 * 7000
+    # A wide row counts for more.
+    (wide,) = _hot_parts(left.withColumn("x", F.repeat(F.lit("x"), 100_000)), right, ["k"], 0.1, 50).collect()
+    assert wide["_skew_left"] > 2 * hot["_skew_left"]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan is not final
+    try:
+        df = skew_join(left, right, ["k"], "outer", large_bytes=1, share=0.1, part_rows=50)
+        assert df.count() == 4000 * 3000 + 4000 + 3000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # Generated code would hold all that a cell makes.
+    assert "*(" in plan
+    (join,) = [line for line in plan.splitlines() if "FullOuter" in line]
+    assert "*(" not in join
+
+
 def test_hot_keys_and_attach(frame):
     df = frame([(1.0, i) for i in range(500)] + [(float(i), i) for i in range(2, 300)],
                "k double, i int")
