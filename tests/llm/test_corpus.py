@@ -256,6 +256,35 @@ def test_common_passage_is_linear(spark):
     assert len(found) <= 2 * 60
 
 
+def test_passages_in_rounds(spark, monkeypatch):
+    """What is sent beyond a number of bytes goes in rounds, which find what one round finds, of seeds
+    of one part and of several."""
+    rng = random.Random(3)
+    passage = sentence(1, 70).split()
+    rows = [(k, f"{sentence(10 + k, 15)} "
+                f"{' '.join(w if rng.random() > 0.06 else f'new{k}x{i}' for i, w in enumerate(passage))} "
+                f"{sentence(50 + k, 15)}") for k in range(9)]
+    rows += [(20, rows[0][1]), (21, None)]
+    monkeypatch.setattr(chaining, "PART_HOLDERS", 4)
+    written, write = [], chaining.Tables.write
+
+    def counted(tables, df, label):
+        out = write(tables, df, label)
+        written.append(label)
+        return out
+
+    monkeypatch.setattr(chaining.Tables, "write", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, chaining.passages(docs).collect()))
+    assert [written.count(label) for label in ("met", "chains", "checked")] == [1, 1, 1]
+    written.clear()
+    assert [chaining._rounds(size, 10) for size in (0, 9, 25)] == [1, 1, 3]
+    monkeypatch.setattr(chaining, "_rounds", lambda size, most: 3 if size > 2000 and most >= 1 << 28 else 1)
+    assert sorted(map(tuple, chaining.passages(docs).collect())) == whole
+    assert all(written.count(label) == 3 for label in ("met", "chains", "slices", "checked"))
+    assert len({(a[0], a[3]) for a in whole}) > 30
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 2, 0, 1], [0, 1, 2, 0, 1, 2, 0, 1]])
 def test_holders_of_parts_hide_no_passage(spark, order):
     """Two documents share 52 words; those before, between and after hold 49 of them."""
