@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from itertools import combinations
 from math import sqrt
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import as_double
-from ..functions.ordered import running_counts, running_counts_beside
+from ..functions.ordered import RANGE, running_counts, running_counts_beside, split_by_value
 from ..functions.quantiles import Centre
 from ..functions.skew import attach
-from ..storage import materialize
+from ..storage import materialize, new_folder, remove, tidy
 from .stats import centres
 
 CORRELATION = "col_a string, col_b string, corr double"
@@ -28,6 +29,7 @@ _GAPPY_MEANS_PER_PASS = 40
 _SHARED_PER_PASS = 200
 _FEW_PASSES = 2
 _FEW_VALUES = 20_000    # tables of so many ranks are sent to the rows
+_MANY_BESIDE, _FEW_BESIDE = 2, 6    # columns that rows take along to the ranks of another
 
 
 def compute_correlation(
@@ -192,12 +194,102 @@ def _spearman(values, live, pairs, centre, rows_per_range) -> list[DataFrame]:
 
 
 def _spearman_with_gaps(values, pairs, centre, rows_per_range) -> list[DataFrame]:
-    """A pair's ranks count only the rows that have both columns. One table per column holds the
-    ranks of its values beside every other column, or beside one of those that are missing in the
-    same rows; a row looks each of its values up once, whatever the number of pairs."""
+    """A pair's ranks count only the rows that have both columns.
+
+    Columns of few values get theirs from broadcast tables, all pairs of them in a few passes. Of any
+    other pair the column with more values is ranked first, beside a few others at a time
+    (`_cross_sums`): rows are sent with the values of these only, never with ranks. Each step
+    is a job of its own, whose shuffle files go when it ends."""
     used = sorted({c for p in pairs for c in p})
     rows = centre[used[0]].rows
     shared = _shared_rows(values, used)
+    sizes = values.agg(*[F.approx_count_distinct(a).alias(a) for a in used]).first()
+    few = {a for a in used if sizes[a] <= _FEW_VALUES}
+    many = sorted((a for a in used if a not in few), key=lambda a: (-sizes[a], a))
+    wanted = {frozenset(p): p for p in pairs}
+    splits = {a: split_by_value(values.where(F.col(a).isNotNull()).select(a), a, rows=rows,
+                                rows_per_range=rows_per_range) for a in used} if many else {}
+    found = []
+    for i, a in enumerate(many):
+        found += _spearman_with(values, a, [
+            [b for b in others if frozenset((a, b)) in wanted]
+            for others in (many[i + 1:], sorted(few))], wanted, splits, shared, rows, rows_per_range)
+    parts = [values.sparkSession.createDataFrame(found, "a string, b string, corr double")] if found else []
+    pairs = [p for p in pairs if few.issuperset(p)]
+    return parts + (_spearman_of_few(values, pairs, rows, shared, rows_per_range) if pairs else [])
+
+
+@contextmanager
+def _written(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """The frame as a table that is deleted afterwards; made within `tidy`."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def _spearman_with(values, a, others, wanted, splits, shared, rows, rows_per_range) -> list[tuple]:
+    """(column, column, correlation) of a column with the others, of which there are those of many
+    and those of few values. One table holds the ranks of the values beside each of the others."""
+    every = [*others[0], *others[1]]
+    if not every:
+        return []
+    whole = "int" if rows < 1 << 30 else "bigint"
+    found = []
+    with tidy(values.sparkSession):
+        counts = running_counts_beside(values, a, every, rows=rows, rows_per_range=rows_per_range)
+        table = counts.select(a, *[
+            (2 * F.col(f"before{i}") + F.col(f"n{i}") + 1).cast(whole).alias(f"rank_{b}")
+            for i, b in enumerate(every)])
+        with _written(table, "ranks") as table:
+            for some, at_once in zip(others, (_MANY_BESIDE, _FEW_BESIDE)):
+                for part in C.chunks(some, at_once):
+                    corr = _cross_sums(values, a, part, table, splits, shared, rows)
+                    found += [(*wanted[frozenset((a, b))], corr.get(b)) for b in part]
+    return found
+
+
+def _cross_sums(values, a, others, table, splits, shared, rows) -> dict[str, float]:
+    """The correlation of the ranks of a column with those of each of the others.
+
+    A row looks up the ranks of its value of `a` beside each of the others. Their deviations from the
+    mean are summed per value of the other column, copies folded before the shuffle; how many there are
+    gives the ranks of that one."""
+    middle = [(shared[a, b] + 1) / 2 for b in others]
+    has = F.col(a).isNotNull() & F.coalesce(*others).isNotNull()
+    ranked = attach(values.where(has).select(a, *others), table.select(a, *[f"rank_{b}" for b in others]),
+                    a, rows=rows, like=values.where(has).select(a))
+    lone = ranked.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("other"), F.col(b).alias("v"), (F.col(f"rank_{b}") / 2 - F.lit(m)).alias("x"))
+        for i, (b, m) in enumerate(zip(others, middle))]))).where("v IS NOT NULL")
+    sums = lone.groupBy("other", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    with _written(sums, "sums") as sums:
+        at = F.lit(0)
+        for i, b in enumerate(others):
+            at = F.when(F.col("other") == i, splits[b].number).otherwise(at)
+        placed = sums.select("*", *[F.col("v").alias(b) for b in others]).select(*sums.columns, at.alias(RANGE))
+        upto = Window.partitionBy("other", RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy("other").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        carried = placed.groupBy("other", RANGE).agg(F.sum("n").alias("n")).select(
+            "other", RANGE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+        within = placed.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        own = F.col("before") + F.col("carried") + (F.col("n") + 1) / 2 - F.get(
+            F.array(*map(F.lit, middle)), F.col("other"))
+        cross = within.join(carried, ["other", RANGE]).groupBy("other").agg(
+            F.sum("q").alias("aa"), F.sum(F.col("n") * own * own).alias("bb"),
+            F.sum(F.col("s") * own).alias("ab"))
+        corr = F.when((F.col("aa") > 0) & (F.col("bb") > 0),
+                      _cosine(F.col("ab"), F.col("aa"), F.col("bb")))
+        return {others[r["other"]]: r["corr"] for r in cross.select("other", corr.alias("corr")).collect()}
+
+
+def _spearman_of_few(values, pairs, rows, shared, rows_per_range) -> list[DataFrame]:
+    """One table per column holds the ranks of its values beside every other column, or beside one of
+    those that are missing in the same rows; it is sent to the rows."""
+    used = sorted({c for p in pairs for c in p})
     beside: dict[str, list[str]] = {}
     place: dict[tuple[str, str], int] = {}
     for a in used:
@@ -207,18 +299,15 @@ def _spearman_with_gaps(values, pairs, centre, rows_per_range) -> list[DataFrame
             if same is None:
                 kinds.append(b)
             place[a, b] = kinds.index(same or b)
-    sizes = values.agg(*[F.approx_count_distinct(a).alias(a) for a in used]).first()
-    few = {a for a in used if sizes[a] <= _FEW_VALUES}
     whole = "int" if rows < 1 << 30 else "bigint"
     ranks = values.select(*used)
-    for a in sorted(used, key=lambda a: a in few):
+    for a in used:
         counts = running_counts_beside(
             values, a, beside[a], rows=rows, rows_per_range=rows_per_range)
         table = counts.select(a, F.array(*[
             (2 * F.col(f"before{i}") + F.col(f"n{i}") + 1).cast(whole)
             for i in range(len(beside[a]))]).alias(f"rank_{a}"))
-        ranks = attach(ranks, table, a, rows=rows, like=values.where(F.col(a).isNotNull()),
-                       missing=True, few=a in few).drop(a)
+        ranks = attach(ranks, table, a, rows=rows, few=True).drop(a)
     parts = []
     for part in C.chunks(pairs, _GAPPY_PAIRS_PER_PASS):
         sums = []

@@ -324,6 +324,31 @@ def test_ranks_of_few_values_are_sent_to_the_rows(spark):
     assert got == pytest.approx(ranks["a"].corr(ranks["b"]), abs=1e-9)
 
 
+@pytest.mark.parametrize("most", [40, 0])
+def test_ranks_of_many_values_stay_out_of_the_rows(frame, monkeypatch, most):
+    """Columns with gaps of many values and of few, a value with a third of the rows, two columns
+    without a row in common; no join of all rows with all ranks is left to the result."""
+    monkeypatch.setattr(correlation, "_FEW_VALUES", most)
+    rng = random.Random(4)
+    rows = [(rng.choice([5.0, rng.random(), float(i % 90)]) if i % 4 else None, float(i % 7) if i % 3 else None,
+             rng.gauss(0, 1) if i % 5 else None, float(i * i % 301) if i % 2 else None,
+             float("nan") if i % 2 else float(i % 150), float(i % 3)) for i in range(600)]
+    df = frame(rows, "a double, b double, c double, d double, e double, f double")
+    corr = ts.compute_correlation(df, method="spearman", rows_per_range=50)
+    plan = corr._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 if most else "Join " not in plan
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in corr.collect()}
+    assert len(got) == 36
+    data = df.toPandas()
+    for x, y in got:
+        both = data[[x, y]].dropna()
+        ranks = both.iloc[:, 0].rank(), both.iloc[:, 1].rank()
+        if x == y or len(both):
+            assert got[x, y] == pytest.approx(1.0 if x == y else ranks[0].corr(ranks[1]), abs=1e-9), (x, y)
+        else:
+            assert got[x, y] is None and {x, y} == {"d", "e"}
+
+
 def test_correlation_of_no_numbers_and_unknown_method(frame):
     assert ts.compute_correlation(frame([("a",)], "c string")).isEmpty()
     with pytest.raises(ValueError):
